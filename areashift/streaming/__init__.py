@@ -1,0 +1,5 @@
+"""Holds nothing: every operator in this package is a batch operator.
+
+The workload has no watermark, window or state. A newer snapshot of the rates is
+landed as files and the batch plan is run again.
+"""
