@@ -85,5 +85,5 @@ def ranked_report(
     order = [F.desc_nulls_last(f"`{headings[1]}`"), F.asc_nulls_last(f"`{headings[0]}`")]
     if index is None:
         return report.orderBy(*order)
-    position = F.row_number().over(Window.orderBy(*order)).alias(index)
+    position = F.row_number().over(Window.orderBy(*order)).cast("long").alias(index)
     return report.select(position, *[named(h) for h in headings])

@@ -20,6 +20,7 @@ from areashift.operators.interpolate import SourceSet, areal_interpolate
 from areashift.operators.joins import full_join, left_join, restrict_to
 from areashift.operators.peers import assign_groups, top_k
 from areashift.operators.rates import align_vintages
+from areashift.operators.regional import regional_frame, sums_by
 from areashift.session import configure
 
 PRIOR_YEAR, CURRENT_YEAR = 1996, 2000
@@ -193,3 +194,80 @@ def comparison(spark: SparkSession, sf_dir: str, dedupe_total: bool = False) ->
     return compare_periods(
         units, "grp", PRIOR, CURRENT, dedupe_total=dedupe_total, unit=["supplier"]
     )
+
+
+def part_rates(spark: SparkSession, sf_dir: str, year: int, rate: str) -> DataFrame:
+    """A year's rate of the parts sold in it: some parts lack one year or both."""
+    shares = flag_shares(spark, sf_dir, "l_partkey", year)
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(F.lit("1400000US"), normalize_code("p_partkey", 11)).alias("full_id"),
+        F.col("p_name").alias("name"),
+    )
+    rates = left_join(shares, parts, [("l_partkey", "p_partkey")])
+    return rates.select("full_id", "name", F.col("R").alias(rate))
+
+
+def part_vintages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Current rates, delivered as text, and prior rates as numbers."""
+    current = part_rates(spark, sf_dir, CURRENT_YEAR, "rate18")
+    prior = part_rates(spark, sf_dir, PRIOR_YEAR, "rate10")
+    return current.withColumn("rate18", F.col("rate18").cast("string")), prior
+
+
+def supplier_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """Lines, rate and nation code of every supplier active in a year."""
+    lines = table(spark, sf_dir, "lineitem").where(
+        (F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+        & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
+    )
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))
+    sums = lines.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"),
+        F.sum("l_quantity").alias("quantity"),
+        total(returned).alias("returned"),
+    )
+    nations = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", normalize_code("s_nationkey", 2).alias("code")
+    )
+    joined = left_join(sums, nations, [("l_suppkey", "s_suppkey")])
+    return joined.withColumn("rate", 100 * F.try_divide("returned", "quantity"))
+
+
+def nation_rates(spark: SparkSession, sf_dir: str, year: int, rate: str) -> DataFrame:
+    sums = supplier_year(spark, sf_dir, year).groupBy("code").agg(
+        (100 * F.try_divide(F.sum("returned"), F.sum("quantity"))).alias(rate)
+    )
+    return left_join(sums, nation_names(spark, sf_dir), ["code"])
+
+
+def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        normalize_code("n_nationkey", 2).alias("code"), F.col("n_name").alias("name")
+    )
+
+
+def nation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with two own weights, two rates, two weights from suppliers and a snapshot."""
+    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).cast("double").alias("w10"),
+        total(F.greatest(F.col("c_acctbal"), F.lit(0.0))).alias("w18"),
+    )
+    weights = left_join(
+        customers.withColumn("code", normalize_code("c_nationkey", 2)).drop("c_nationkey"),
+        nation_names(spark, sf_dir),
+        ["code"],
+    )
+    rates = full_join(
+        nation_rates(spark, sf_dir, CURRENT_YEAR, "rate18"),
+        nation_rates(spark, sf_dir, PRIOR_YEAR, "rate10"),
+        ["code", "name"],
+    )
+    alternatives = [
+        sums_by(supplier_year(spark, sf_dir, CURRENT_YEAR), "code", {"w18alt": "lines"}),
+        sums_by(supplier_year(spark, sf_dir, PRIOR_YEAR), "code", {"w10alt": "lines"}),
+        nation_rates(spark, sf_dir, CURRENT_YEAR - 1, "rate_snapshot").drop("name"),
+    ]
+    return regional_frame(
+        weights, rates, ["code", "name"], ["rate18", "rate10"], alternatives, "code"
+    )
