@@ -250,13 +250,25 @@ def summarize_checks(verdicts: DataFrame) -> DataFrame:
 
 
 def frame_equality(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    tolerance: float = 0.0,
 ) -> DataFrame:
     """One row: keys seen, matches of every column, their least, and whether all match.
 
     Rows are matched by key, not position. Two missing cells match; a row present on
-    one side only matches nowhere.
+    one side only matches nowhere. Doubles may differ by ``tolerance``: sums over
+    differently split data differ in their last bits.
     """
+    doubles = {c for c, kind in left.dtypes if kind == "double"}
+
+    def same(i: int, column: str) -> Column:
+        a, b = F.col(f"__l{i}"), F.col(f"__r{i}")
+        if column in doubles and tolerance > 0:
+            return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+        return a.eqNullSafe(b)
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
         return rows.select(
@@ -268,9 +280,7 @@ def frame_equality(
     both = full_join(side(left, "l"), side(right, "r"), list(keys))
     present = F.col("__in_l").isNotNull() & F.col("__in_r").isNotNull()
     matches = [
-        F.count_if(present & F.col(f"__l{i}").eqNullSafe(F.col(f"__r{i}")))
-        .alias(f"match_{c}")
-        for i, c in enumerate(columns)
+        F.count_if(present & same(i, c)).alias(f"match_{c}") for i, c in enumerate(columns)
     ]
     counts = both.agg(F.count(F.lit(1)).alias("n_rows"), *matches)
     named_matches = [named(f"match_{c}") for c in columns]

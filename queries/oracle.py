@@ -156,7 +156,8 @@ def _rounded(names: str, digits: int = 6) -> str:
 
 
 SHOWN = (
-    f"class, \"group\", {_rounded('prior current difference')}, n_prior, n_current"
+    f"class, \"group\", {_rounded('prior current difference')}, n_prior, "
+    "n_current::DOUBLE AS n_current"
 )
 
 FACTS = """
@@ -265,19 +266,21 @@ FRAME_COLUMNS = ["price10", "urgent18", "finished", "orders10", "spend18"]
 
 
 def _frame_equality() -> str:
-    matches = {c: f"count(*) FILTER (WHERE f.{c} IS NOT DISTINCT FROM l.{c})" for c in FRAME_COLUMNS}
+    matches = {
+        c: f"count(*) FILTER (WHERE f.sup IS NOT NULL AND l.sup IS NOT NULL "
+        f"AND (f.{c} IS NOT DISTINCT FROM l.{c} OR abs(f.{c} - l.{c}) <= 1e-6))"
+        for c in FRAME_COLUMNS
+    }
     listed = ", ".join(f"{m} AS match_{c}" for c, m in matches.items())
     least = f"least({', '.join(matches.values())})"
-    rounded = _rounded(" ".join(FRAME_COLUMNS), 4)
     in_scope = """(SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
       JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"""
     aggregates = INTERPOLATED[INTERPOLATED.index("interp AS") :]
-    scoped = aggregates.replace("interp AS", "interp_first AS").replace(
+    scoped = aggregates.replace("interp AS", "f AS").replace(
         "FROM attached", f"FROM attached WHERE sup IN {in_scope}"
     )
     return f"""WITH {INTERPOLATED}, {scoped},
-f AS (SELECT sup, {rounded} FROM interp_first),
-l AS (SELECT sup, {rounded} FROM interp WHERE sup IN {in_scope})
+l AS (SELECT * FROM interp WHERE sup IN {in_scope})
 SELECT count(*) AS n_rows, {listed}, {least} AS min_matches, {least} = count(*) AS equal
 FROM f FULL JOIN l ON f.sup = l.sup"""
 
@@ -328,14 +331,14 @@ FROM attrs GROUP BY 1, 2""",
         "build_crosswalk": f"""WITH {CROSSWALK}
 SELECT ord AS "order", sup AS supplier, {_rounded('all_s all_t open_s open_t')} FROM cw""",
         "attach_attributes": f"""WITH {ATTACHED}
-SELECT coalesce(ord, okey) AS "order", sup AS supplier,
+SELECT coalesce(ord, okey) AS "order", sup::VARCHAR AS supplier,
        {_rounded('all_s all_t open_s open_t price urgent finished orders spend')} FROM attached""",
         "interpolate_means": f"""WITH {INTERPOLATED}
-SELECT sup AS supplier, round(price10, 6) AS price, round(urgent10, 6) AS urgent FROM interp""",
+SELECT sup::VARCHAR AS supplier, round(price10, 6) AS price, round(urgent10, 6) AS urgent FROM interp""",
         "interpolate_counts": f"""WITH {INTERPOLATED}
-SELECT sup AS supplier, round(orders10, 6) AS orders, round(spend10, 6) AS spend FROM interp""",
+SELECT sup::VARCHAR AS supplier, round(orders10, 6) AS orders, round(spend10, 6) AS spend FROM interp""",
         "areal_interpolate": f"""WITH {INTERPOLATED}
-SELECT sup AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
+SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
 FROM interp""",
         "align_vintages": f"""WITH {PARTS}
 SELECT full_id, name, {_rounded('rate18 rate10 dif')}, substr(full_id, 10) AS code
@@ -401,7 +404,7 @@ SELECT row_number() OVER (ORDER BY prior DESC NULLS LAST) AS row_id,
        CASE class WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Accepted' WHEN 'N' THEN 'New'
             ELSE 'No Majority' END AS "Majority Flag",
        round(prior / 100, 6) AS "1996 Rate", round(current / 100, 6) AS "2000 Rate",
-       n_prior AS "Suppliers in 1996", n_current AS "Suppliers in 2000"
+       n_prior AS "Suppliers in 1996", n_current::DOUBLE AS "Suppliers in 2000"
 FROM comparison WHERE "group" = 'FOCUS' AND class <> 'all'""",
         "partition_union": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer",
         "first_codes": """

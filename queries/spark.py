@@ -66,6 +66,17 @@ def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Suppliers as text, as the unallocated row has none: clients read a gap in whole
+    numbers in different ways."""
+    return rounded(rows.withColumn("supplier", F.col("supplier").cast("string")))
+
+
+def shown(comparison: DataFrame) -> DataFrame:
+    """A comparison with the count that may be missing as a double, for the same reason."""
+    return rounded(comparison.withColumn("n_current", F.col("n_current").cast("double")))
+
+
 def flag_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long facts: per supplier and return flag a quantity, and a discount as its margin."""
     sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
@@ -192,7 +203,7 @@ def q_build_crosswalk(spark, sf_dir):
 
 
 def q_attach_attributes(spark, sf_dir):
-    return rounded(
+    return keyed(
         attach_attributes(
             star.crosswalk(spark, sf_dir), star.order_attributes(spark, sf_dir), "order", "order"
         )
@@ -200,7 +211,7 @@ def q_attach_attributes(spark, sf_dir):
 
 
 def q_interpolate_means(spark, sf_dir):
-    return rounded(
+    return keyed(
         interpolate_means(
             star.crosswalk(spark, sf_dir),
             star.order_attributes(spark, sf_dir),
@@ -214,7 +225,7 @@ def q_interpolate_means(spark, sf_dir):
 
 
 def q_interpolate_counts(spark, sf_dir):
-    return rounded(
+    return keyed(
         interpolate_counts(
             star.crosswalk(spark, sf_dir),
             star.order_attributes(spark, sf_dir),
@@ -228,7 +239,7 @@ def q_interpolate_counts(spark, sf_dir):
 
 
 def q_areal_interpolate(spark, sf_dir):
-    return rounded(star.interpolated(spark, sf_dir))
+    return keyed(star.interpolated(spark, sf_dir))
 
 
 def q_align_vintages(spark, sf_dir):
@@ -296,19 +307,19 @@ def q_totals_cube(spark, sf_dir):
 
 
 def q_compare_periods(spark, sf_dir):
-    return rounded(star.comparison(spark, sf_dir))
+    return shown(star.comparison(spark, sf_dir))
 
 
 def q_compare_dedupe(spark, sf_dir):
-    return rounded(star.comparison(spark, sf_dir, dedupe_total=True))
+    return shown(star.comparison(spark, sf_dir, dedupe_total=True))
 
 
 def q_class_view(spark, sf_dir):
-    return rounded(class_view(star.comparison(spark, sf_dir), "none"))
+    return shown(class_view(star.comparison(spark, sf_dir), "none"))
 
 
 def q_chart_frame(spark, sf_dir):
-    return rounded(chart_frame(star.comparison(spark, sf_dir), LEGENDS))
+    return shown(chart_frame(star.comparison(spark, sf_dir), LEGENDS))
 
 
 def q_pivoted_report(spark, sf_dir):
@@ -319,7 +330,8 @@ def q_pivoted_report(spark, sf_dir):
 
 
 def q_ranked_report(spark, sf_dir):
-    return rounded(ranked_report(star.comparison(spark, sf_dir), star.FOCUS, star.LABELS, RANKED))
+    report = ranked_report(star.comparison(spark, sf_dir), star.FOCUS, star.LABELS, RANKED)
+    return rounded(report.withColumn(RANKED[-1], named(RANKED[-1]).cast("double")))
 
 
 def q_partition_union(spark, sf_dir):
@@ -403,7 +415,7 @@ def q_frame_equality(spark, sf_dir):
     first = pipeline(restrict_to(crosswalk, "supplier", scope, "s_suppkey"))
     last = restrict_to(pipeline(crosswalk), "supplier", scope, "s_suppkey")
     columns = ["price10", "urgent18", "finished", "orders10", "spend18"]
-    return frame_equality(rounded(first, 4), rounded(last, 4), ["supplier"], columns)
+    return frame_equality(first, last, ["supplier"], columns, tolerance=1e-6)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
