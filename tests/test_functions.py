@@ -1,0 +1,218 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from areashift.functions import (
+    allocate_sum,
+    complement_share,
+    has_level,
+    key_prefix,
+    majority_class,
+    normalize_code,
+    recode,
+    residual_share,
+    split_code,
+    strict_sum,
+    strip_parenthetical,
+    strip_prefix,
+    to_number,
+    total,
+    weighted_mean,
+)
+from conftest import rows_of
+
+NAN = float("nan")
+
+MEANS = {
+    "gap": [(10.0, 50.0), (None, 50.0)],
+    "no weight": [(1.0, None), (2.0, 3.0)],
+    "all missing": [(None, 1.0)],
+    "zero weight": [(1.0, 0.0)],
+    "missing without weight": [(None, 0.0), (4.0, 2.0)],
+    "not a number": [(NAN, 5.0), (3.0, 1.0)],
+    "plain": [(60.0, 1.0), (80.0, 3.0)],
+}
+
+
+def test_weighted_mean_cases(spark):
+    rows = [(g, x, w) for g, pairs in MEANS.items() for x, w in pairs]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    got = {
+        r.g: (r.lenient, r.strict)
+        for r in df.groupBy("g")
+        .agg(
+            weighted_mean("x", "w").alias("lenient"),
+            weighted_mean("x", "w", na_rm=False).alias("strict"),
+        )
+        .collect()
+    }
+    assert got == {
+        "gap": (10.0, None),
+        "no weight": (None, None),
+        "all missing": (None, None),
+        "zero weight": (None, None),
+        "missing without weight": (4.0, 4.0),
+        "not a number": (3.0, None),
+        "plain": (75.0, 75.0),
+    }
+
+
+def brute_mean(pairs, na_rm):
+    if na_rm:
+        pairs = [(x, w) for x, w in pairs if x is not None]
+    if any(w is None for _, w in pairs):
+        return None
+    used = [(x, w) for x, w in pairs if w != 0]
+    if any(x is None for x, _ in used) or sum(w for _, w in used) == 0:
+        return None
+    return sum(x * w for x, w in used) / sum(w for _, w in used)
+
+
+def test_weighted_mean_against_brute_force(spark):
+    rng = random.Random(7)
+    groups = {
+        g: [
+            (rng.choice([None, 1.0, 2.5, 40.0, 90.0]), rng.choice([None, 0.0, 0.0, 1.0, 7.5, 3.0]))
+            if g % 2
+            else (rng.choice([None, 5.0, 60.0]), rng.choice([0.0, 2.0, 9.0]))
+            for _ in range(rng.randint(1, 4))
+        ]
+        for g in range(400)
+    }
+    rows = [(g, x, w) for g, pairs in groups.items() for x, w in pairs]
+    df = spark.createDataFrame(rows, "g int, x double, w double").repartition(6)
+    for na_rm in (True, False):
+        got = dict(df.groupBy("g").agg(weighted_mean("x", "w", na_rm)).collect())
+        for g, pairs in groups.items():
+            want = brute_mean(pairs, na_rm)
+            assert got[g] == (None if want is None else pytest.approx(want)), (g, pairs, na_rm)
+
+
+def test_weighted_mean_where_and_global(frame):
+    df = frame("side string, x double, w double", ("a", 1.0, 1.0), ("b", 9.0, None))
+    row = df.agg(
+        weighted_mean("x", "w", na_rm=False, where=F.col("side") == "a").alias("a"),
+        weighted_mean("x", "w", na_rm=False, where=F.col("side") == "b").alias("b"),
+    ).first()
+    assert (row.a, row.b) == (1.0, None)
+
+
+def test_sums(frame):
+    df = frame(
+        "g string, x double, p double",
+        ("known", 200.0, 50.0),
+        ("known", 100.0, 10.0),
+        ("gap", 5.0, 100.0),
+        ("gap", None, 100.0),
+        ("none", None, None),
+    )
+    got = rows_of(
+        df.groupBy("g").agg(allocate_sum("x", "p"), total("x"), strict_sum("x")), "g"
+    )
+    assert got == [
+        ("gap", 5.0, 5.0, None),
+        ("known", 110.0, 300.0, 300.0),
+        ("none", 0.0, 0.0, None),
+    ]
+    assert df.where("false").agg(strict_sum("x"), total("x")).first() == (0.0, 0.0)
+
+
+@pytest.mark.parametrize(
+    "code,width,want",
+    [
+        ("1001020100", 11, "01001020100"),
+        ("17031490200", 11, "17031490200"),
+        ("1001", 5, "01001"),
+        (" 17 ", 5, "00017"),
+        ("", 5, None),
+        (None, 11, None),
+    ],
+)
+def test_normalize_code(frame, code, width, want):
+    assert frame("c string", (code,)).select(normalize_code("c", width)).first()[0] == want
+
+
+def test_long_code_is_refused(frame):
+    df = frame("c string", ("123456789012",))
+    assert df.select(normalize_code("c", 11, on_long="null")).first()[0] is None
+    with pytest.raises(Exception, match="longer than 11"):
+        df.select(normalize_code("c", 11)).collect()
+    with pytest.raises(ValueError):
+        normalize_code("c", 11, on_long="cut")
+
+
+def test_split_and_strip(frame):
+    df = frame(
+        "c string, full string, label string",
+        ("17031490200", "0500000US17031", "Chicago-Naperville (Metropolitan Statistical Area)"),
+    )
+    row = df.select(
+        *split_code("c", (2, 5), ("state", "county", "tract")),
+        *split_code("full", (9, 11), ("prefix", "st", "co")),
+        key_prefix("c", 5).alias("parent"),
+        strip_prefix(F.concat(F.lit("1400000US"), "c"), "1400000US").alias("bare"),
+        strip_prefix("c", "1400000US").alias("untouched"),
+        strip_parenthetical("label").alias("label"),
+        has_level("full", "0500000US").alias("level"),
+    ).first()
+    assert tuple(row) == (
+        "17",
+        "031",
+        "490200",
+        "0500000US",
+        "17",
+        "031",
+        "17031",
+        "17031490200",
+        "17031490200",
+        "Chicago-Naperville",
+        True,
+    )
+    with pytest.raises(ValueError):
+        split_code("c", (2, 5), ("a", "b"))
+
+
+def test_to_number(frame):
+    texts = ["64.1", " 7 ", "x", "", "NaN", "1d", "2.5f", "-3e2", None]
+    df = frame("i int, t string", *enumerate(texts))
+    got = [r[0] for r in df.orderBy("i").select(to_number("t")).collect()]
+    assert got == [64.1, 7.0, None, None, None, None, None, -300.0, None]
+
+
+def test_shares(frame):
+    df = frame("a double, b double", (61.3, 20.1), (70.0, 30.1), (None, 1.0))
+    got = [tuple(r) for r in df.select(residual_share(["a", "b"]), complement_share("a")).collect()]
+    assert got == [(18.6, 38.7), (-0.1, 30.0), (None, None)]
+
+
+def test_majority_class(frame):
+    order = ["hispa", "black", "asian", "white", "other"]
+    df = frame(
+        "hispa double, black double, asian double, white double, other double",
+        (50.1, 10.0, 10.0, 20.0, 9.9),
+        (50.0, 50.0, 0.0, 0.0, 0.0),
+        (10.0, 10.0, 10.0, 60.0, 10.0),
+        (5.0, 5.0, 5.0, 5.0, 80.0),
+        (None, None, None, None, None),
+        (NAN, 60.0, 0.0, 0.0, 0.0),
+        (55.0, 60.0, 0.0, 0.0, 0.0),
+    )
+    got = [r[0] for r in df.select(majority_class({c: c for c in order})).collect()]
+    assert got == ["hispa", "none", "white", "other", "none", "black", "hispa"]
+
+
+def test_recode(frame):
+    df = frame("c string", ("none",), ("all",), (None,))
+    got = [r[0] for r in df.select(recode("c", {"none": "No Majority"})).collect()]
+    assert got == ["No Majority", None, None]
+
+
+def test_no_nan_leaves_an_aggregate(frame):
+    df = frame("x double, w double", (NAN, 1.0), (1.0, NAN))
+    row = df.agg(
+        weighted_mean("x", "w"), weighted_mean("x", "w", False), strict_sum("x"), total("x")
+    ).first()
+    assert not any(v is not None and math.isnan(v) for v in row)
+    assert row[3] == 1.0
