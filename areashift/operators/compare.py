@@ -66,20 +66,50 @@ def _by_period(
     )
 
 
-def _period_measures() -> dict[str, Column]:
+def _period_measures(copies: Column | None = None) -> dict[str, Column]:
+    """Mean and count per period; a row stands for ``copies`` rows where that is given."""
     is_prior = F.col("__prior")
+    weight = F.col("__weight") if copies is None else F.col("__weight") * copies
 
     def mean(which: Column) -> Column:
-        return weighted_mean("__rate", "__weight", na_rm=False, where=which)
+        return weighted_mean("__rate", weight, na_rm=False, where=which)
+
+    def count(which: Column) -> Column:
+        if copies is None:
+            return F.count_if(which)
+        return F.sum(F.when(which, copies).otherwise(F.lit(0)))
 
     return {
         "prior": mean(is_prior),
         "current": mean(~is_prior),
-        "n_prior": F.count_if(is_prior),
-        "n_current": F.count_if(~is_prior),
+        "n_prior": count(is_prior),
+        "n_current": count(~is_prior),
     }
 
 
+def _once_in_total(long: DataFrame, total_label: str) -> DataFrame:
+    """Cells in which the total over groups holds a unit once, however many groups it has.
+
+    Grouping by everything but the group first leaves one row per unit for the total,
+    beside its rows per group, in one pass over ``long``.
+    """
+    rest = [c for c in long.columns if c != "group"]
+    rows = long.groupingSets(
+        [[F.col("group"), *map(F.col, rest)], [*map(F.col, rest)]], "group", *rest
+    ).agg(F.grouping("group").alias("__total"), F.count(F.lit(1)).alias("__rows"))
+    is_total = F.col("__total") == 1
+    rows = rows.withColumn("__copies", F.when(is_total, F.lit(1)).otherwise(F.col("__rows")))
+    measures = _period_measures(F.col("__copies"))
+    cells = rows.groupingSets(
+        [["class", "group", "__total"], ["group", "__total"]], "class", "group", "__total"
+    ).agg(
+        _label("class", total_label).alias("__class"),
+        *[measure.alias(name) for name, measure in measures.items()],
+    )
+    group = F.when(is_total, F.lit(total_label)).otherwise(F.col("group"))
+    return cells.select(F.col("__class").alias("class"), group.alias("group"), *measures)
+
+
 def compare_periods(
     units: DataFrame,
     group: str,
@@ -102,25 +132,12 @@ def compare_periods(
     period, so the plan above ``units`` runs once and nothing has to be cached.
     """
     long = _by_period(units, group, prior, current, unit if dedupe_total else ())
-    measures = _period_measures()
-    if not dedupe_total:
-        cells = totals_cube(long, ["class", "group"], measures, total_label)
-    else:
+    if dedupe_total:
         if not unit:
             raise ValueError("dedupe_total needs the unit's key columns")
-        named_measures = [m.alias(name) for name, m in measures.items()]
-        per_group = long.groupingSets(
-            [[F.col("class"), F.col("group")], [F.col("group")]], "class", "group"
-        ).agg(_label("class", total_label).alias("__class"), *named_measures)
-        once = long.drop("group").distinct()
-        over_groups = once.rollup("class").agg(
-            _label("class", total_label).alias("__class"), *named_measures
-        )
-        cells = per_group.select(F.col("__class").alias("class"), "group", *measures).unionByName(
-            over_groups.select(
-                F.col("__class").alias("class"), F.lit(total_label).alias("group"), *measures
-            )
-        )
+        cells = _once_in_total(long, total_label)
+    else:
+        cells = totals_cube(long, ["class", "group"], _period_measures(), total_label)
     return cells.where(F.col("n_prior") > 0).select(
         "class",
         "group",

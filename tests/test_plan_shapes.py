@@ -154,3 +154,12 @@ def test_checks_are_one_row_without_products(frame):
     a = frame("k string, x double", ("a", 1.0))
     text = plan(frame_equality(a, a, ["k"], ["x"]))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_deduplicated_comparison_reads_the_units_once(frame):
+    units = frame("u string, c string, g string, r double, w double", ("x", "a", "G", 1.0, 1.0))
+    period = Period("c", "r", "w")
+    compared = compare_periods(units, "g", period, period, dedupe_total=True, unit=["u"])
+    text = plan(compared, "optimizedPlan")
+    assert "Union" not in text and "Join" not in text
+    assert text.count("LogicalRDD") + text.count("LocalRelation") == 1
