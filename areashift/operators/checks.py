@@ -259,15 +259,16 @@ def frame_equality(
     """One row: keys seen, matches of every column, their least, and whether all match.
 
     Rows are matched by key, not position. Two missing cells match; a row present on
-    one side only matches nowhere. Doubles may differ by ``tolerance``: sums over
-    differently split data differ in their last bits.
+    one side only matches nowhere. Doubles may differ by ``tolerance`` of their size (of 1
+    below that): sums over differently split data differ in their last bits.
     """
     doubles = {c for c, kind in left.dtypes if kind == "double"}
 
     def same(i: int, column: str) -> Column:
         a, b = F.col(f"__l{i}"), F.col(f"__r{i}")
         if column in doubles and tolerance > 0:
-            return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+            allowed = tolerance * F.greatest(F.abs(a), F.lit(1.0))
+            return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= allowed, F.lit(False))
         return a.eqNullSafe(b)
 
     def side(rows: DataFrame, tag: str) -> DataFrame:

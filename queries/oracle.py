@@ -186,13 +186,12 @@ def _supplier_year(name: str, year: int) -> str:
     return f"""
 {name} AS (
   SELECT lpad(s_nationkey::VARCHAR, 2, '0') AS code, l_suppkey,
-         count(*)::DOUBLE AS lines, sum(l_quantity) AS quantity,
+         greatest(max(s_acctbal), 0) AS balance, sum(l_quantity) AS quantity,
          sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS returned
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   WHERE extract(year FROM l_shipdate) = {year} GROUP BY 1, 2),
 {name}_nation AS (
-  SELECT code, 100 * sum(returned) / nullif(sum(quantity), 0) AS rate, sum(lines) AS lines
-  FROM {name} GROUP BY 1)"""
+  SELECT code, 100 * sum(returned) / nullif(sum(quantity), 0) AS rate FROM {name} GROUP BY 1)"""
 
 
 NATIONS = f"""
@@ -201,12 +200,16 @@ weights AS (
   SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS code, count(*)::DOUBLE AS w10,
          sum(greatest(c_acctbal, 0)) AS w18
   FROM customer GROUP BY 1),
+alternative AS (
+  SELECT lpad(s_nationkey::VARCHAR, 2, '0') AS code, count(*)::DOUBLE AS w10alt,
+         sum(greatest(s_acctbal, 0)) AS w18alt
+  FROM supplier GROUP BY 1),
 frame AS (
   SELECT code, w10, w18, y2000_nation.rate AS rate18, y1996_nation.rate AS rate10,
-         y1999_nation.rate AS rate_snapshot, y2000_nation.lines AS w18alt,
-         y1996_nation.lines AS w10alt
+         y1999_nation.rate AS rate_snapshot, w18alt, w10alt
   FROM weights
   FULL JOIN (y2000_nation FULL JOIN y1996_nation USING (code)) USING (code)
+  LEFT JOIN alternative USING (code)
   LEFT JOIN y1999_nation USING (code))"""
 
 BY_ORDER = f"""
@@ -268,7 +271,7 @@ FRAME_COLUMNS = ["price10", "urgent18", "finished", "orders10", "spend18"]
 def _frame_equality() -> str:
     matches = {
         c: f"count(*) FILTER (WHERE f.sup IS NOT NULL AND l.sup IS NOT NULL "
-        f"AND (f.{c} IS NOT DISTINCT FROM l.{c} OR abs(f.{c} - l.{c}) <= 1e-6))"
+        f"AND (f.{c} IS NOT DISTINCT FROM l.{c} OR abs(f.{c} - l.{c}) <= 1e-6 * greatest(abs(f.{c}), 1)))"
         for c in FRAME_COLUMNS
     }
     listed = ", ".join(f"{m} AS match_{c}" for c, m in matches.items())
@@ -417,9 +420,9 @@ SELECT round({_wmean_strict('rate18', 'w18')}, 6) AS current,
        round({_wmean_strict('rate10', 'w10alt')}, 6) AS prior_alt
 FROM frame""",
         "discrepancy": f"""WITH {_supplier_year('y1996', PRIOR)},
-rates AS (SELECT code, lines, 100 * returned / nullif(quantity, 0) AS rate FROM y1996)
+rates AS (SELECT code, balance, 100 * returned / nullif(quantity, 0) AS rate FROM y1996)
 SELECT r.code, round(m, 6) AS unit_mean, round(y1996_nation.rate, 6) AS rate10, n_name AS name
-FROM (SELECT code, {_wmean_strict('rate', 'lines')} AS m FROM rates GROUP BY code) r
+FROM (SELECT code, {_wmean_strict('rate', 'balance')} AS m FROM rates GROUP BY code) r
 LEFT JOIN y1996_nation ON r.code = y1996_nation.code
 LEFT JOIN nation ON r.code = lpad(n_nationkey::VARCHAR, 2, '0')""",
         "conservation_check": f"""WITH {INTERPOLATED},

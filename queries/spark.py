@@ -213,7 +213,7 @@ def q_attach_attributes(spark, sf_dir):
 def q_interpolate_means(spark, sf_dir):
     return keyed(
         interpolate_means(
-            star.crosswalk(spark, sf_dir),
+            star.crosswalk(spark, sf_dir, of_source=False),
             star.order_attributes(spark, sf_dir),
             "order",
             "order",
@@ -227,7 +227,7 @@ def q_interpolate_means(spark, sf_dir):
 def q_interpolate_counts(spark, sf_dir):
     return keyed(
         interpolate_counts(
-            star.crosswalk(spark, sf_dir),
+            star.crosswalk(spark, sf_dir, of_target=False),
             star.order_attributes(spark, sf_dir),
             "order",
             "order",
@@ -362,7 +362,7 @@ def q_regional_rollup(spark, sf_dir):
 def q_discrepancy(spark, sf_dir):
     suppliers = star.supplier_year(spark, sf_dir, star.PRIOR_YEAR)
     nations = star.nation_rates(spark, sf_dir, star.PRIOR_YEAR, "rate10")
-    return rounded(discrepancy(suppliers, "code", "rate", "lines", nations, ["rate10", "name"]))
+    return rounded(discrepancy(suppliers, "code", "rate", "balance", nations, ["rate10", "name"]))
 
 
 def q_conservation_check(spark, sf_dir):

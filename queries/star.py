@@ -36,7 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crosswalk(spark: SparkSession, sf_dir: str, of_target: bool = True) -> DataFrame:
+def crosswalk(
+    spark: SparkSession, sf_dir: str, of_source: bool = True, of_target: bool = True
+) -> DataFrame:
     """order, supplier and shares of all lines and open lines, of source and of target."""
     is_open = F.col("l_linestatus") == "O"
     overlaps = table(spark, sf_dir, "lineitem").select(
@@ -46,8 +48,8 @@ def crosswalk(spark: SparkSession, sf_dir: str, of_target: bool = True) -> DataF
         F.when(is_open, F.col("l_quantity")).otherwise(0.0).alias("open"),
     )
     shares = {
-        "every": ("all_s", "all_t" if of_target else None),
-        "open": ("open_s", "open_t" if of_target else None),
+        "every": ("all_s" if of_source else None, "all_t" if of_target else None),
+        "open": ("open_s" if of_source else None, "open_t" if of_target else None),
     }
     return build_crosswalk(overlaps, "order", "supplier", shares)
 
@@ -216,24 +218,28 @@ def part_vintages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def supplier_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """Lines, rate and nation code of every supplier active in a year."""
+    """Rate, nation code and weight of every supplier active in a year."""
     lines = table(spark, sf_dir, "lineitem").where(
         (F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
         & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
     )
     returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))
     sums = lines.groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).cast("double").alias("lines"),
-        F.sum("l_quantity").alias("quantity"),
-        total(returned).alias("returned"),
-    )
-    nations = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", normalize_code("s_nationkey", 2).alias("code")
+        F.sum("l_quantity").alias("quantity"), total(returned).alias("returned")
     )
-    joined = left_join(sums, nations, [("l_suppkey", "s_suppkey")])
+    joined = left_join(sums, supplier_weights(spark, sf_dir), [("l_suppkey", "s_suppkey")])
     return joined.withColumn("rate", 100 * F.try_divide("returned", "quantity"))
 
 
+def supplier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        normalize_code("s_nationkey", 2).alias("code"),
+        F.lit(1.0).alias("one"),
+        F.greatest(F.col("s_acctbal"), F.lit(0.0)).alias("balance"),
+    )
+
+
 def nation_rates(spark: SparkSession, sf_dir: str, year: int, rate: str) -> DataFrame:
     sums = supplier_year(spark, sf_dir, year).groupBy("code").agg(
         (100 * F.try_divide(F.sum("returned"), F.sum("quantity"))).alias(rate)
@@ -264,8 +270,9 @@ def nation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["code", "name"],
     )
     alternatives = [
-        sums_by(supplier_year(spark, sf_dir, CURRENT_YEAR), "code", {"w18alt": "lines"}),
-        sums_by(supplier_year(spark, sf_dir, PRIOR_YEAR), "code", {"w10alt": "lines"}),
+        sums_by(
+            supplier_weights(spark, sf_dir), "code", {"w18alt": "balance", "w10alt": "one"}
+        ),
         nation_rates(spark, sf_dir, CURRENT_YEAR - 1, "rate_snapshot").drop("name"),
     ]
     return regional_frame(
