@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: Column | str) -> Column:
+def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
@@ -26,7 +26,7 @@ def _null() -> Column:
 
 def clean(c: Column | str) -> Column:
     """The number as a double, with NaN turned into NULL (Spark sorts NaN above all numbers)."""
-    return F.nanvl(_col(c).cast("double"), _null())
+    return F.nanvl(as_column(c).cast("double"), _null())
 
 
 def weighted_mean(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from areashift.functions.aggregates import _col, clean
+from areashift.functions.aggregates import as_column, clean
 
 
 def majority_class(
@@ -27,5 +27,5 @@ def recode(c: Column | str, labels: Mapping[str, str]) -> Column:
     """Display label of a code; a code without one becomes NULL."""
     branches = F
     for code, label in labels.items():
-        branches = branches.when(_col(c) == code, F.lit(label))
+        branches = branches.when(as_column(c) == code, F.lit(label))
     return branches.otherwise(F.lit(None).cast("string"))

@@ -187,4 +187,4 @@ def same_as_national(
 
 def export_places(spark: SparkSession, paths: Paths, out: str, region: Region = Region()) -> None:
     """Write the place table."""
-    write_export(region_places(spark, paths, region), f"{out}/place_demog_responses")
+    write_export(region_places(spark, paths, region), f"{out}/focus_places")

@@ -103,13 +103,13 @@ def run(spark: SparkSession, paths: Paths, out: str, focus_label: str) -> dict[s
     units = materialize(metro_units(spark, paths), f"{out}/tables/metro_units")
     comparison = materialize(compare(units), f"{out}/tables/comparison")
 
-    write_export(focus(units, "MSA", focus_label), f"{out}/tract_demog_responses_focus")
+    write_export(focus(units, "MSA", focus_label), f"{out}/focus_tracts")
     pivoted = pivoted_report(
         comparison, PIVOT_HEADINGS, "MSA", excluded_groups=[ALL, focus_label]
     )
-    write_report(pivoted, pivot_order(PIVOT_HEADINGS, "MSA"), f"{out}/msa_chart_output")
+    write_report(pivoted, pivot_order(PIVOT_HEADINGS, "MSA"), f"{out}/group_changes")
     ranked = ranked_report(comparison, focus_label, CLASS_LABELS, RANKED_HEADINGS)
-    write_report(ranked, ["row_id"], f"{out}/focus_chart_output", index=None)
+    write_report(ranked, ["row_id"], f"{out}/class_ranking", index=None)
 
     views = {c: class_view(comparison, c) for c in [ALL, *CLASS_LABELS]}
     return {

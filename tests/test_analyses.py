@@ -166,16 +166,16 @@ def test_national_comparison(national_units):
 def test_national_run(spark, paths, tmp_path):
     tables = national.run(spark, paths, str(tmp_path), "Focus Region")
     assert tables["units"].columns[:35] == CENTRAL
-    focus = read_csv(tmp_path / "tract_demog_responses_focus")
+    focus = read_csv(tmp_path / "focus_tracts")
     assert len(focus) == 4 and focus[0][:35] == CENTRAL
 
-    pivoted = read_csv(tmp_path / "msa_chart_output")
+    pivoted = read_csv(tmp_path / "group_changes")
     assert pivoted[0] == ["row_id", "MSA", "Overall Change", "Hispanic Tract Change"]
     assert [r[:2] for r in pivoted[1:]] == [["1", "South"], ["2", "Lakes, IL"], ["3", "Small"]]
     assert pivoted[1][3] == "NA"
     assert float(pivoted[1][2]) == pytest.approx(-0.05)
 
-    ranked = read_csv(tmp_path / "focus_chart_output")
+    ranked = read_csv(tmp_path / "class_ranking")
     assert ranked[0][1] == "Tract Racial Majority"
     assert [r[:2] for r in ranked[1:]] == [["1", "White"], ["2", "Hispanic"]]
     assert [r[4:] for r in ranked[1:]] == [["2", "2"], ["1", "1"]]
@@ -226,7 +226,7 @@ def test_region_places(spark, paths, tmp_path):
     assert row.GEOID == "1714000" and row.dif == pytest.approx(2.5)
     assert (row.other, row.nonwh, row.popul) == (5.0, 40.0, 100.0)
     focus_region.export_places(spark, paths, str(tmp_path), REGION)
-    assert len(read_csv(tmp_path / "place_demog_responses")) == 2
+    assert len(read_csv(tmp_path / "focus_places")) == 2
 
 
 def test_missing_responses(spark, paths):
@@ -335,3 +335,25 @@ def test_published_report_shape(spark):
     overall = [r["Overall Change"] for r in rows]
     assert overall == sorted(overall) and max(map(abs, overall)) < 1
     assert sum(r["Black Tract Change"] is None for r in rows) == 5
+
+
+def test_checkpoints_on_a_cluster_must_be_shared():
+    class Context:
+        master = "spark://host:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = conf, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        use_checkpoints(Session())
+    shared = Session(**{"spark.checkpoint.dir": "hdfs:///shared"})
+    use_checkpoints(shared)
+    assert shared.sparkContext.folder == "hdfs:///shared"

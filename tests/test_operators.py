@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -557,3 +559,61 @@ def test_frame_equality(frame):
     extra = frame("k string, x double, s string", ("a", 1.0, "p"), ("b", None, None), ("c", None, None))
     row = frame_equality(a, extra, ["k"], ["x", "s"]).first()
     assert (row.n_rows, row.min_matches, row.equal) == (3, 2, False)
+
+
+def brute_comparison(rows, dedupe):
+    """The comparison from its definition, row by row."""
+
+    def cells(rate, weight, label):
+        kept = [r for r in rows if r[rate] is not None and r[weight] is not None]
+        groups = {}
+        for r in kept:
+            for c in (r[label], "all"):
+                groups.setdefault((c, r["grp"]), []).append(r)
+        seen = set()
+        for r in kept:
+            if dedupe and r["unit"] in seen:
+                continue
+            seen.add(r["unit"])
+            for c in (r[label], "all"):
+                groups.setdefault((c, "all"), []).append(r)
+        out = {}
+        for key, members in groups.items():
+            total = sum(m[weight] for m in members)
+            mean = sum(m[rate] * m[weight] for m in members) / total if total else None
+            out[key] = (mean, len(members))
+        return out
+
+    prior, current = cells("r10", "w10", "c10"), cells("r18", "w18", "c18")
+    return {
+        key: (mean, *current.get(key, (None, None)), n) for key, (mean, n) in prior.items()
+    }
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_comparison_against_brute_force(spark, dedupe):
+    rng = random.Random(11)
+    rows = []
+    for unit in range(400):
+        measures = {
+            "unit": f"u{unit}",
+            "c10": rng.choice(["a", "b", "c"]),
+            "c18": rng.choice(["a", "b", "d"]),
+            "r10": rng.choice([None, 40.0, 55.5, 80.0]),
+            "r18": rng.choice([None, 45.0, 60.0]),
+            "w10": rng.choice([None, 0.0, 1.0, 250.0]),
+            "w18": rng.choice([0.0, 3.0, 90.0]),
+        }
+        for group in rng.sample(["G1", "G2", "G3", None], rng.randint(1, 3)):
+            rows.append({**measures, "grp": group})
+    schema = "unit string, c10 string, c18 string, r10 double, r18 double, w10 double, w18 double, grp string"
+    units = spark.createDataFrame(rows, schema).repartition(5)
+    got = compare_periods(units, "grp", PRIOR, CURRENT, dedupe_total=dedupe, unit=["unit"])
+    cells = {(r["class"], r.group): r for r in got.collect()}
+    want = brute_comparison(rows, dedupe)
+    assert set(cells) == set(want)
+    for key, (prior, current, n_current, n_prior) in want.items():
+        row = cells[key]
+        assert row.n_prior == n_prior and row.n_current == n_current, key
+        for value, expected in ((row.prior, prior), (row.current, current)):
+            assert value == (None if expected is None else pytest.approx(expected)), key
