@@ -10,7 +10,6 @@ is under ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,27 +47,23 @@ def keyed_join(
     pairs = _pairs(keys)
     aside = {right_key: f"__key_{i}" for i, (_, right_key) in enumerate(pairs)}
     right = right.withColumnsRenamed(aside)
-
-    def matches(left_key: str, right_key: str) -> Column:
-        a, b = named(left_key), named(aside[right_key])
-        return a.eqNullSafe(b) if null_safe else a == b
-
-    condition = reduce(lambda p, q: p & q, [matches(a, b) for a, b in pairs])
+    equals = "<=>" if null_safe else "="
+    condition = F.expr(" AND ".join(f"`{a}` {equals} `{aside[b]}`" for a, b in pairs))
     if how in ("left_semi", "left_anti"):
         return left.join(right, condition, how)
 
+    left_columns = left.columns
     right_columns = [c for c in right.columns if c not in aside.values()]
-    seen = {c.lower() for c in left.columns}
+    seen = {c.lower() for c in left_columns}
     clashes = [c for c in right_columns if c.lower() in seen]
     if clashes:
         raise ValueError(f"both sides have {clashes}; rename or use suffix_collisions first")
 
-    from_right = {a: aside[b] for a, b in pairs} if how in ("full", "right") else {}
-    kept = [
-        F.coalesce(named(c), named(from_right[c])).alias(c) if c in from_right else named(c)
-        for c in left.columns
-    ]
-    return left.join(right, condition, how).select(*kept, *[named(c) for c in right_columns])
+    joined = left.join(right, condition, how)
+    if how in ("full", "right"):
+        either = {a: F.expr(f"coalesce(`{a}`, `{aside[b]}`)") for a, b in pairs}
+        joined = joined.withColumns(either)
+    return joined.drop(*aside.values())
 
 
 def full_join(left: DataFrame, right: DataFrame, keys: Keys, null_safe: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ from areashift.operators.rates import align_vintages, join_vintages
 from areashift.operators.regional import discrepancy, regional_rollup
 from areashift.operators.reports import chart_frame, pivoted_report, ranked_report
 from areashift.schemas import Demographics
+from areashift.session import configure
 from queries import star
 from queries.star import table
 
@@ -418,10 +420,20 @@ def q_frame_equality(spark, sf_dir):
     return frame_equality(first, last, ["supplier"], columns, tolerance=1e-6)
 
 
+def configured(query: Callable[[SparkSession, str], DataFrame]):
+    """The query under the adaptive settings its plan relies on."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(configure(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by name."""
     return {
-        name.removeprefix("q_"): function
+        name.removeprefix("q_"): configured(function)
         for name, function in globals().items()
         if name.startswith("q_")
     }
