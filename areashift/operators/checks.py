@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areashift.functions import clean, strict_sum, total, weighted_mean
+from areashift.functions import clean, strict_sum, to_number, total, weighted_mean
 from areashift.operators.interpolate import SourceSet
 from areashift.operators.joins import full_join, left_join, named
 
@@ -293,7 +293,7 @@ def frame_equality(
 
 def missing_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many units, and how many lack each measure, any, or all of them."""
-    gaps = [clean(named(c).try_cast("double")).isNull() for c in columns]
+    gaps = [to_number(named(c)).isNull() for c in columns]
     return rows.agg(
         F.count(F.lit(1)).alias("units"),
         *[F.count_if(g).alias(f"missing_{c}") for g, c in zip(gaps, columns)],

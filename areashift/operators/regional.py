@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from areashift.functions import clean, strict_sum, weighted_mean
+from areashift.functions import strict_sum, to_number, weighted_mean
 from areashift.operators.joins import Keys, full_join, left_join, named
 
 
@@ -29,7 +29,7 @@ def regional_frame(
     key does not depend on the tables listing the units in the same order.
     """
     frame = full_join(weights, rates, keys)
-    frame = frame.withColumns({c: clean(named(c).try_cast("double")) for c in numeric})
+    frame = frame.withColumns({c: to_number(named(c)) for c in numeric})
     for alternative in alternatives:
         frame = left_join(frame, alternative, [key])
     return frame

@@ -6,7 +6,7 @@ Every code is a string: a code read as a number loses its leading zeros.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql.types import (
     DoubleType,
@@ -69,15 +69,18 @@ SNAPSHOT = _schema("GEO_ID", "CRRALL")
 
 @dataclass(frozen=True)
 class Demographics:
-    """Which survey variable holds which measure in one vintage."""
+    """Which survey variable holds which measure in one vintage.
+
+    ``whole`` names the shares that, with the residual, make up 100.
+    """
 
     variables: Mapping[str, str]
     whole: tuple[str, ...] = ("hispa", "white", "black", "asian")
-    columns: Mapping[str, str] = field(init=False)
 
-    def __post_init__(self):
-        estimates = {f"{variable}E": name for variable, name in self.variables.items()}
-        object.__setattr__(self, "columns", estimates)
+    @property
+    def columns(self) -> dict[str, str]:
+        """Estimate column of the wide table to measure."""
+        return {f"{variable}E": measure for variable, measure in self.variables.items()}
 
 
 # Variable ids of the two survey vintages, and what they measure.

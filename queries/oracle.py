@@ -151,8 +151,9 @@ comparison AS (
 COMPARISON = _comparison()
 
 
-def _rounded(names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names.split())
+def _rounded(names: str, digits: int = 6, money: int = 2) -> str:
+    places = {n: money if n.startswith(("price", "spend")) else digits for n in names.split()}
+    return ", ".join(f"round({n}, {d}) AS {n}" for n, d in places.items())
 
 
 SHOWN = (
@@ -335,11 +336,11 @@ FROM attrs GROUP BY 1, 2""",
 SELECT ord AS "order", sup AS supplier, {_rounded('all_s all_t open_s open_t')} FROM cw""",
         "attach_attributes": f"""WITH {ATTACHED}
 SELECT coalesce(ord, okey) AS "order", sup::VARCHAR AS supplier,
-       {_rounded('all_s all_t open_s open_t price urgent finished orders spend')} FROM attached""",
+       {_rounded('all_s all_t open_s open_t price urgent finished orders spend', money=6)} FROM attached""",
         "interpolate_means": f"""WITH {INTERPOLATED}
-SELECT sup::VARCHAR AS supplier, round(price10, 6) AS price, round(urgent10, 6) AS urgent FROM interp""",
+SELECT sup::VARCHAR AS supplier, round(price10, 2) AS price, round(urgent10, 6) AS urgent FROM interp""",
         "interpolate_counts": f"""WITH {INTERPOLATED}
-SELECT sup::VARCHAR AS supplier, round(orders10, 6) AS orders, round(spend10, 6) AS spend FROM interp""",
+SELECT sup::VARCHAR AS supplier, round(orders10, 6) AS orders, round(spend10, 2) AS spend FROM interp""",
         "areal_interpolate": f"""WITH {INTERPOLATED}
 SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
 FROM interp""",
@@ -434,8 +435,8 @@ rows AS (
   SELECT 'orders' AS figure, b.orders AS before, a.orders AS after FROM a, b
   UNION ALL SELECT 'spend', b.spend, a.spend FROM a, b
   UNION ALL SELECT 'urgent', b.urgent, a.urgent FROM a, b)
-SELECT figure, round(before, 4) AS before, round(after, 4) AS after,
-       round(abs(1 - after / nullif(before, 0)), 4) AS relative_error,
+SELECT figure, round(before, 3) AS before, round(after, 3) AS after,
+       round(abs(1 - after / nullif(before, 0)), 3) AS relative_error,
        abs(1 - after / nullif(before, 0)) < 0.05 AS passed
 FROM rows""",
         "case_checks": _case_checks(),

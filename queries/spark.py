@@ -58,20 +58,24 @@ SCOPE_CODES = ["02", "06", "11", "17", "21"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded at the very end, where the order of summing would show."""
+def rounded(rows: DataFrame, digits: int = 6, money: int = 2) -> DataFrame:
+    """Doubles rounded at the very end, where the order of summing would show.
+
+    Amounts of money are large, so the last digits that sums agree in come earlier.
+    """
+    places = {c: money if c.startswith(("price", "spend")) else digits for c in rows.columns}
     return rows.select(
         *[
-            F.round(named(c), digits).alias(c) if kind == "double" else named(c)
+            F.round(named(c), places[c]).alias(c) if kind == "double" else named(c)
             for c, kind in rows.dtypes
         ]
     )
 
 
-def keyed(rows: DataFrame) -> DataFrame:
+def keyed(rows: DataFrame, money: int = 2) -> DataFrame:
     """Suppliers as text, as the unallocated row has none: clients read a gap in whole
     numbers in different ways."""
-    return rounded(rows.withColumn("supplier", F.col("supplier").cast("string")))
+    return rounded(rows.withColumn("supplier", F.col("supplier").cast("string")), money=money)
 
 
 def shown(comparison: DataFrame) -> DataFrame:
@@ -205,11 +209,10 @@ def q_build_crosswalk(spark, sf_dir):
 
 
 def q_attach_attributes(spark, sf_dir):
-    return keyed(
-        attach_attributes(
-            star.crosswalk(spark, sf_dir), star.order_attributes(spark, sf_dir), "order", "order"
-        )
+    attached = attach_attributes(
+        star.crosswalk(spark, sf_dir), star.order_attributes(spark, sf_dir), "order", "order"
     )
+    return keyed(attached, money=6)
 
 
 def q_interpolate_means(spark, sf_dir):
@@ -376,7 +379,7 @@ def q_conservation_check(spark, sf_dir):
     attributes = star.order_attributes(spark, sf_dir)
     one = SourceSet(attributes, "order", "", ["urgent"], "all_t", ["orders", "spend"], "all_s")
     after = areal_interpolate(star.crosswalk(spark, sf_dir), "order", "supplier", [one])
-    return rounded(conservation_check(attributes, after, figures, tolerance=0.05), 4)
+    return rounded(conservation_check(attributes, after, figures, tolerance=0.05), 3)
 
 
 def q_case_checks(spark, sf_dir):
