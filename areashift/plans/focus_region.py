@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from areashift.operators.checks import (
     target_check,
 )
 from areashift.operators.interpolate import SourceSet
-from areashift.operators.joins import full_join, left_join, restrict_to
+from areashift.operators.joins import left_join, restrict_to
 from areashift.operators.peers import partition_union
 from areashift.operators.rates import join_vintages
 from areashift.plans.inputs import (
@@ -25,6 +25,7 @@ from areashift.plans.inputs import (
     Region,
     demographics,
     interpolate_tracts,
+    join_response,
     rates,
     region_crosswalk,
     response,
@@ -33,7 +34,7 @@ from areashift.plans.inputs import (
 )
 from areashift.schemas import DEMOGRAPHICS_2018
 from areashift.sources.readers import read_crosswalk, read_place_list
-from areashift.sources.writers import write_export
+from areashift.sources.writers import materialize, write_export
 
 
 @dataclass(frozen=True)
@@ -79,8 +80,7 @@ def region_response(spark: SparkSession, paths: Paths, region: Region = Region()
 def region_tracts(spark: SparkSession, paths: Paths, region: Region = Region()) -> DataFrame:
     """Interpolated demographics joined to the region's rates."""
     interpolated = region_tables(spark, paths, region).interpolated
-    rates_ = region_response(spark, paths, region)
-    return full_join(interpolated, rates_, [("GEOID20", "GEOID")], null_safe=False)
+    return join_response(interpolated, region_response(spark, paths, region))
 
 
 def place_response(spark: SparkSession, paths: Paths, region: Region = Region()) -> DataFrame:
@@ -105,18 +105,24 @@ def missing_responses(
 
 
 def conservation(tables: RegionTables, tolerance: float = 1e-4) -> DataFrame:
-    """Population, housing and mean income before and after, both vintages."""
-    checks = []
-    for suffix in VINTAGES:
-        figures = [
-            Conserved(f"popul{suffix}", "popul", f"popul{suffix}"),
-            Conserved(f"hunit{suffix}", "hunit", f"hunit{suffix}"),
-            Conserved(f"hhinc{suffix}", "hhinc", f"hhinc{suffix}", "popul", f"popul{suffix}"),
+    """Population, housing and mean income before and after, both vintages.
+
+    The vintages stand under one another with columns of their own, so that all
+    figures come from one look at the interpolated tracts.
+    """
+    measures = ("popul", "hunit", "hhinc")
+    before = partition_union(
+        [
+            tables.vintage(s).select(*[F.col(m).alias(f"{m}{s}") for m in measures])
+            for s in VINTAGES
         ]
-        checks.append(
-            conservation_check(tables.vintage(suffix), tables.interpolated, figures, tolerance)
-        )
-    return partition_union(checks)
+    )
+    figures = []
+    for s in VINTAGES:
+        figures += [Conserved(f"{m}{s}", f"{m}{s}", f"{m}{s}") for m in ("popul", "hunit")]
+        income, people = f"hhinc{s}", f"popul{s}"
+        figures.append(Conserved(income, income, income, people, people))
+    return conservation_check(before, tables.interpolated, figures, tolerance)
 
 
 def case_verdicts(
@@ -185,6 +191,32 @@ def same_as_national(
     )
 
 
-def export_places(spark: SparkSession, paths: Paths, out: str, region: Region = Region()) -> None:
-    """Write the place table."""
-    write_export(region_places(spark, paths, region), f"{out}/focus_places")
+def run(
+    spark: SparkSession,
+    paths: Paths,
+    out: str,
+    national_tracts: DataFrame | None = None,
+    region: Region = Region(),
+) -> dict[str, DataFrame]:
+    """Write the place table and every check under ``out``.
+
+    ``national_tracts`` are the region's tracts as the national comparison has them; when
+    given, both are compared. The interpolated tracts feed several checks, so they are
+    written once as a table.
+    """
+    tables = region_tables(spark, paths, region)
+    interpolated = materialize(tables.interpolated, f"{out}/tables/region_interpolated")
+    tables = replace(tables, interpolated=interpolated)
+    results = {
+        "focus_places": region_places(spark, paths, region),
+        "conservation": conservation(tables),
+        "cases": case_verdicts(tables),
+        "missing_tracts": missing_responses(spark, paths, "tract", region),
+        "missing_places": missing_responses(spark, paths, "place", region),
+    }
+    if national_tracts is not None:
+        tracts = join_response(interpolated, region_response(spark, paths, region))
+        results["same_as_national"] = same_as_national(tracts, national_tracts)
+    for name, rows in results.items():
+        write_export(rows, f"{out}/{name}")
+    return results

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from areashift.functions import strip_prefix
 from areashift.operators.demographics import clean_demographics
 from areashift.operators.interpolate import SourceSet, areal_interpolate
+from areashift.operators.joins import full_join
 from areashift.operators.rates import align_vintages
 from areashift.schemas import (
     COUNTS,
@@ -137,6 +138,15 @@ def interpolate_tracts(
     return areal_interpolate(crosswalk, "GEOID10", "GEOID20", sets, unallocated)
 
 
+def join_response(interpolated: DataFrame, rates_: DataFrame) -> DataFrame:
+    """Interpolated tracts with their rates, tracts of either side kept.
+
+    Both sides hold a tract once, and every rate has its tract: plain equality lets the
+    join reuse the partitioning of the interpolation's aggregate.
+    """
+    return full_join(interpolated, rates_, [("GEOID20", "GEOID")], null_safe=False)
+
+
 def region_crosswalk(crosswalk: DataFrame, region: Region) -> DataFrame:
     """Overlaps whose old tract lies in the region."""
     return crosswalk.where(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from areashift.functions import key_prefix, majority_class
 from areashift.operators.compare import ALL, Period, class_view, compare_periods
-from areashift.operators.joins import full_join, restrict_to
+from areashift.operators.joins import restrict_to
 from areashift.operators.peers import assign_groups, focus, top_k
 from areashift.operators.reports import (
     chart_frame,
@@ -14,7 +14,13 @@ from areashift.operators.reports import (
     pivoted_report,
     ranked_report,
 )
-from areashift.plans.inputs import Paths, interpolate_tracts, response, tract_demographics
+from areashift.plans.inputs import (
+    Paths,
+    interpolate_tracts,
+    join_response,
+    response,
+    tract_demographics,
+)
 from areashift.schemas import (
     CLASS_LABELS,
     CLASS_ORDER,
@@ -49,12 +55,7 @@ def tract_units(spark: SparkSession, paths: Paths, unallocated: bool = True) ->
         *tract_demographics(spark, paths),
         unallocated=unallocated,
     )
-    # Both sides hold a tract once, and every rate has its tract: plain equality lets
-    # the join reuse the partitioning of the interpolation's aggregate.
-    tracts = full_join(
-        interpolated, response(spark, paths, "tract"), [("GEOID20", "GEOID")], null_safe=False
-    )
-    return classify(tracts)
+    return classify(join_response(interpolated, response(spark, paths, "tract")))
 
 
 def peer_metros(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:

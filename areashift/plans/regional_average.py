@@ -16,6 +16,7 @@ from areashift.operators.regional import (
 from areashift.plans.inputs import Paths, Region, rates, tract_demographics, unit_keys
 from areashift.schemas import COUNTY_PREFIX, HOUSING
 from areashift.sources.readers import pull_demographics, read_snapshot
+from areashift.sources.writers import materialize, write_export
 
 MEANS = {
     "current": ("CRRALL", "hunit18"),
@@ -90,3 +91,21 @@ def county_discrepancy(tracts: DataFrame, frame: DataFrame) -> DataFrame:
     return discrepancy(
         tracts, "county", "FSRR2010", "hunit10", frame, ["FSRR2010", "NAME"], "sum"
     )
+
+
+def run(
+    spark: SparkSession,
+    paths: Paths,
+    out: str,
+    tracts: DataFrame,
+    region: Region = Region(),
+) -> dict[str, DataFrame]:
+    """Write the means and, for the region's ``tracts``, the discrepancy by county."""
+    frame = materialize(region_frame(spark, paths, region), f"{out}/tables/region_counties")
+    results = {
+        "region_means": region_means(frame),
+        "county_discrepancy": county_discrepancy(tracts, frame),
+    }
+    for name, rows in results.items():
+        write_export(rows, f"{out}/{name}")
+    return results

@@ -220,13 +220,21 @@ def test_case_verdicts(region):
     assert undecided == {("averaged", "17197880903", "hhinc")}
 
 
-def test_region_places(spark, paths, tmp_path):
-    places = focus_region.region_places(spark, paths, REGION)
-    (row,) = places.collect()
+def test_region_places(spark, paths):
+    (row,) = focus_region.region_places(spark, paths, REGION).collect()
     assert row.GEOID == "1714000" and row.dif == pytest.approx(2.5)
     assert (row.other, row.nonwh, row.popul) == (5.0, 40.0, 100.0)
-    focus_region.export_places(spark, paths, str(tmp_path), REGION)
-    assert len(read_csv(tmp_path / "focus_places")) == 2
+
+
+def test_region_run(spark, paths, tmp_path):
+    everywhere = national.tract_units(spark, paths).where(
+        (F.col("state") == "17") & F.col("county").isin(list(REGION.counties))
+    )
+    results = focus_region.run(spark, paths, str(tmp_path), everywhere, REGION)
+    assert results["same_as_national"].first().equal
+    written = {name: read_csv(tmp_path / name) for name in results}
+    assert len(written["focus_places"]) == 2 and len(written["conservation"]) == 7
+    assert written["focus_places"][0][:5] == ["GEOID", "GEO_ID", "state", "place", "NAME"]
 
 
 def test_missing_responses(spark, paths):
@@ -269,6 +277,13 @@ def test_county_discrepancy(spark, paths, national_units):
     assert row["sum"] == pytest.approx(want)
 
 
+def test_average_run(spark, paths, national_units, tmp_path):
+    focus = national_units.where("MSA = 'Focus Region'")
+    regional_average.run(spark, paths, str(tmp_path), focus, REGION)
+    assert read_csv(tmp_path / "region_means")[0] == list(regional_average.MEANS)
+    assert len(read_csv(tmp_path / "county_discrepancy")) == 2
+
+
 # writers
 
 
@@ -357,3 +372,14 @@ def test_checkpoints_on_a_cluster_must_be_shared():
     shared = Session(**{"spark.checkpoint.dir": "hdfs:///shared"})
     use_checkpoints(shared)
     assert shared.sparkContext.folder == "hdfs:///shared"
+
+
+def test_command_line(spark, paths, tmp_path):
+    from areashift.__main__ import main
+
+    arguments = ["--out", str(tmp_path), "--focus-label", "Focus Region", "--counties", "031", "197"]
+    for name, value in vars(paths).items():
+        arguments += [f"--{name.replace('_', '-')}", value]
+    main(arguments)
+    for name in ("focus_tracts", "group_changes", "class_ranking", "focus_places", "region_means"):
+        assert len(read_csv(tmp_path / name)) > 1, name
