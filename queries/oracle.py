@@ -410,7 +410,11 @@ SELECT row_number() OVER (ORDER BY prior DESC NULLS LAST) AS row_id,
        round(prior / 100, 6) AS "1996 Rate", round(current / 100, 6) AS "2000 Rate",
        n_prior AS "Suppliers in 1996", n_current::DOUBLE AS "Suppliers in 2000"
 FROM comparison WHERE "group" = 'FOCUS' AND class <> 'all'""",
-        "partition_union": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer",
+        "partition_union": """
+SELECT c_name AS name, lpad(c_nationkey::VARCHAR, 2, '0') AS code, c_mktsegment AS segment,
+       c_acctbal AS balance FROM customer
+UNION ALL
+SELECT s_name, lpad(s_nationkey::VARCHAR, 2, '0'), NULL, s_acctbal FROM supplier""",
         "first_codes": """
 SELECT DISTINCT lpad(c_nationkey::VARCHAR, 2, '0') AS code FROM customer ORDER BY 1 LIMIT 12""",
         "regional_rollup": f"""WITH {NATIONS}

@@ -10,8 +10,11 @@ suppliers of one region beside their own nation.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from areashift.functions import key_prefix, majority_class, normalize_code, total
 from areashift.operators.compare import Period, compare_periods
@@ -31,25 +34,15 @@ CURRENT = Period("class18", "rate18", "orders18")
 LABELS = {"R": "Returned", "A": "Accepted", "N": "New", "none": "No Majority"}
 
 
-# With the schema given, opening a table looks at no file.
-SCHEMAS = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
-    "c_mktsegment string",
-    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
-    "p_retailprice double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
-    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-}
+@cache
+def schema_of(spark: SparkSession, path: str) -> StructType:
+    """A table's schema, looked up in its files once per session."""
+    return spark.read.parquet(path).schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(schema_of(spark, path)).parquet(path)
 
 
 def crosswalk(
