@@ -443,6 +443,22 @@ SELECT figure, round(before, 3) AS before, round(after, 3) AS after,
        round(abs(1 - after / nullif(before, 0)), 3) AS relative_error,
        abs(1 - after / nullif(before, 0)) < 0.05 AS passed
 FROM rows""",
+        "landed_facts": """
+SELECT lpad(s_nationkey::VARCHAR, 2, '0') || lpad(s_suppkey::VARCHAR, 9, '0') AS GEOID,
+       s_name AS NAME,
+       round(sum(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS AE,
+       round(sum(l_discount) FILTER (WHERE l_returnflag = 'A'), 6) AS AM,
+       round(sum(l_quantity) FILTER (WHERE l_returnflag = 'N'), 6) AS NE,
+       round(sum(l_discount) FILTER (WHERE l_returnflag = 'N'), 6) AS NM,
+       round(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 6) AS RE,
+       round(sum(l_discount) FILTER (WHERE l_returnflag = 'R'), 6) AS RM
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+WHERE extract(year FROM l_shipdate) = 2000 GROUP BY 1, 2""",
+        "csv_round_trip": f"""WITH {ATTRIBUTES}
+SELECT okey::VARCHAR AS "order", price, spend FROM attrs""",
+        "row_index": """
+SELECT row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS row_id,
+       c_custkey, c_acctbal FROM customer""",
         "case_checks": _case_checks(),
         "frame_equality": _frame_equality(),
     }

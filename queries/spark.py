@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from areashift.functions import (
     complement_share,
@@ -47,7 +48,9 @@ from areashift.operators.rates import align_vintages, join_vintages
 from areashift.operators.regional import discrepancy, regional_rollup
 from areashift.operators.reports import chart_frame, pivoted_report, ranked_report
 from areashift.schemas import Demographics
-from areashift.session import configure
+from areashift.session import configure, scratch_folder
+from areashift.sources.readers import pull_demographics, read_delimited
+from areashift.sources.writers import land_facts, with_row_index, write_export
 from queries import star
 from queries.star import table
 
@@ -432,6 +435,52 @@ def q_frame_equality(spark, sf_dir):
     return frame_equality(first, last, ["supplier"], columns, tolerance=1e-6)
 
 
+def q_landed_facts(spark, sf_dir):
+    """Facts of all years landed by year and nation, one year of them read back and widened."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(
+        "l_suppkey", "l_returnflag", F.year("l_shipdate").alias("year")
+    )
+    sums = lines.agg(F.sum("l_quantity").alias("estimate"), F.sum("l_discount").alias("moe"))
+    units = star.supplier_units(spark, sf_dir)
+    facts = left_join(sums, units, [("l_suppkey", "supplier")]).select(
+        F.lit("supplier").alias("geography"),
+        F.lit("lines").alias("survey"),
+        "year",
+        key_prefix("unit", 2).alias("state"),
+        F.substring("unit", 3, 3).alias("county"),
+        F.col("unit").alias("GEOID"),
+        F.col("name").alias("NAME"),
+        F.col("l_returnflag").alias("variable"),
+        "estimate",
+        "moe",
+    )
+    folder = scratch_folder(spark, "facts")
+    land_facts(facts, folder)
+    flags = ["A", "N", "R"]
+    return rounded(pull_demographics(spark, folder, 2000, "lines", flags, "supplier"))
+
+
+def q_csv_round_trip(spark, sf_dir):
+    """Orders written as CSV, missing prices as NA, and read back by header name."""
+    folder = scratch_folder(spark, "orders")
+    orders = star.order_attributes(spark, sf_dir)
+    write_export(orders.select(F.col("order").cast("string"), "price", "spend"), folder)
+    schema = StructType(
+        [
+            StructField("spend", DoubleType()),
+            StructField("order", StringType()),
+            StructField("price", DoubleType()),
+        ]
+    )
+    return read_delimited(spark, folder, schema)
+
+
+def q_row_index(spark, sf_dir):
+    """All customers numbered by balance."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return with_row_index(customers, [F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")])
+
+
 def configured(query: Callable[[SparkSession, str], DataFrame]):
     """The query under the adaptive settings its plan relies on."""
 
