@@ -48,14 +48,32 @@ def classify(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def tract_units(spark: SparkSession, paths: Paths, unallocated: bool = True) -> DataFrame:
-    """The central table: interpolated demographics, rates and classes per new tract."""
+def in_counties(rows: DataFrame, code: str, counties: DataFrame) -> DataFrame:
+    """Rows whose tract code starts with one of the counties' codes."""
+    prefixed = rows.withColumn("__county", key_prefix(code, 5))
+    return restrict_to(prefixed, "__county", counties, "County_GEOID").drop("__county")
+
+
+def tract_units(
+    spark: SparkSession,
+    paths: Paths,
+    unallocated: bool = True,
+    counties: DataFrame | None = None,
+) -> DataFrame:
+    """The central table: interpolated demographics, rates and classes per new tract.
+
+    A new tract depends on its own crosswalk rows only, so with ``counties`` all others
+    are left out before anything is joined.
+    """
+    crosswalk = read_crosswalk(spark, paths.crosswalk)
+    rated = response(spark, paths, "tract")
+    if counties is not None:
+        crosswalk = in_counties(crosswalk, "GEOID20", counties)
+        rated = in_counties(rated, "GEOID", counties)
     interpolated = interpolate_tracts(
-        read_crosswalk(spark, paths.crosswalk),
-        *tract_demographics(spark, paths),
-        unallocated=unallocated,
+        crosswalk, *tract_demographics(spark, paths), unallocated=unallocated
     )
-    return classify(join_response(interpolated, response(spark, paths, "tract")))
+    return classify(join_response(interpolated, rated))
 
 
 def peer_metros(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
@@ -67,12 +85,12 @@ def peer_metros(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
 
 def metro_units(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
     """Tracts of the peer metro areas, once per group they belong to."""
-    units = tract_units(spark, paths, unallocated=False).withColumn(
+    lookup = read_group_lookup(spark, paths.group_lookup)
+    peers = restrict_to(lookup, "MSA_GEOID", peer_metros(spark, paths, k), "GEOID")
+    units = tract_units(spark, paths, unallocated=False, counties=peers).withColumn(
         "stateCountyFIPS", key_prefix("GEOID20", 5)
     )
-    lookup = read_group_lookup(spark, paths.group_lookup)
-    grouped = assign_groups(units, lookup, "stateCountyFIPS", "County_GEOID")
-    return restrict_to(grouped, "MSA_GEOID", peer_metros(spark, paths, k), "GEOID")
+    return assign_groups(units, peers, "stateCountyFIPS", "County_GEOID")
 
 
 def compare(units: DataFrame, dedupe_total: bool = False) -> DataFrame:

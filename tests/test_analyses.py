@@ -26,7 +26,8 @@ from areashift.sources.writers import (
     write_export,
     write_report,
 )
-from areashift.operators.peers import first_codes
+from areashift.operators.joins import restrict_to
+from areashift.operators.peers import assign_groups, first_codes
 from areashift.operators.reports import pivot_order, pivoted_report
 from areashift.session import use_checkpoints
 from conftest import rows_of
@@ -148,6 +149,17 @@ def test_metro_units(national_units):
     ]
 
 
+def test_peers_filtered_first_or_last(spark, paths, national_units):
+    everything = national.tract_units(spark, paths).withColumn(
+        "stateCountyFIPS", F.substring("GEOID20", 1, 5)
+    )
+    lookup = read_group_lookup(spark, paths.group_lookup)
+    grouped = assign_groups(everything, lookup, "stateCountyFIPS", "County_GEOID")
+    last = restrict_to(grouped, "MSA_GEOID", national.peer_metros(spark, paths, 2), "GEOID")
+    assert national_units.columns == last.columns
+    assert rows_of(national_units) == rows_of(last)
+
+
 def test_national_comparison(national_units):
     table = national.published(national.compare(national_units))
     assert table.columns == [
