@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from areashift.llm.exact_dedup import grace_dedup
 from areashift.llm.mixing import MIX_SQL, mix_sources
+from areashift.llm.ngram_join import near_duplicates
 from areashift.llm.pii import find_personal_data
 from areashift.llm.storage import prepared
 from areashift.llm.suffix_dedup import suffix_dedup
@@ -23,6 +24,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
