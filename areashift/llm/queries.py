@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from areashift.llm.decontaminate import LEAKS_SQL, find_leaks
 from areashift.llm.exact_dedup import grace_dedup
 from areashift.llm.mixing import MIX_SQL, mix_sources
 from areashift.llm.ngram_join import near_duplicates
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "question_overlap", "answer_overlap")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL for DuckDB over views of the tables."""
     return {
+        "op2_decontaminate": LEAKS_SQL,
         "op6_mix_sources": MIX_SQL.replace("{docs}", "documents"),
         "op10_exact_dedup": DEDUP_SQL,
     }
