@@ -15,12 +15,17 @@ from areashift.llm.storage import prepared
 from areashift.llm.suffix_dedup import suffix_dedup
 from areashift.llm.substring_dedup import substring_dedup
 from areashift.llm.toxicity import score_toxicity, train
+from areashift.llm.warc import WARC_SQL, archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "question_overlap", "answer_overlap")
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The same results as SQL for DuckDB over views of the tables."""
     return {
+        "op1_warc": WARC_SQL,
         "op2_decontaminate": LEAKS_SQL,
         "op6_mix_sources": MIX_SQL.replace("{docs}", "documents"),
         "op10_exact_dedup": DEDUP_SQL,
