@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from areashift.llm.storage import prepared, stored
 
 #: Rows that a range of keys holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
