@@ -254,11 +254,11 @@ def grace_dedup(
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, all their columns; ids tell rows apart (rows with the same id
-    and text count as one)."""
-    kept = grace_dedup(docs, id_column, text_column).where("kept").select(
-        F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha")
-    )
+    """One row of each group of equal texts, all its columns."""
+    kept = grace_dedup(docs, id_column, text_column).where("kept")
+    key = F.coalesce(F.col(id_column), F.lit(-(2**63)))  # null ids are told apart by text
+    kept = kept.select(key.alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
     sha = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
-    match = (F.col(id_column).eqNullSafe(F.col("__id"))) & (F.col("__digest") == F.col("__sha"))
-    return docs.withColumn("__digest", sha).join(kept, match, "left_semi").drop("__digest")
+    rows = docs.withColumns({"__id": key, "__sha": sha}).dropDuplicates(["__id", "__sha"])
+    match = (F.col("__id") == F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha"))
+    return rows.join(kept, match, "left_semi").drop("__id", "__sha")

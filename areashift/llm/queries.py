@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from areashift.llm.decontaminate import LEAKS_SQL, find_leaks
 from areashift.llm.exact_dedup import grace_dedup
+from areashift.llm.html_extract import extract_main_text
 from areashift.llm.mixing import MIX_SQL, mix_sources
 from areashift.llm.ngram_join import near_duplicates
 from areashift.llm.pii import find_personal_data
@@ -48,6 +49,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))

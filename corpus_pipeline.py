@@ -1,5 +1,65 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
-STAGES = []
+"""A training corpus from raw documents, in stages.
+
+Each stage is (name, function of (spark, docs, sf_dir)); what it returns is written as
+Parquet and read again as the next one's documents. All but the last keep the columns of
+the documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from areashift.llm.decontaminate import drop_leaks
+from areashift.llm.exact_dedup import drop_copies
+from areashift.llm.mixing import mix_sources
+from areashift.llm.ngram_join import Similarity, drop_near_copies
+from areashift.llm.storage import prepared, stored
+from areashift.llm.toxicity import drop_toxic, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject, fitted on the labels of the tables."""
+    prepared(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, train(docs, labels))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return drop_copies(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates, five words and a similarity of 0.8, the smallest doc_id."""
+    return drop_near_copies(docs, Similarity(n=5, num=80, den=100))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    prepared(spark)
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the words taken, repeats counted."""
+    return mix_sources(docs).where("taken > 0")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The classifier cannot be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder of tables."""
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
