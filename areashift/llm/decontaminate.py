@@ -259,8 +259,8 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The documents that hold no item, all columns."""
-    gone = find_leaks(docs, benchmark, id_column=id_column).select(F.col(id_column).alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_column) == F.col("__gone"), "left_anti")
+    gone = find_leaks(docs, benchmark, id_column=id_column).select(F.col(id_column).alias("__leak_gone"))
+    return docs.join(gone.distinct(), F.col(id_column) == F.col("__leak_gone"), "left_anti")
 
 
 #: The pairs by counting n-grams, without an index.

@@ -177,7 +177,7 @@ def grouped(records: Iterable[tuple], level: int, memory: int) -> Iterator[tuple
                 # what is in the table goes to the files too, one record per text
                 kept = [[] for _ in groups]
                 for slot, entry in slots:
-                    kept[entry].append(slot)
+                    kept[entry] += slot if isinstance(slot, list) else [slot]
                 for entry, (rows, doc, row, digest) in enumerate(groups):
                     out = (kept[entry], digest, rows, doc, row, table.contents[entry])
                     pickle.dump(out, files[hash_at(digest, level) % FANOUT])
@@ -257,8 +257,11 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row of each group of equal texts, all its columns."""
     kept = grace_dedup(docs, id_column, text_column).where("kept")
     key = F.coalesce(F.col(id_column), F.lit(-(2**63)))  # null ids are told apart by text
-    kept = kept.select(key.alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    kept = kept.select(key.alias("__dedup_kept"), F.col("text_sha256").alias("__dedup_kept_sha"))
     sha = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumns({"__id": key, "__sha": sha}).dropDuplicates(["__id", "__sha"])
-    match = (F.col("__id") == F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha"))
-    return rows.join(kept, match, "left_semi").drop("__id", "__sha")
+    rows = docs.withColumns({"__dedup_id": key, "__dedup_sha": sha})
+    rows = rows.dropDuplicates(["__dedup_id", "__dedup_sha"])
+    match = (F.col("__dedup_id") == F.col("__dedup_kept")) & (
+        F.col("__dedup_sha") == F.col("__dedup_kept_sha")
+    )
+    return rows.join(kept, match, "left_semi").drop("__dedup_id", "__dedup_sha")

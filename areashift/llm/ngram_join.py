@@ -361,5 +361,5 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, how: Similarity, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each group, that with the smallest id, all columns."""
     found = near_duplicates(docs, how, id_column=id_column, text_column=text_column)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__gone"))
-    return docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")
+    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__dedup_gone"))
+    return docs.join(gone, F.col(id_column) == F.col("__dedup_gone"), "left_anti")
