@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from areashift.llm.graph import components
 from areashift.llm.sketch import cells, merged_sketch
 from areashift.llm.storage import prepared, stored
-from areashift.llm.windows import BASES, Hashes, keyed_texts, word_units
+from areashift.llm.windows import BASES, Hashes, keyed_texts, texts_of, word_units
 
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
@@ -133,7 +133,8 @@ def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFram
             found = [ngrams(t, how.n).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "grams"])
 
-    found = texts.join(wanted, on).select("node", "text").mapInArrow(sets, "node binary, grams binary")
+    some, _ = texts_of(texts, wanted.select(F.col("__digest").alias("digest")))
+    found = some.join(wanted, on).select("node", "text").mapInArrow(sets, "node binary, grams binary")
     return stored(found.dropDuplicates(["node"]), "grams")
 
 
@@ -166,7 +167,7 @@ def star_pairs(postings: DataFrame, round_: int) -> DataFrame:
     pivots = postings.groupBy(F.col("gram").alias("__gram")).agg(
         F.min(F.struct(place.alias("place"), "node", "label")).alias("p")
     )
-    near = postings.join(pivots, F.col("gram") == F.col("__gram")).where("label <> p.label")
+    near = postings.join(pivots, F.col("gram").eqNullSafe(F.col("__gram"))).where("label <> p.label")
     counted = near.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best"))
     return best.select(F.col("node").alias("u"), F.col("best.pivot").alias("v"))
@@ -190,7 +191,8 @@ def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("label").alias("__least"), F.max("label").alias("__most"), F.count(F.lit(1)).alias("size")
     )
     groups = groups.where("__least <> __most").select("__gram", "size")
-    return now.join(groups, F.col("gram") == F.col("__gram")).drop("__gram")
+    # null-safe, so that either side has an exchange of its own and a hot n-gram can be split
+    return now.join(groups, F.col("gram").eqNullSafe(F.col("__gram"))).drop("__gram")
 
 
 class PrefixTree:

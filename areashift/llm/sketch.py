@@ -111,10 +111,26 @@ def repeated_flags(counts: np.ndarray) -> np.ndarray:
     return np.packbits(counts > 1)
 
 
-def maybe_repeated(flags: np.ndarray, keys: np.ndarray, bits: int = WIDTH_BITS) -> np.ndarray:
-    """Whether each key was counted more than once, by flags of a merged sketch."""
+def present_flags(counts: np.ndarray) -> np.ndarray:
+    """A bit per cell: counted at all."""
+    return np.packbits(counts > 0)
+
+
+def flagged(flags: np.ndarray, keys: np.ndarray, bits: int = WIDTH_BITS) -> np.ndarray:
+    """Whether each key may be among those flagged, by flags of a merged sketch."""
     out = np.ones(len(keys), dtype=bool)
     for row in range(len(flags)):
         at = cells(keys, row, bits)
         out &= (flags[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def key_flags(rows: DataFrame, column: str) -> np.ndarray:
+    """Flags of the keys (64-bit numbers) in a column: a filter of fixed size that lets all of
+    them through, and of others the more the more keys there are."""
+
+    def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column(0).to_numpy().view(np.uint64)
+
+    return merged_sketch(rows.select(column), keys_of, present_flags, depth=1)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory however
 #: long texts are (one text longer than that is a batch of its own).
 ARROW = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 

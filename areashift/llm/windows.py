@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areashift.llm.sketch import maybe_repeated, merged_sketch, mixed, repeated_flags
+from areashift.llm.sketch import flagged, key_flags, merged_sketch, mixed, repeated_flags
 from areashift.llm.storage import prepared, stored
 
 #: Units handled at once: a longer text goes in pieces that overlap by a window.
-PIECE = 1 << 19
+PIECE = 1 << 18
 BASES = (0x9E3779B97F4A7C55, 0xD1342543DE82EF95)
 #: White space that parts words: blank and \t\n\v\f\r.
 SPACE = np.zeros(256, dtype=bool)
@@ -58,7 +58,7 @@ class Hashes:
     """Hashes of any stretch of a sequence of units, by prefix sums of a polynomial."""
 
     def __init__(self, units: np.ndarray, base: int) -> None:
-        size = 1 << max(20, int(len(units)).bit_length())  # one table serves most
+        size = 1 << max(19, int(len(units)).bit_length())  # one table serves most
         self.up, self.down = powers(base, size)
         self.sums = np.zeros(len(units) + 1, dtype=np.uint64)
         np.cumsum(units * self.up[: len(units)], out=self.sums[1:])
@@ -223,7 +223,7 @@ def repeated_runs(texts: DataFrame, spec: Spec) -> DataFrame:
             ids, digests, data = batch.columns
             units = [units_of(t, spec) for t in data.to_pylist()]
             for runs in runs_of(units, spec):
-                keep = np.flatnonzero(maybe_repeated(flags, runs.anchor))
+                keep = np.flatnonzero(flagged(flags, runs.anchor))
                 if not len(keep):
                     continue
                 owner = pa.array(runs.text[keep])
@@ -248,9 +248,30 @@ def run_classes(runs: DataFrame) -> DataFrame:
     )
     classes = stored(classes, "classes")
     kinds = classes.groupBy(F.col("anchor").alias("__anchor")).agg(F.count(F.lit(1)).alias("kinds"))
-    return classes.join(kinds.where("kinds > 1"), F.col("anchor") == F.col("__anchor"), "left").drop(
-        "__anchor"
-    )
+    # null-safe, so that either side has an exchange of its own and a hot anchor can be split
+    on = F.col("anchor").eqNullSafe(F.col("__anchor"))
+    return classes.join(kinds.where("kinds > 1"), on, "left").drop("__anchor")
+
+
+def texts_of(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(some, others): texts that ``keys`` (id, digest) may name, and texts that it does not.
+
+    Only the former need be shuffled to meet what is known of them.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(key_flags(keys, "digest"))
+    names = [c for c, _ in texts.dtypes]
+
+    def part(named: bool) -> DataFrame:
+        def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = names.index("digest")
+            for batch in batches:
+                found = flagged(shared.value, batch.column(at).to_numpy().view(np.uint64))
+                if (found if named else ~found).any():
+                    yield batch.filter(pa.array(found if named else ~found))
+
+        return texts.mapInArrow(select, texts.schema)
+
+    return part(True), part(False)
 
 
 def class_contents(texts: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
@@ -261,7 +282,8 @@ def class_contents(texts: DataFrame, classes: DataFrame, spec: Spec) -> DataFram
     )
     wanted = wanted.withColumnsRenamed({"id": "__id", "digest": "__digest"})
     on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    one = texts.join(wanted, on).select("id", "digest", "text", "wanted")
+    some, _ = texts_of(texts, stored(wanted.select(F.col("__digest").alias("digest")), "wanted"))
+    one = some.join(wanted, on).select("id", "digest", "text", "wanted")
     # rows that are repeated in the input give each class more than once: the same content
     names = [*CLASS, "kinds", "members", "content"]
     schema = (
@@ -374,9 +396,12 @@ def cut(
     schema: str,
 ) -> DataFrame:
     """Every text with ``cutter(text, spans)`` applied; schema is that of its dictionary."""
+    spans = stored(spans, "spans")
+    some, others = texts_of(texts, spans)
     spans = spans.withColumnsRenamed({"id": "__id", "digest": "__digest"})
     on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    joined = texts.join(spans, on, "left").select("id", "text", "spans")
+    joined = some.join(spans, on, "left").select("id", "text", "spans")
+    alone = others.select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +412,7 @@ def cut(
                 [ids, *(pa.array([r[n] for r in out]) for n in names)], [id_column, *names]
             )
 
-    return joined.mapInArrow(apply, f"`{id_column}` long, {schema}")
+    return joined.unionAll(alone).mapInArrow(apply, f"`{id_column}` long, {schema}")
 
 
 def sha256(data: bytes) -> str:
