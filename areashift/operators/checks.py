@@ -216,7 +216,11 @@ def closed_case_check(
     measure: str,
     tolerance: float = 1e-4,
 ) -> DataFrame:
-    """One row: a total over chosen targets against that over the sources they come from."""
+    """One row: a total over chosen targets against that over the sources they come from.
+
+    ``targets_found`` and ``sources_found`` count the units; where one is 0 there is no
+    total of that side and no verdict.
+    """
     got = _only(interpolated, target, targets).select(
         F.lit(True).alias("__got"), clean(named(output_name)).alias("__x")
     )
@@ -225,16 +229,23 @@ def closed_case_check(
     )
     # A row of the other side adds 0, so that only missing values of its own side count.
     def side(is_got: bool) -> Column:
-        return strict_sum(F.when(F.col("__got") == is_got, F.col("__x")).otherwise(F.lit(0.0)))
+        own = F.col("__got") == is_got
+        sum_ = strict_sum(F.when(own, F.col("__x")).otherwise(F.lit(0.0)))
+        return F.when(F.count_if(own) > 0, sum_)
 
     sums = got.unionByName(want).agg(
-        side(True).alias("interpolated"), side(False).alias("recomputed")
+        side(True).alias("interpolated"),
+        side(False).alias("recomputed"),
+        F.count_if(F.col("__got")).alias("targets_found"),
+        F.count_if(~F.col("__got")).alias("sources_found"),
     )
     return sums.select(
         F.lit(case).alias("case"),
         F.lit(measure).alias("measure"),
         "interpolated",
         "recomputed",
+        "targets_found",
+        "sources_found",
         (F.abs(F.col("interpolated") - F.col("recomputed")) <= tolerance).alias("passed"),
     )
 
@@ -256,10 +267,11 @@ def frame_equality(
     columns: Sequence[str],
     tolerance: float = 0.0,
 ) -> DataFrame:
-    """One row: keys seen, matches of every column, their least, and whether all match.
+    """One row: rows seen, matches of every column, their least, and whether all match.
 
     Rows are matched by key, not position. Two missing cells match; a row present on
-    one side only matches nowhere. Doubles may differ by ``tolerance`` of their size (of 1
+    one side only matches nowhere, and neither do rows of a key that a side has twice:
+    they count as many rows as the side with more of them has. Doubles may differ by ``tolerance`` of their size (of 1
     below that): sums over differently split data differ in their last bits.
     """
     doubles = {c for c, kind in left.dtypes if kind == "double"}
@@ -272,18 +284,19 @@ def frame_equality(
         return a.eqNullSafe(b)
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.select(
-            *[named(k) for k in keys],
-            *[named(c).alias(f"__{tag}{i}") for i, c in enumerate(columns)],
-            F.lit(True).alias(f"__in_{tag}"),
+        # one row per key, so that the join cannot multiply
+        firsts = [F.first(named(c)).alias(f"__{tag}{i}") for i, c in enumerate(columns)]
+        return rows.groupBy(*[named(k) for k in keys]).agg(
+            F.count(F.lit(1)).alias(f"__n_{tag}"), *firsts
         )
 
     both = full_join(side(left, "l"), side(right, "r"), list(keys))
-    present = F.col("__in_l").isNotNull() & F.col("__in_r").isNotNull()
+    present = (F.col("__n_l") == 1) & (F.col("__n_r") == 1)
     matches = [
         F.count_if(present & same(i, c)).alias(f"match_{c}") for i, c in enumerate(columns)
     ]
-    counts = both.agg(F.count(F.lit(1)).alias("n_rows"), *matches)
+    n_rows = F.coalesce(F.sum(F.greatest("__n_l", "__n_r")), F.lit(0))
+    counts = both.agg(n_rows.alias("n_rows"), *matches)
     named_matches = [named(f"match_{c}") for c in columns]
     least = named_matches[0] if len(named_matches) == 1 else F.least(*named_matches)
     return counts.withColumn("min_matches", least).withColumn(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areashift.functions import weighted_mean
+from areashift.functions import clean, weighted_mean
 from areashift.operators.joins import named
 
 ALL = "all"
@@ -24,10 +24,14 @@ class Period:
 
 
 def _label(dimension: str, total_label: str) -> Column:
-    # grouping() tells a total from a group whose own key is NULL.
+    # grouping() tells a total from a group whose own key is NULL; one whose key reads like
+    # the total would be taken for it.
+    own = named(dimension).cast("string")
+    refused = F.raise_error(F.lit(f"{dimension} has a value named like the total: {total_label}"))
     return (
         F.when(F.grouping(named(dimension)) == 1, F.lit(total_label))
-        .otherwise(named(dimension).cast("string"))
+        .when(own == total_label, refused.cast("string"))
+        .otherwise(own)
         .alias(dimension)
     )
 
@@ -55,8 +59,8 @@ def _by_period(
         return F.struct(
             F.lit(is_prior).alias("__prior"),
             named(period.label).cast("string").alias("class"),
-            named(period.rate).cast("double").alias("__rate"),
-            named(period.weight).cast("double").alias("__weight"),
+            clean(named(period.rate)).alias("__rate"),
+            clean(named(period.weight)).alias("__weight"),
         )
 
     both = F.inline(F.array(entry(prior, True), entry(current, False)))
@@ -106,7 +110,12 @@ def _once_in_total(long: DataFrame, total_label: str) -> DataFrame:
         _label("class", total_label).alias("__class"),
         *[measure.alias(name) for name, measure in measures.items()],
     )
-    group = F.when(is_total, F.lit(total_label)).otherwise(F.col("group"))
+    refused = F.raise_error(F.lit(f"a group is named like the total: {total_label}"))
+    group = (
+        F.when(is_total, F.lit(total_label))
+        .when(F.col("group") == total_label, refused.cast("string"))
+        .otherwise(F.col("group"))
+    )
     return cells.select(F.col("__class").alias("class"), group.alias("group"), *measures)
 
 

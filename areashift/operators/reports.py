@@ -66,14 +66,15 @@ def ranked_report(
     headings: Sequence[str],
     index: str | None = "row_id",
     scale: float = 100.0,
+    total_label: str = ALL,
 ) -> DataFrame:
-    """The classes of one group, best prior rate first, with rates as fractions.
+    """The classes of one group without the total, best prior rate first, rates as fractions.
 
-    ``headings`` names the class, prior, current and the two count columns. Only
-    classes with a label are shown, which bounds the report by ``len(labels)`` rows:
-    the one place where a window without partitions is safe.
+    ``headings`` names the class, prior, current and the two count columns. A class
+    without a label is shown with a missing one. The window has no partitions: it runs
+    over the classes of one group, as many rows as the comparison has classes.
     """
-    shown = comparison.where((F.col("group") == group) & F.col("class").isin(list(labels)))
+    shown = comparison.where((F.col("group") == group) & (F.col("class") != total_label))
     values = [
         recode("class", labels),
         F.col("prior") / scale,

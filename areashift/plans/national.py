@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from areashift.functions import key_prefix, majority_class
@@ -59,6 +61,7 @@ def tract_units(
     paths: Paths,
     unallocated: bool = True,
     counties: DataFrame | None = None,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The central table: interpolated demographics, rates and classes per new tract.
 
@@ -73,7 +76,7 @@ def tract_units(
     interpolated = interpolate_tracts(
         crosswalk, *tract_demographics(spark, paths), unallocated=unallocated
     )
-    return classify(join_response(interpolated, rated))
+    return classify(join_response(interpolated, rated), threshold)
 
 
 def peer_metros(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
@@ -83,11 +86,13 @@ def peer_metros(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
     return top_k(sizes, "Popul", k, "GEOID")
 
 
-def metro_units(spark: SparkSession, paths: Paths, k: int = PEERS) -> DataFrame:
+def metro_units(
+    spark: SparkSession, paths: Paths, k: int = PEERS, threshold: float = THRESHOLD
+) -> DataFrame:
     """Tracts of the peer metro areas, once per group they belong to."""
     lookup = read_group_lookup(spark, paths.group_lookup)
     peers = restrict_to(lookup, "MSA_GEOID", peer_metros(spark, paths, k), "GEOID")
-    units = tract_units(spark, paths, unallocated=False, counties=peers).withColumn(
+    units = tract_units(spark, paths, False, peers, threshold).withColumn(
         "stateCountyFIPS", key_prefix("GEOID20", 5)
     )
     return assign_groups(units, peers, "stateCountyFIPS", "County_GEOID")
@@ -113,24 +118,38 @@ def published(comparison: DataFrame) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, paths: Paths, out: str, focus_label: str) -> dict[str, DataFrame]:
-    """Write the focus tracts, the comparison and both reports under ``out``.
-
-    The tracts and the comparison feed several outputs each, so they are written once
+def run(
+    spark: SparkSession,
+    paths: Paths,
+    out: str,
+    focus_label: str,
+    headings: Mapping[str, str] = PIVOT_HEADINGS,
+    threshold: float = THRESHOLD,
+    peers: int = PEERS,
+) -> dict[str, DataFrame]:
+    """Write the focus tracts, the comparison, its views by class, the chart's data and both
+    reports under ``out``.
+
+    ``headings`` are the classes and columns of the report of changes, ``threshold`` the
+    share above which a class is the majority, ``peers`` the number of groups. The tracts and the comparison feed several outputs each, so they are written once
     as tables and read back. Returns the tables by name.
     """
-    units = materialize(metro_units(spark, paths), f"{out}/tables/metro_units")
+    units = materialize(metro_units(spark, paths, peers, threshold), f"{out}/tables/metro_units")
     comparison = materialize(compare(units), f"{out}/tables/comparison")
 
     write_export(focus(units, "MSA", focus_label), f"{out}/focus_tracts")
     pivoted = pivoted_report(
-        comparison, PIVOT_HEADINGS, "MSA", excluded_groups=[ALL, focus_label]
+        comparison, headings, "MSA", excluded_groups=[ALL, focus_label]
     )
-    write_report(pivoted, pivot_order(PIVOT_HEADINGS, "MSA"), f"{out}/group_changes")
+    write_report(pivoted, pivot_order(headings, "MSA"), f"{out}/group_changes")
     ranked = ranked_report(comparison, focus_label, CLASS_LABELS, RANKED_HEADINGS)
     write_report(ranked, ["row_id"], f"{out}/class_ranking", index=None)
 
     views = {c: class_view(comparison, c) for c in [ALL, *CLASS_LABELS]}
+    for label, view in views.items():
+        write_export(published(view), f"{out}/class_{label}")
+    write_export(published(comparison), f"{out}/comparison")
+    write_export(chart_frame(comparison, LEGENDS), f"{out}/chart")
     return {
         "units": units,
         "comparison": published(comparison),

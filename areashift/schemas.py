@@ -24,6 +24,7 @@ def _schema(strings: str = "", doubles: str = "") -> StructType:
     )
 
 
+# Column names of the landed inputs.
 FACTS = StructType(
     [
         StructField("geography", StringType()),

@@ -1,8 +1,7 @@
-"""Session settings the plans rely on, and where checkpoints go."""
+"""Session settings the plans rely on, and where tables written on the way go."""
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -25,24 +24,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the
+    session's warehouse, which all machines share as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+
 
-    Only a local master may fall back to a temporary folder: on a cluster it would
-    sit on one machine and be lost with it.
-    """
+def use_checkpoints(spark: SparkSession) -> None:
+    """Point checkpoints at the shared folder unless the session has a place for them."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="areashift-checkpoint-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, where every machine can read and write."""
-    use_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    """A new folder beside the checkpoints, where every machine can read and write, removed
+    when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path

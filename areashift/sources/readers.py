@@ -80,16 +80,35 @@ def read_rates(
 
 
 def read_delimited(
-    spark: SparkSession, path: str | list[str], schema: StructType, separator: str = ","
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType,
+    separator: str = ",",
+    multiline: bool = True,
 ) -> DataFrame:
     """CSV columns picked by header name, typed by the schema; ``NA`` is missing.
 
     Columns may stand in any order and more may be present. Text that does not fit a
     numeric type becomes NULL. Nothing is inferred, so codes keep their leading zeros.
+
+    Quoted cells may hold line breaks, for which a file is read by one task. Large files
+    without them are split with ``multiline=False``, which refuses a line that has other
+    cells than the header, as half of a broken record has.
     """
     raw = spark.read.csv(
-        path, header=True, sep=separator, nullValue="NA", escape='"', inferSchema=False
+        path,
+        header=True,
+        sep=separator,
+        nullValue="NA",
+        escape='"',
+        inferSchema=False,
+        multiLine=multiline,
+        mode="PERMISSIVE" if multiline else "FAILFAST",
     )
+    if not multiline:
+        # cells are counted only where all columns are parsed
+        whole = F.struct(*[named(c) for c in raw.columns])
+        raw = raw.where(whole.isNotNull())
 
     def typed(f: StructField):
         if f.dataType == StringType():

@@ -13,7 +13,7 @@ from areashift.session import use_checkpoints
 
 
 def land_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store long facts so that a survey and a state can be read alone.
+    """Store long facts so that a survey and a state can be read alone. An action.
 
     The rebalance hint lets Spark split a state that holds much of the data over
     several tasks and files, and join small ones.
@@ -24,13 +24,13 @@ def land_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def materialize(rows: DataFrame, path: str) -> DataFrame:
-    """Write a table that several later steps read, and read it back."""
+    """Write a table that several later steps read, and read it back. An action."""
     rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write_export(rows: DataFrame, path: str) -> None:
-    """CSV with a header, ``NA`` for missing, values otherwise as they are."""
+    """CSV with a header, ``NA`` for missing, values otherwise as they are. An action."""
     rows.write.mode("overwrite").csv(
         path,
         header=True,
@@ -42,7 +42,10 @@ def write_export(rows: DataFrame, path: str) -> None:
 
 
 def with_row_index(rows: DataFrame, order: Sequence[Column], index: str = "row_id") -> DataFrame:
-    """Rows in order with an index 1..n, numbered in parallel.
+    """Rows in order with an index 1..n, numbered in parallel. An action: it checkpoints.
+
+    The order should end in a column that is unique: rows that compare equal come into
+    one task and are numbered in any order.
 
     The sorted rows are checkpointed, as a second sort could place its partition
     bounds elsewhere. Each row then knows its partition and place in it, and the

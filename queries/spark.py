@@ -25,6 +25,7 @@ from areashift.functions import (
 )
 from areashift.operators.checks import (
     Conserved,
+    closed_case_check,
     conservation_check,
     frame_equality,
     inherited_check,
@@ -33,7 +34,7 @@ from areashift.operators.checks import (
     summarize_checks,
     target_check,
 )
-from areashift.operators.compare import class_view, totals_cube
+from areashift.operators.compare import class_view, compare_periods, totals_cube
 from areashift.operators.demographics import clean_demographics, widen_variables
 from areashift.operators.interpolate import (
     SourceSet,
@@ -50,12 +51,13 @@ from areashift.operators.reports import chart_frame, pivoted_report, ranked_repo
 from areashift.schemas import Demographics
 from areashift.session import configure, scratch_folder
 from areashift.sources.readers import pull_demographics, read_delimited
-from areashift.sources.writers import land_facts, with_row_index, write_export
-from queries import star
+from areashift.sources.writers import land_facts, materialize, with_row_index, write_export
+from queries import landed, star
 from queries.star import table
 
 PIVOT = {"all": "Overall Change", "R": "Returned Change", "N": "New Change", "none": "Other Change"}
 RANKED = ["Majority Flag", "1996 Rate", "2000 Rate", "Suppliers in 1996", "Suppliers in 2000"]
+RANK_LABELS = {"R": "Returned", "A": "Accepted", "none": "No Majority"}
 LEGENDS = {"all": "Overall Difference", "R": "Difference in Majority-Returned Suppliers"}
 SCOPE_CODES = ["02", "06", "11", "17", "21"]
 
@@ -115,8 +117,19 @@ def q_clean_demographics(spark, sf_dir):
 
 
 def q_normalize_codes(spark, sf_dir):
+    """Codes as they come: whole numbers, blanks, none at all, and some too long."""
     customers = table(spark, sf_dir, "customer")
-    return customers.select("c_custkey", normalize_code("c_custkey", 11).alias("code"))
+    raw = (
+        F.when(F.col("c_nationkey") == 0, F.lit("  "))
+        .when(F.col("c_nationkey") == 1, F.lit(None))
+        .when(F.col("c_nationkey") == 2, F.concat(F.lit(" "), F.col("c_custkey").cast("string")))
+        .otherwise(F.col("c_custkey").cast("string"))
+    )
+    return customers.select(
+        "c_custkey",
+        normalize_code(raw, 11).alias("code"),
+        normalize_code(raw, 2, on_long="null").alias("short_code"),
+    )
 
 
 def q_split_code(spark, sf_dir):
@@ -337,7 +350,7 @@ def q_pivoted_report(spark, sf_dir):
 
 
 def q_ranked_report(spark, sf_dir):
-    report = ranked_report(star.comparison(spark, sf_dir), star.FOCUS, star.LABELS, RANKED)
+    report = ranked_report(star.comparison(spark, sf_dir), star.FOCUS, RANK_LABELS, RANKED)
     return rounded(report.withColumn(RANKED[-1], named(RANKED[-1]).cast("double")))
 
 
@@ -383,23 +396,28 @@ def q_discrepancy(spark, sf_dir):
 
 
 def q_conservation_check(spark, sf_dir):
+    """Orders without lines go missing on the way; those with lines do not."""
     figures = [
         Conserved("orders", "orders", "orders"),
+        Conserved("with lines", "with_lines", "orders"),
         Conserved("spend", "spend", "spend"),
         Conserved("urgent", "urgent", "urgent", "orders", "orders"),
     ]
     attributes = star.order_attributes(spark, sf_dir)
+    crosswalk = star.crosswalk(spark, sf_dir)
     one = SourceSet(attributes, "order", "", ["urgent"], "all_t", ["orders", "spend"], "all_s")
-    after = areal_interpolate(star.crosswalk(spark, sf_dir), "order", "supplier", [one])
-    return rounded(conservation_check(attributes, after, figures, tolerance=0.05), 3)
+    after = areal_interpolate(crosswalk, "order", "supplier", [one], unallocated=False)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order")).distinct()
+    marked = left_join(attributes, lines.withColumn("with_lines", F.lit(1.0)), ["order"])
+    return rounded(conservation_check(marked, after, figures, tolerance=1e-4), 3)
 
 
 def q_case_checks(spark, sf_dir):
-    crosswalk = star.crosswalk(spark, sf_dir)
-    orders = star.order_attributes(spark, sf_dir)
-    to_suppliers = SourceSet(
-        orders, "order", "", ["price", "urgent"], "all_t", ["orders", "spend"], "all_s"
-    )
+    # Read by two interpolations and three checks: written once.
+    crosswalk = materialize(star.crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
+    orders = star.order_attributes(spark, sf_dir).withColumn("amount", F.col("spend"))
+    means, counts = ["price", "urgent", "amount"], ["orders", "spend"]
+    to_suppliers = SourceSet(orders, "order", "", means, "all_t", counts, "all_s")
     by_supplier = areal_interpolate(crosswalk, "order", "supplier", [to_suppliers])
 
     # The same overlaps the other way round: suppliers cut into orders.
@@ -423,7 +441,7 @@ def q_frame_equality(spark, sf_dir):
     regions = table(spark, sf_dir, "region").where(F.col("r_name") == star.FOCUS_REGION)
     nations = restrict_to(table(spark, sf_dir, "nation"), "n_regionkey", regions, "r_regionkey")
     scope = restrict_to(table(spark, sf_dir, "supplier"), "s_nationkey", nations, "n_nationkey")
-    crosswalk = star.crosswalk(spark, sf_dir)
+    crosswalk = materialize(star.crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
     sets = star.order_sets(spark, sf_dir)
 
     def pipeline(pairs: DataFrame) -> DataFrame:
@@ -435,6 +453,55 @@ def q_frame_equality(spark, sf_dir):
     return frame_equality(first, last, ["supplier"], columns, tolerance=1e-6)
 
 
+def q_frame_multiplicity(spark, sf_dir):
+    """Nations of the suppliers against those of the customers: as many rows of a key or not."""
+    def sides(name: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.col(key).alias("nation"), F.lit(1.0).alias("one"))
+
+    return frame_equality(
+        sides("supplier", "s_nationkey"), sides("nation", "n_nationkey"), ["nation"], ["one"]
+    )
+
+
+def q_compare_unknown(spark, sf_dir):
+    """A comparison in which some rates and weights are not numbers."""
+    units = star.peer_units(star.central(spark, sf_dir, means=False), spark, sf_dir)
+    nan = F.lit(float("nan"))
+    units = units.withColumns(
+        {
+            "rate10": F.when(F.col("supplier") % 7 == 0, nan).otherwise(F.col("rate10")),
+            "orders18": F.when(F.col("supplier") % 5 == 0, nan).otherwise(F.col("orders18")),
+        }
+    )
+    return shown(compare_periods(units, "grp", star.PRIOR, star.CURRENT))
+
+
+def q_closed_cases(spark, sf_dir):
+    """Orders of the first suppliers in whole, of some in part, with unknown prices, and of none."""
+    crosswalk = materialize(star.crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
+    orders = star.order_attributes(spark, sf_dir).withColumn("source", F.col("order").cast("string"))
+    pairs = crosswalk.withColumn("target", F.col("supplier").cast("string"))
+    whole = SourceSet(orders, "order", "", counts=["orders", "spend", "price"], count_weight="all_s")
+    got = areal_interpolate(pairs, "order", "target", [whole])
+    # every supplier against every order with lines is a closed case; some of either are not
+    targets = [str(k) for k in range(1, 100_001)]
+    cases = [
+        ("two suppliers", targets[:2], targets[:4], "orders"),
+        ("unknown price", targets, targets[:50], "price"),
+        ("mistyped", ["no such supplier"], targets[:4], "orders"),
+    ]
+    rows = [
+        closed_case_check(name, got, "target", to, measure, orders, "source", of, measure)
+        for name, to, of, measure in cases
+    ]
+    with_lines = restrict_to(orders, "order", crosswalk, "order").withColumn("source", F.lit("all"))
+    both = got.where(F.col("target").isNotNull()).withColumn("target", F.lit("all"))
+    rows.append(
+        closed_case_check("closed", both, "target", ["all"], "orders", with_lines, "source", ["all"], "orders")
+    )
+    return rounded(partition_union(rows), 3, money=3)
+
+
 def q_landed_facts(spark, sf_dir):
     """Facts of all years landed by year and nation, one year of them read back and widened."""
     lines = table(spark, sf_dir, "lineitem").groupBy(
@@ -464,11 +531,13 @@ def q_csv_round_trip(spark, sf_dir):
     """Orders written as CSV, missing prices as NA, and read back by header name."""
     folder = scratch_folder(spark, "orders")
     orders = star.order_attributes(spark, sf_dir)
-    write_export(orders.select(F.col("order").cast("string"), "price", "spend"), folder)
+    note = F.when(F.col("urgent") > 0, F.concat(F.lit('a "note",\nof order '), F.col("order").cast("string")))
+    write_export(orders.select(F.col("order").cast("string"), note.alias("note"), "price", "spend"), folder)
     schema = StructType(
         [
             StructField("spend", DoubleType()),
             StructField("order", StringType()),
+            StructField("note", StringType()),
             StructField("price", DoubleType()),
         ]
     )
@@ -495,6 +564,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by name."""
     return {
         name.removeprefix("q_"): configured(function)
-        for name, function in globals().items()
+        for module in (globals(), vars(landed))
+        for name, function in module.items()
         if name.startswith("q_")
     }

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 import landed
 from areashift.plans import focus_region, national, regional_average
@@ -364,7 +365,7 @@ def test_published_report_shape(spark):
     assert sum(r["Black Tract Change"] is None for r in rows) == 5
 
 
-def test_checkpoints_on_a_cluster_must_be_shared():
+def test_checkpoints_go_where_all_machines_see_them():
     class Context:
         master = "spark://host:7077"
         folder = None
@@ -379,8 +380,9 @@ def test_checkpoints_on_a_cluster_must_be_shared():
         def __init__(self, **conf):
             self.conf, self.sparkContext = conf, Context()
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        use_checkpoints(Session())
+    unset = Session(**{"spark.sql.warehouse.dir": "hdfs:///warehouse"})
+    use_checkpoints(unset)
+    assert unset.sparkContext.folder == "hdfs:///warehouse/_scratch"
     shared = Session(**{"spark.checkpoint.dir": "hdfs:///shared"})
     use_checkpoints(shared)
     assert shared.sparkContext.folder == "hdfs:///shared"
@@ -392,6 +394,27 @@ def test_command_line(spark, paths, tmp_path):
     arguments = ["--out", str(tmp_path), "--focus-label", "Focus Region", "--counties", "031", "197"]
     for name, value in vars(paths).items():
         arguments += [f"--{name.replace('_', '-')}", value]
-    main(arguments)
-    for name in ("focus_tracts", "group_changes", "class_ranking", "focus_places", "region_means"):
+    main([*arguments, "--all-classes", "--threshold", "45", "--peers", "3"])
+    for name in (
+        "focus_tracts", "group_changes", "class_ranking", "focus_places", "region_means",
+        "comparison", "chart", "class_all",
+    ):
         assert len(read_csv(tmp_path / name)) > 1, name
+    header = read_csv(tmp_path / "group_changes")[0]
+    assert header == ["row_id", "MSA", *PIVOT_HEADINGS_ALL_CLASSES.values()]
+    assert read_csv(tmp_path / "comparison")[0] == [
+        "race", "responses10", "responses20", "difference", "n10", "n20", "MSA",
+    ]
+
+
+def test_cells_with_line_breaks(frame, spark, tmp_path):
+    schema = StructType([StructField("s", StringType()), StructField("x", DoubleType())])
+    rows = frame("s string, x double", ("a\nb", 1.0), ('c "d",\r\ne', 2.0), ("f", None)).coalesce(1)
+    write_export(rows, str(tmp_path / "t"))
+    read = read_delimited(spark, str(tmp_path / "t"), schema)
+    assert rows_of(read) == rows_of(rows)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_delimited(spark, str(tmp_path / "t"), schema, multiline=False).collect()
+    write_export(rows.where("x IS NULL"), str(tmp_path / "u"))
+    plain = read_delimited(spark, str(tmp_path / "u"), schema, multiline=False)
+    assert rows_of(plain) == [("f", None)]

@@ -154,6 +154,12 @@ def test_repeated_source_is_refused(crosswalk, attributes):
         areal_interpolate(crosswalk, "GEOID10", "GEOID20", sets).collect()
 
 
+def test_repeated_source_is_refused_with_one_set_too(crosswalk, attributes):
+    twice = attributes.unionByName(attributes.limit(1))
+    with pytest.raises(Exception, match="occurs twice in one set"):
+        areal_interpolate(crosswalk, "GEOID10", "GEOID20", [one_set(twice, "10")]).collect()
+
+
 def test_source_set_needs_weights(attributes):
     with pytest.raises(ValueError):
         SourceSet(attributes, "GEOID", means=["hhinc"]).weights
@@ -383,6 +389,25 @@ def test_class_missing_in_current_period_keeps_row(frame):
     )
 
 
+def test_rates_that_are_not_numbers_are_left_out(frame):
+    units = frame(
+        "unit string, c10 string, c18 string, grp string, r10 double, r18 double, w10 double, w18 double",
+        ("a", "white", "white", "G", float("nan"), 5.0, 1.0, float("nan")),
+        ("b", "white", "white", "G", 5.0, 7.0, 1.0, 1.0),
+    )
+    got = compare_periods(units, "grp", PRIOR, CURRENT).collect()
+    assert {(r.prior, r.current, r.n_prior, r.n_current) for r in got} == {(5.0, 7.0, 1, 1)}
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_a_value_named_like_the_total_is_refused(frame, dedupe):
+    schema = "unit string, c10 string, c18 string, grp string, r10 double, r18 double, w10 double, w18 double"
+    for cells in (("all", "all", "G"), ("white", "white", "all")):
+        units = frame(schema, ("a", *cells, 1.0, 1.0, 1.0, 1.0))
+        with pytest.raises(Exception, match="named like the total"):
+            compare_periods(units, "grp", PRIOR, CURRENT, dedupe_total=dedupe, unit=["unit"]).collect()
+
+
 def test_total_is_not_the_null_group(frame):
     df = frame("c string, g string, x double", ("a", None, 1.0), ("a", "G", 2.0))
     cube = totals_cube(df, ["c", "g"], {"n": F.count(F.lit(1)), "s": F.sum("x")})
@@ -443,6 +468,16 @@ def test_ranked_report(frame):
     assert [r[0] for r in plain.collect()] == ["White", "No Majority", "Asian"]
 
 
+def test_ranked_report_keeps_classes_without_a_label(frame):
+    table = comparison_rows(
+        frame, ("white", "F", 76.0, -1.0), ("mixed", "F", 80.0, -1.0), ("all", "F", 70.0, -1.0)
+    )
+    report = ranked_report(table, "F", {"white": "White"}, RANKED_HEADINGS)
+    assert [tuple(r)[:3] for r in report.orderBy("row_id").collect()] == [
+        (1, None, 0.8), (2, "White", 0.76),
+    ]
+
+
 def test_chart_frame(frame):
     table = comparison_rows(
         frame,
@@ -561,6 +596,23 @@ def test_frame_equality(frame):
     assert (row.n_rows, row.min_matches, row.equal) == (3, 2, False)
 
 
+def test_frames_of_different_row_counts_differ(frame):
+    twice = frame("k string, x double", ("k", 1.0), ("k", 1.0))
+    once = frame("k string, x double", ("k", 1.0))
+    for left, right in ((twice, once), (once, twice), (twice, twice)):
+        row = frame_equality(left, right, ["k"], ["x"]).first()
+        assert (row.n_rows, row.equal) == (2, False)
+    assert frame_equality(once.limit(0), once.limit(0), ["k"], ["x"]).first().n_rows == 0
+
+
+def test_a_closed_case_without_units_has_no_verdict(frame):
+    got = frame("t string, n double", ("a", 1.0))
+    own = frame("s string, n double", ("x", 1.0))
+    row = closed_case_check("c", got, "t", ["typo"], "n", own, "s", ["x"], "n").first()
+    assert (row.targets_found, row.sources_found, row.interpolated, row.passed) == (0, 1, None, None)
+    assert closed_case_check("c", got, "t", ["a"], "n", own, "s", ["x"], "n").first().passed
+
+
 def brute_comparison(rows, dedupe):
     """The comparison from its definition, row by row."""
 

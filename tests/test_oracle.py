@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import TESTDATA
+from queries import oracle, spark as operators
 
 SF = TESTDATA / "sf0.01"
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = operators.queries()
+ORACLE = oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="needs the test tables")
 
