@@ -34,6 +34,8 @@ from areashift.llm.windows import BASES, Hashes, keyed_texts, texts_of, word_uni
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
 BLOCK = 1500
+#: N-grams on an edge of a prefix tree.
+STRIDE = 16
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -59,13 +61,19 @@ class Similarity:
         """N-grams of the prefix: sets that link share one of them."""
         return a - self.kept(a) + 1
 
-    def prefix_overlap(self, a, b):
+    def sizes_fit(self, a, b):
+        """Whether sets of sizes a and b can link at all."""
+        return (self.kept(a) <= b) & (self.kept(b) <= a)
+
+    def prefix_overlap(self, a, b, most=None):
         """The n-grams that the prefixes of linking sets of sizes a and b share at least.
 
         All common n-grams up to the end of the prefix that ends first lie in both prefixes;
-        behind it that set has ``kept - 1`` n-grams.
+        behind it that set has ``kept - 1`` n-grams, which grows with its size, ``most`` at
+        most.
         """
-        return np.maximum(1, self.least_overlap(a, b) - self.kept(np.maximum(a, b)) + 1)
+        most = np.maximum(a, b) if most is None else most
+        return np.maximum(1, self.least_overlap(a, b) - self.kept(most) + 1)
 
 
 def ngrams(text: bytes, n: int) -> np.ndarray:
@@ -196,120 +204,159 @@ def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class PrefixTree:
-    """Ordered prefixes of a group of nodes, level by level.
+    """Ordered prefixes of a group of nodes as a tree whose edges hold up to ``STRIDE`` n-grams.
 
-    Of every level: parent in the level above, n-gram (as a number local to the group),
-    n-grams that the subtree has left at most, smallest and largest set in it, and which
-    prefixes end there.
+    Of every level: parent in the level above, n-grams of the edge (as numbers local to the
+    group, -1 beyond an end), n-grams that the subtree has left behind it at most, smallest
+    and largest set in the subtree, and which prefixes end there.
     """
 
     def __init__(self, prefixes: list[np.ndarray], sizes: np.ndarray) -> None:
         self.sizes = sizes
         lengths = np.array([len(p) for p in prefixes])
-        width = int(lengths.max(initial=0))
+        width = -(-int(lengths.max(initial=0)) // STRIDE) * STRIDE
         table = np.full((len(prefixes), width), -1, dtype=np.int64)
         for i, p in enumerate(prefixes):
             table[i, : len(p)] = p
         self.levels = []
         above = np.zeros(len(prefixes), dtype=np.int64)  # tree node of each prefix, one level up
-        for depth in range(width):
+        for depth in range(0, width, STRIDE):
             rows = np.flatnonzero(lengths > depth)
-            pairs = np.stack([above[rows], table[rows, depth]], axis=1)
-            found, at = np.unique(pairs, axis=0, return_inverse=True)
-            at = at.ravel()
-            left = np.zeros(len(found), dtype=np.int64)
-            np.maximum.at(left, at, lengths[rows] - depth - 1)
-            low, high = np.full(len(found), 2**62), np.zeros(len(found), dtype=np.int64)
-            np.minimum.at(low, at, sizes[rows])
-            np.maximum.at(high, at, sizes[rows])
-            ends = lengths[rows] == depth + 1
-            self.levels.append((found[:, 0], found[:, 1], left, low, high, rows[ends], at[ends]))
+            edges = np.column_stack([above[rows], table[rows, depth : depth + STRIDE]])
+            # equal edges of one parent are one node
+            order = np.lexsort(edges.T[::-1])
+            new = np.append(True, (edges[order[1:]] != edges[order[:-1]]).any(axis=1))
+            at = np.empty(len(rows), dtype=np.int64)
+            at[order] = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            found = edges[order[first]]
+            left = np.maximum.reduceat(np.maximum(0, lengths[rows] - depth - STRIDE)[order], first)
+            low = np.minimum.reduceat(sizes[rows][order], first)
+            high = np.maximum.reduceat(sizes[rows][order], first)
+            ends = lengths[rows] <= depth + STRIDE
+            self.levels.append((found[:, 0], found[:, 1:], left, low, high, rows[ends], at[ends]))
             above = np.zeros(len(prefixes), dtype=np.int64)
             above[rows] = at
 
     def traverse(self, prefix: np.ndarray, size: int, first: int, vocabulary: int, how: Similarity) -> np.ndarray:
         """Members whose prefix shares enough n-grams with this one and ``first`` before any
-        other."""
-        holds = np.zeros(vocabulary, dtype=bool)
+        other. Overlaps are carried down from the parent; a subtree is left when the
+        n-grams that remain in it cannot make up for what is missing."""
+        holds = np.zeros(vocabulary + 1, dtype=bool)  # the last stands for -1
         holds[prefix] = True
         out = []
         overlap, alive = np.zeros(1, dtype=np.int64), np.ones(1, dtype=bool)
-        for parent, gram, left, low, high, ended, at in self.levels:
+        for parent, grams, left, low, high, ended, at in self.levels:
+            hits = holds[grams]
             shared = overlap[parent]
-            hit = holds[gram]
-            now = shared + hit
-            need = np.maximum(1, how.least_overlap(size, low) - how.kept(np.maximum(size, high)) + 1)
+            now = shared + hits.sum(axis=1)
+            need = how.prefix_overlap(size, low, np.maximum(size, high))
             alive = alive[parent] & (now + np.minimum(left, len(prefix) - now) >= need)
-            alive &= ~(hit & (shared == 0) & (gram != first))
+            begins = np.flatnonzero(alive & (shared == 0) & (now > 0))
+            alive[begins] = grams[begins, hits[begins].argmax(axis=1)] == first
             if not alive.any():
                 break
             overlap = now
             if len(ended):
                 need = how.prefix_overlap(size, self.sizes[ended])
-                fits = (how.kept(self.sizes[ended]) <= size) & (how.kept(size) <= self.sizes[ended])
+                fits = how.sizes_fit(size, self.sizes[ended])
                 out.append(ended[alive[at] & (now[at] >= need) & fits])
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def tree_pairs(postings: DataFrame, nodes: DataFrame, how: Similarity, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of nodes with different labels whose prefixes overlap enough, each from
-    the group of the first n-gram that they share."""
-    parts = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = postings.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    rows = rows.select(
-        "gram", "node", "n", "label", "own",
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
-    prefixes = nodes.select(F.col("node").alias("__node"), "prefix")
-    rows = rows.join(prefixes, F.col("node") == F.col("__node")).drop("__node")
-
-    def join(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        gram, low, high = rows[0][0], rows[0][5], rows[0][6]
-        known: dict[int, int] = {}
-        local = [np.array([known.setdefault(g, len(known)) for g in r[7]], dtype=np.int64) for r in rows]
-        first = known[gram]
-        sizes = np.array([r[2] for r in rows])
-        names = {}
-        labels = np.array([names.setdefault(r[3], len(names)) for r in rows])
-        if len(names) < 2:
-            return []
-        stored_ = np.flatnonzero(np.array([r[4] == high for r in rows]))
-        probes = range(len(rows)) if low == high else np.flatnonzero(np.array([r[4] == low for r in rows]))
-        tree = PrefixTree([local[i] for i in stored_], sizes[stored_])
-        out = []
-        for i in probes:
-            for j in stored_[tree.traverse(local[i], int(sizes[i]), first, len(known), how)]:
-                if labels[i] != labels[j] and (low != high or i < j):
-                    out.append((rows[i][1], rows[j][1]))
-        return out
+def feasible(n: np.ndarray, label: np.ndarray, shared: np.ndarray, own: np.ndarray, how: Similarity) -> np.ndarray:
+    """Which rows of a group have any partner that they may link with, by label, sizes, and
+    the n-grams of their prefixes that anyone shares; ``own`` are their blocks, of which a
+    pair takes one each where there are two."""
+    out = np.zeros(len(n), dtype=bool)
+    apart = bool((own != own[0]).any())
+    for at in range(0, len(n), 256):
+        x = slice(at, at + 256)
+        a, b = n[x, None], n[None, :]
+        may = (label[x, None] != label[None, :]) & how.sizes_fit(a, b)
+        may &= how.prefix_overlap(a, b) <= np.minimum(shared[x, None], shared[None, :])
+        if apart:
+            may &= own[x, None] != own[None, :]
+        out[x] = may.any(axis=1)
+    return out
+
+
+def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` applied to the rows of each (gram, low, high), as tuples, in one task; it
+    returns tuples of the schema."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*found), fields)]
+        return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and (row[0], row[5], row[6]) != (group[0][0], group[0][5], group[0][6]):
-                    found += join(group)
+                if group and row[:3] != group[0][:3]:
+                    if len(group) > 1:
+                        found += solve(group)
                     group = []
                     if len(found) > 10_000:
-                        yield pairs_of(found)
+                        yield batch_of(found)
                         found = []
                 group.append(row)
-        if group:
-            found += join(group)
+        if len(group) > 1:
+            found += solve(group)
         if found:
-            yield pairs_of(found)
-
-    def pairs_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["u", "v"])
+            yield batch_of(found)
 
     dealt = rows.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
-    return dealt.select("gram", "node", "n", "label", "own", "low", "high", "prefix").mapInArrow(
-        apply, "u binary, v binary"
-    )
+    return dealt.mapInArrow(apply, schema)
+
+
+def tree_pairs(postings: DataFrame, nodes: DataFrame, how: Similarity, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of nodes with different labels whose prefixes overlap enough, each from
+    the group of the first n-gram that they share."""
+    shared = postings.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("shared"))
+    rows = postings.join(shared, F.col("node") == F.col("__node"))
+    parts = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    columns = ["gram", "low", "high", "node", "n", "label", "own", "shared"]
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select(*columns)
+
+    def survivors(group: list[tuple]) -> list[tuple]:
+        if len(group) == 2:  # most groups
+            (*_, a, la, _, sa), (*_, b, lb, _, sb) = group
+            both = la != lb and how.sizes_fit(a, b) and how.prefix_overlap(a, b) <= min(sa, sb)
+            return group if both else []
+        names: dict = {}
+        label = np.array([names.setdefault(r[5], len(names)) for r in group])
+        if len(names) < 2:
+            return []
+        n, own, shared = (np.array([r[i] for r in group]) for i in (4, 6, 7))
+        return [group[i] for i in np.flatnonzero(feasible(n, label, shared, own, how))]
+
+    schema = "gram long, low int, high int, node binary, n int, label binary, own int, shared long"
+    kept = stored(by_group(rows, survivors, schema), "feasible")
+    prefixes = nodes.select(F.col("node").alias("__node"), "prefix")
+    kept = kept.join(prefixes, F.col("node") == F.col("__node")).select(*columns, "prefix")
+
+    def pairs(group: list[tuple]) -> list[tuple]:
+        gram, low, high = group[0][:3]
+        known: dict[int, int] = {}
+        local = [np.array([known.setdefault(g, len(known)) for g in r[8]], dtype=np.int64) for r in group]
+        sizes = np.array([r[4] for r in group])
+        named = np.flatnonzero(np.array([r[6] == high for r in group]))
+        probes = range(len(group)) if low == high else np.flatnonzero(np.array([r[6] == low for r in group]))
+        tree = PrefixTree([local[i] for i in named], sizes[named])
+        out = []
+        for i in probes:
+            for j in named[tree.traverse(local[i], int(sizes[i]), known[gram], len(known), how)]:
+                if group[i][5] != group[j][5] and (low != high or i < j):
+                    out.append((group[i][3], group[j][3]))
+        return out
+
+    return by_group(kept, pairs, "u binary, v binary")
 
 
 def near_duplicates(
