@@ -31,7 +31,7 @@ NGRAM = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Items of a block, and items of an index that is sent to every task at most.
-BLOCK = 8
+BLOCK = 4
 SHARD = 20_000
 SLACK = 1e-9
 
@@ -66,18 +66,18 @@ def share(part: set[tuple], grams: set) -> float:
 
 @dataclass
 class Index:
-    """Inverted index: per term (by number) a slice of postings by item, and a slice of
-    block maxima. Items are numbered in the order given."""
+    """Inverted index: per term (by number) a slice of its blocks, and per block the largest
+    weight and a slice of postings by item. Items are numbered in the order given."""
 
     items: list[int]
     parts: list[tuple[set, set]]
     terms: dict[str, int]
-    post_at: np.ndarray
     post_item: np.ndarray
     post_weight: np.ndarray
     block_at: np.ndarray
     block_of: np.ndarray
     block_most: np.ndarray
+    block_post: np.ndarray
 
     @property
     def blocks(self) -> int:
@@ -122,12 +122,12 @@ def build_index(items: list[tuple[int, str]], overlap: float = OVERLAP) -> Index
         [i for i, _, _ in split],
         [(ngrams(q), ngrams(a)) for _, q, a in split],
         terms,
-        np.searchsorted(term, bounds),
         item,
         weight,
         np.searchsorted(term[first], bounds),
         item[first] // BLOCK,
         most,
+        np.append(first, len(term)),
     )
 
 
@@ -144,47 +144,59 @@ def retrieve(index: Index, words: set[str]) -> list[tuple[int, float]]:
     if not len(terms):
         return []
     at = slices(index.block_at, terms)
-    bound = np.bincount(index.block_of[at], weights=index.block_most[at], minlength=index.blocks)
+    blocks = index.block_of[at]
+    bound = np.bincount(blocks, weights=index.block_most[at], minlength=index.blocks)
+    reached = np.flatnonzero(bound >= 1 - SLACK)
+    if not len(reached):
+        return []
+    at = at[np.argsort(blocks, kind="stable")]
+    ends = np.cumsum(np.bincount(blocks, minlength=index.blocks))
     found = []
-    for block in np.flatnonzero(bound >= 1 - SLACK).tolist():
-        found += wand(index, terms, block)
+    for block in reached.tolist():
+        found += wand(index, at[ends[block - 1] if block else 0 : ends[block]])
     return found
 
 
-def wand(index: Index, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
-    """Weak AND within a block: the pivot is the first item at which the largest weights of
-    the cursors up to it reach the threshold; items before it are skipped."""
-    low, high = block * BLOCK, (block + 1) * BLOCK
-    cursors = []
-    for term in terms.tolist():
-        a, b = int(index.post_at[term]), int(index.post_at[term + 1])
-        a, b = a + np.searchsorted(index.post_item[a:b], [low, high])
-        if a < b:
-            cursors.append([index.post_item[a:b].tolist(), index.post_weight[a:b].tolist(), 0, float(index.post_weight[a:b].max())])
+def wand(index: Index, lists: np.ndarray) -> list[tuple[int, float]]:
+    """Weak AND over the given terms' postings in one block: the pivot is the first item at
+    which the largest weights of the cursors up to it reach the threshold; items before it
+    are skipped."""
+    low, high = index.block_post[lists].tolist(), index.block_post[lists + 1].tolist()
+    start, stop = min(low), max(high)
+    item = index.post_item[start:stop].tolist() if stop - start < 4096 else index.post_item
+    weight = index.post_weight[start:stop].tolist() if stop - start < 4096 else index.post_weight
+    shift = start if stop - start < 4096 else 0
+    # cursors: item under it, place, end, largest weight
+    cursors = [
+        [item[a - shift], a - shift, b - shift, most]
+        for a, b, most in zip(low, high, index.block_most[lists].tolist())
+    ]
     found = []
     while cursors:
-        cursors.sort(key=lambda c: c[0][c[2]])
+        cursors.sort()
         total, pivot = 0.0, None
         for c in cursors:
             total += c[3]
             if total >= 1 - SLACK:
-                pivot = c[0][c[2]]
+                pivot = c[0]
                 break
         if pivot is None:
             break
-        if cursors[0][0][cursors[0][2]] == pivot:
-            score = 0.0
-            for c in cursors:
-                if c[0][c[2]] == pivot:
-                    score += c[1][c[2]]
-                    c[2] += 1
-            if score >= 1 - SLACK:
-                found.append((pivot, score))
-        else:
-            for c in cursors:
-                while c[2] < len(c[0]) and c[0][c[2]] < pivot:
-                    c[2] += 1
-        cursors = [c for c in cursors if c[2] < len(c[0])]
+        score, full = 0.0, cursors[0][0] == pivot
+        alive = []
+        for c in cursors:
+            if full and c[0] == pivot:
+                score += weight[c[1]]
+                c[1] += 1
+            else:
+                while c[1] < c[2] and item[c[1]] < pivot:
+                    c[1] += 1
+            if c[1] < c[2]:
+                c[0] = item[c[1]]
+                alive.append(c)
+        if full and score >= 1 - SLACK:
+            found.append((int(pivot), float(score)))
+        cursors = alive
     return found
 
 
