@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,7 +22,6 @@ from areashift.operators.crosswalk import build_crosswalk
 from areashift.operators.interpolate import SourceSet, areal_interpolate
 from areashift.operators.joins import full_join, left_join, restrict_to
 from areashift.operators.peers import assign_groups, top_k
-from areashift.operators.rates import align_vintages
 from areashift.operators.regional import regional_frame, sums_by
 
 PRIOR_YEAR, CURRENT_YEAR = 1996, 2000
@@ -109,6 +108,13 @@ def lines_of(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     )
 
 
+def in_year(year: int) -> Column:
+    """Whether a line was shipped in a year."""
+    return F.expr(
+        f"l_shipdate >= TIMESTAMP_NTZ'{year}-01-01' AND l_shipdate < TIMESTAMP_NTZ'{year + 1}-01-01'"
+    )
+
+
 def flag_shares(spark: SparkSession, sf_dir: str, key: str, year: int) -> DataFrame:
     """Percent of a unit's quantity under each return flag in one year."""
     lines = lines_of(spark, sf_dir, year)
@@ -129,27 +135,28 @@ def supplier_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def supplier_rates(spark: SparkSession, sf_dir: str, year: int, suffix: str) -> DataFrame:
-    """A year's rate of every supplier with its shares, as one vintage delivers it."""
-    shares = flag_shares(spark, sf_dir, "l_suppkey", year)
-    units = supplier_units(spark, sf_dir)
-    rates = left_join(units, shares, [("supplier", "l_suppkey")])
-    return rates.select(
-        "supplier",
-        "unit",
-        "name",
-        F.col("R").alias(f"rate{suffix}"),
-        *[F.col(f).alias(f"{f}{suffix}") for f in "ANR"],
-    )
-
-
 def aligned_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align_vintages(
-        supplier_rates(spark, sf_dir, CURRENT_YEAR, "18"),
-        supplier_rates(spark, sf_dir, PRIOR_YEAR, "10"),
-        ["supplier", "unit", "name"],
-        "rate18",
-        "rate10",
+    """Suppliers with a rate in both years, as `align_vintages` gives them for two tables:
+    where both vintages come from one table, one scan and one aggregate hold them."""
+    years = {"18": in_year(CURRENT_YEAR), "10": in_year(PRIOR_YEAR)}
+    quantity = F.col("l_quantity")
+    lines = table(spark, sf_dir, "lineitem").where(years["18"] | years["10"])
+    sums = lines.groupBy("l_suppkey").agg(
+        *[F.sum(F.when(own, quantity)).alias(f"q{s}") for s, own in years.items()],
+        *[
+            total(F.when(own & (F.col("l_returnflag") == f), quantity)).alias(f"{f}{s}")
+            for s, own in years.items()
+            for f in "ANR"
+        ],
+    )
+    shares = sums.where("q18 <> 0 AND q10 <> 0").select(
+        "l_suppkey",
+        *[(100 * F.col(f"{f}{s}") / F.col(f"q{s}")).alias(f"{f}{s}") for s in years for f in "ANR"],
+    )
+    units = supplier_units(spark, sf_dir)
+    rates = units.join(shares, F.col("supplier") == F.col("l_suppkey")).drop("l_suppkey")
+    return rates.withColumns(
+        {"rate18": F.col("R18"), "rate10": F.col("R10"), "dif": F.col("R18") - F.col("R10")}
     )
 
 
@@ -257,6 +264,23 @@ def nation_rates(spark: SparkSession, sf_dir: str, year: int, rate: str) -> Data
     return left_join(sums, nation_names(spark, sf_dir), ["code"])
 
 
+def nation_rates_by_year(spark: SparkSession, sf_dir: str, years: dict[int, str]) -> DataFrame:
+    """Rates of several years by nation code, from one scan; missing where a year has none."""
+    lines = table(spark, sf_dir, "lineitem")
+    quantity, returned = F.col("l_quantity"), F.col("l_returnflag") == "R"
+    sums = lines.groupBy("l_suppkey").agg(
+        *[F.sum(F.when(in_year(y), quantity)).alias(f"q_{n}") for y, n in years.items()],
+        *[F.sum(F.when(in_year(y) & returned, quantity)).alias(f"r_{n}") for y, n in years.items()],
+    )
+    coded = left_join(sums, supplier_weights(spark, sf_dir), [("l_suppkey", "s_suppkey")])
+    return coded.groupBy("code").agg(
+        *[
+            (100 * F.try_divide(total(f"r_{n}"), F.sum(f"q_{n}"))).alias(n)
+            for n in years.values()
+        ]
+    )
+
+
 def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         normalize_code("n_nationkey", 2).alias("code"), F.col("n_name").alias("name")
@@ -274,16 +298,15 @@ def nation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation_names(spark, sf_dir),
         ["code"],
     )
-    rates = full_join(
-        nation_rates(spark, sf_dir, CURRENT_YEAR, "rate18"),
-        nation_rates(spark, sf_dir, PRIOR_YEAR, "rate10"),
-        ["code", "name"],
+    all_rates = nation_rates_by_year(
+        spark, sf_dir, {CURRENT_YEAR: "rate18", PRIOR_YEAR: "rate10", CURRENT_YEAR - 1: "rate_snapshot"}
     )
+    rates = left_join(all_rates.drop("rate_snapshot"), nation_names(spark, sf_dir), ["code"])
     alternatives = [
         sums_by(
             supplier_weights(spark, sf_dir), "code", {"w18alt": "balance", "w10alt": "one"}
         ),
-        nation_rates(spark, sf_dir, CURRENT_YEAR - 1, "rate_snapshot").drop("name"),
+        all_rates.select("code", "rate_snapshot"),
     ]
     return regional_frame(
         weights, rates, ["code", "name"], ["rate18", "rate10"], alternatives, "code"
