@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.graph import components
-from areashift.llm.sketch import cells, merged_sketch
+from areashift.llm.sketch import cells, flagged, merged_sketch, repeated_flags
 from areashift.llm.storage import prepared, stored
 from areashift.llm.windows import BASES, Hashes, keyed_texts, texts_of, word_units
 
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
 BLOCK = 1500
-#: N-grams on an edge of a prefix tree.
-STRIDE = 16
+#: N-grams on an edge of a prefix tree: few at the top, where most traversals end.
+STRIDES = (4, 16)
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -90,9 +90,9 @@ def node_of(grams: np.ndarray) -> bytes:
 
 
 def nodes_of(texts: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(members, nodes): (id, n, node) of every document, and of every distinct set that is
-    not empty its node, n, smallest id, the text that has it, and the n-grams of its prefix
-    that may occur elsewhere."""
+    """(members, nodes): (id, n, key) of every document, and of every distinct set that is
+    not empty its key, number (node), n, smallest id, the text that has it, and the n-grams
+    of its prefix that may occur elsewhere, in order."""
 
     def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -118,17 +118,45 @@ def nodes_of(texts: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
                     batch.column(0), batch.column(1), pa.array(sizes, pa.int32()),
                     pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["id", "digest", "n", "node", "prefix"],
+                ["id", "digest", "n", "key", "prefix"],
             )
 
     rows = stored(
-        texts.mapInArrow(described, "id long, digest long, n int, node binary, prefix array<long>"), "sets"
+        texts.mapInArrow(described, "id long, digest long, n int, key binary, prefix array<long>"), "sets"
     )
-    nodes = rows.where("n > 0").groupBy("node").agg(
+    nodes = rows.where("n > 0").groupBy("key").agg(
         F.min("id").alias("least_id"), F.min(F.struct("id", "digest", "n", "prefix")).alias("own")
     )
-    nodes = nodes.select("node", "least_id", "own.*").withColumnRenamed("id", "own_id")
-    return rows.select("id", "n", "node"), stored(nodes, "nodes")
+    nodes = nodes.select("key", "least_id", "own.*").withColumnRenamed("id", "own_id")
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+    return rows.select("id", "n", "key"), stored(nodes, "nodes")
+
+
+def shared_grams(nodes: DataFrame) -> DataFrame:
+    """(node, n, grams): of every node the n-grams of its prefix that a sketch over prefixes
+    alone estimates to be in several, in order; nodes without any are left out."""
+
+    def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column(0).flatten().to_numpy().view(np.uint64)
+
+    flags = merged_sketch(nodes.select("prefix"), keys_of, repeated_flags)
+    shared = nodes.sparkSession.sparkContext.broadcast(flags)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            grams = lists.flatten().to_numpy()
+            found = flagged(shared.value, grams.view(np.uint64))
+            row = lists.value_parent_indices().to_numpy()[found]
+            size = np.bincount(row, minlength=batch.num_rows)
+            offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            kept = pa.ListArray.from_arrays(offsets, pa.array(grams[found]))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], ["node", "n", "grams"])
+            yield out.filter(pa.array(size > 0))
+
+    columns = nodes.select("node", "n", "prefix")
+    return stored(columns.mapInArrow(keep, "node long, n int, grams array<long>"), "prefixes")
 
 
 def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
@@ -142,7 +170,7 @@ def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "grams"])
 
     some, _ = texts_of(texts, wanted.select(F.col("__digest").alias("digest")))
-    found = some.join(wanted, on).select("node", "text").mapInArrow(sets, "node binary, grams binary")
+    found = some.join(wanted, on).select("node", "text").mapInArrow(sets, "node long, grams binary")
     return stored(found.dropDuplicates(["node"]), "grams")
 
 
@@ -162,22 +190,35 @@ def linked(pairs: DataFrame, grams: DataFrame, how: Similarity) -> DataFrame:
     one = grams.select(F.col("node").alias("u1"), F.col("grams").alias("a"))
     two = grams.select(F.col("node").alias("v1"), F.col("grams").alias("b"))
     both = pairs.join(one, F.col("u") == F.col("u1")).join(two, F.col("v") == F.col("v1"))
-    return stored(both.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary"), "links")
+    return stored(both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "links")
 
 
-def star_pairs(postings: DataFrame, round_: int) -> DataFrame:
-    """Each node with the pivot, under another label, that it shares most n-grams with.
+def opened(postings: DataFrame, round_: int) -> DataFrame:
+    """The postings (gram, node, n, rest, label) under n-grams that hold several labels,
+    with the number of nodes (size) and a pivot with its label.
 
-    The pivot of an n-gram is its least node by a hash that differs by round; one node and
-    its label come through, so a group of any size is combined on the map side.
+    The pivot of an n-gram is its least node by a hash that differs by round. What comes
+    of a group is combined on the map side, whatever its size; null-safe keys give either
+    side of the join an exchange of its own, so that a hot n-gram can be split.
     """
     place = F.xxhash64(F.lit(round_), "node")
-    pivots = postings.groupBy(F.col("gram").alias("__gram")).agg(
-        F.min(F.struct(place.alias("place"), "node", "label")).alias("p")
+    groups = postings.groupBy(F.col("gram").alias("__gram")).agg(
+        F.min("label").alias("__least"), F.max("label").alias("__most"), F.count(F.lit(1)).alias("size"),
+        F.min(F.struct(place.alias("place"), "node", "label")).alias("first"),
+    )
+    groups = groups.where("__least <> __most").select(
+        "__gram", "size", F.col("first.node").alias("pivot"), F.col("first.label").alias("pivot_label")
     )
-    near = postings.join(pivots, F.col("gram").eqNullSafe(F.col("__gram"))).where("label <> p.label")
-    counted = near.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best"))
+    rows = postings.select("gram", "node", "n", "rest", "label")
+    joined = rows.join(groups, F.col("gram").eqNullSafe(F.col("__gram"))).drop("__gram")
+    return stored(joined, "postings")
+
+
+def star_pairs(postings: DataFrame) -> DataFrame:
+    """Each node with the pivot, under another label, that it shares most n-grams with."""
+    near = postings.where("label <> pivot_label")
+    counted = near.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    best = counted.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("best"))
     return best.select(F.col("node").alias("u"), F.col("best.pivot").alias("v"))
 
 
@@ -191,20 +232,15 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(new.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, node, n, label) of the n-grams under which several labels are left, with the
-    number of nodes of the n-gram."""
-    now = postings.select("gram", "node", "n").join(labels, "node")
-    groups = now.groupBy(F.col("gram").alias("__gram")).agg(
-        F.min("label").alias("__least"), F.max("label").alias("__most"), F.count(F.lit(1)).alias("size")
-    )
-    groups = groups.where("__least <> __most").select("__gram", "size")
-    # null-safe, so that either side has an exchange of its own and a hot n-gram can be split
-    return now.join(groups, F.col("gram").eqNullSafe(F.col("__gram"))).drop("__gram")
+def with_labels(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings under new labels."""
+    new = labels.withColumnsRenamed({"node": "__node", "label": "__label"})
+    joined = postings.select("gram", "node", "n", "rest").join(new, F.col("node") == F.col("__node"))
+    return joined.select("gram", "node", "n", "rest", F.col("__label").alias("label"))
 
 
 class PrefixTree:
-    """Ordered prefixes of a group of nodes as a tree whose edges hold up to ``STRIDE`` n-grams.
+    """Ordered prefixes of a group of nodes as a tree whose edges hold several n-grams.
 
     Of every level: parent in the level above, n-grams of the edge (as numbers local to the
     group, -1 beyond an end), n-grams that the subtree has left behind it at most, smallest
@@ -214,15 +250,16 @@ class PrefixTree:
     def __init__(self, prefixes: list[np.ndarray], sizes: np.ndarray) -> None:
         self.sizes = sizes
         lengths = np.array([len(p) for p in prefixes])
-        width = -(-int(lengths.max(initial=0)) // STRIDE) * STRIDE
-        table = np.full((len(prefixes), width), -1, dtype=np.int64)
+        longest = int(lengths.max(initial=0))
+        table = np.full((len(prefixes), longest + max(STRIDES)), -1, dtype=np.int64)
         for i, p in enumerate(prefixes):
             table[i, : len(p)] = p
         self.levels = []
         above = np.zeros(len(prefixes), dtype=np.int64)  # tree node of each prefix, one level up
-        for depth in range(0, width, STRIDE):
+        depth, stride = 0, STRIDES[0]
+        while depth < longest:
             rows = np.flatnonzero(lengths > depth)
-            edges = np.column_stack([above[rows], table[rows, depth : depth + STRIDE]])
+            edges = np.column_stack([above[rows], table[rows, depth : depth + stride]])
             # equal edges of one parent are one node
             order = np.lexsort(edges.T[::-1])
             new = np.append(True, (edges[order[1:]] != edges[order[:-1]]).any(axis=1))
@@ -230,13 +267,14 @@ class PrefixTree:
             at[order] = np.cumsum(new) - 1
             first = np.flatnonzero(new)
             found = edges[order[first]]
-            left = np.maximum.reduceat(np.maximum(0, lengths[rows] - depth - STRIDE)[order], first)
+            left = np.maximum.reduceat(np.maximum(0, lengths[rows] - depth - stride)[order], first)
             low = np.minimum.reduceat(sizes[rows][order], first)
             high = np.maximum.reduceat(sizes[rows][order], first)
-            ends = lengths[rows] <= depth + STRIDE
+            ends = lengths[rows] <= depth + stride
             self.levels.append((found[:, 0], found[:, 1:], left, low, high, rows[ends], at[ends]))
             above = np.zeros(len(prefixes), dtype=np.int64)
             above[rows] = at
+            depth, stride = depth + stride, STRIDES[1]
 
     def traverse(self, prefix: np.ndarray, size: int, first: int, vocabulary: int, how: Similarity) -> np.ndarray:
         """Members whose prefix shares enough n-grams with this one and ``first`` before any
@@ -247,26 +285,29 @@ class PrefixTree:
         out = []
         overlap, alive = np.zeros(1, dtype=np.int64), np.ones(1, dtype=bool)
         for parent, grams, left, low, high, ended, at in self.levels:
-            hits = holds[grams]
-            shared = overlap[parent]
-            now = shared + hits.sum(axis=1)
-            need = how.prefix_overlap(size, low, np.maximum(size, high))
-            alive = alive[parent] & (now + np.minimum(left, len(prefix) - now) >= need)
-            begins = np.flatnonzero(alive & (shared == 0) & (now > 0))
-            alive[begins] = grams[begins, hits[begins].argmax(axis=1)] == first
-            if not alive.any():
+            here = np.flatnonzero(alive[parent])
+            if not len(here):
                 break
-            overlap = now
-            if len(ended):
-                need = how.prefix_overlap(size, self.sizes[ended])
-                fits = how.sizes_fit(size, self.sizes[ended])
-                out.append(ended[alive[at] & (now[at] >= need) & fits])
+            hits = holds[grams[here]]
+            shared = overlap[parent[here]]
+            now = shared + hits.sum(axis=1)
+            need = how.prefix_overlap(size, low[here], np.maximum(size, high[here]))
+            going = now + np.minimum(left[here], len(prefix) - now) >= need
+            begins = np.flatnonzero(going & (shared == 0) & (now > 0))
+            going[begins] = grams[here[begins], hits[begins].argmax(axis=1)] == first
+            alive, overlap = np.zeros(len(parent), dtype=bool), np.zeros(len(parent), dtype=np.int64)
+            alive[here], overlap[here] = going, now
+            done = np.flatnonzero(alive[at])
+            if len(done):
+                sizes = self.sizes[ended[done]]
+                enough = overlap[at[done]] >= how.prefix_overlap(size, sizes)
+                out.append(ended[done[enough & how.sizes_fit(size, sizes)]])
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def feasible(n: np.ndarray, label: np.ndarray, shared: np.ndarray, own: np.ndarray, how: Similarity) -> np.ndarray:
+def feasible(n: np.ndarray, label: np.ndarray, most: np.ndarray, own: np.ndarray, how: Similarity) -> np.ndarray:
     """Which rows of a group have any partner that they may link with, by label, sizes, and
-    the n-grams of their prefixes that anyone shares; ``own`` are their blocks, of which a
+    the n-grams that their prefixes share at most; ``own`` are their blocks, of which a
     pair takes one each where there are two."""
     out = np.zeros(len(n), dtype=bool)
     apart = bool((own != own[0]).any())
@@ -274,7 +315,7 @@ def feasible(n: np.ndarray, label: np.ndarray, shared: np.ndarray, own: np.ndarr
         x = slice(at, at + 256)
         a, b = n[x, None], n[None, :]
         may = (label[x, None] != label[None, :]) & how.sizes_fit(a, b)
-        may &= how.prefix_overlap(a, b) <= np.minimum(shared[x, None], shared[None, :])
+        may &= how.prefix_overlap(a, b) <= np.minimum(most[x, None], most[None, :])
         if apart:
             may &= own[x, None] != own[None, :]
         out[x] = may.any(axis=1)
@@ -313,15 +354,20 @@ def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
     return dealt.mapInArrow(apply, schema)
 
 
-def tree_pairs(postings: DataFrame, nodes: DataFrame, how: Similarity, block: int = BLOCK) -> DataFrame:
+def tree_pairs(postings: DataFrame, prefixes: DataFrame, how: Similarity, block: int = BLOCK) -> DataFrame:
     """Pairs (u, v) of nodes with different labels whose prefixes overlap enough, each from
-    the group of the first n-gram that they share."""
+    the group of the first n-gram that they share.
+
+    From there on a prefix shares at most ``most`` n-grams: those that it has left, and
+    those that are under any open group.
+    """
     shared = postings.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("shared"))
     rows = postings.join(shared, F.col("node") == F.col("__node"))
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    columns = ["gram", "low", "high", "node", "n", "label", "own", "shared"]
+    columns = ["gram", "low", "high", "node", "n", "label", "own", "most"]
+    rows = rows.withColumn("most", F.least("shared", "rest"))
     rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select(*columns)
 
     def survivors(group: list[tuple]) -> list[tuple]:
@@ -333,13 +379,13 @@ def tree_pairs(postings: DataFrame, nodes: DataFrame, how: Similarity, block: in
         label = np.array([names.setdefault(r[5], len(names)) for r in group])
         if len(names) < 2:
             return []
-        n, own, shared = (np.array([r[i] for r in group]) for i in (4, 6, 7))
-        return [group[i] for i in np.flatnonzero(feasible(n, label, shared, own, how))]
+        n, own, most = (np.array([r[i] for r in group]) for i in (4, 6, 7))
+        return [group[i] for i in np.flatnonzero(feasible(n, label, most, own, how))]
 
-    schema = "gram long, low int, high int, node binary, n int, label binary, own int, shared long"
+    schema = "gram long, low int, high int, node long, n int, label long, own int, most long"
     kept = stored(by_group(rows, survivors, schema), "feasible")
-    prefixes = nodes.select(F.col("node").alias("__node"), "prefix")
-    kept = kept.join(prefixes, F.col("node") == F.col("__node")).select(*columns, "prefix")
+    prefixes = prefixes.select(F.col("node").alias("__node"), "grams")
+    kept = kept.join(prefixes, F.col("node") == F.col("__node")).select(*columns, "grams")
 
     def pairs(group: list[tuple]) -> list[tuple]:
         gram, low, high = group[0][:3]
@@ -356,7 +402,7 @@ def tree_pairs(postings: DataFrame, nodes: DataFrame, how: Similarity, block: in
                     out.append((group[i][3], group[j][3]))
         return out
 
-    return by_group(kept, pairs, "u binary, v binary")
+    return by_group(kept, pairs, "u long, v long")
 
 
 def near_duplicates(
@@ -378,29 +424,30 @@ def near_duplicates(
     prepared(docs.sparkSession)
     texts = keyed_texts(docs, id_column, text_column)
     members, nodes = nodes_of(texts, how)
-    postings = nodes.select("node", "n", F.explode("prefix").alias("gram"))
-    several = postings.groupBy(F.col("gram").alias("__gram")).agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    postings = postings.join(several.where("a <> b").select("__gram"), F.col("gram") == F.col("__gram"))
-    postings = stored(postings.drop("__gram"), "postings")
+    prefixes = shared_grams(nodes)
+    postings = prefixes.select("node", "n", F.size("grams").alias("all"), F.posexplode("grams").alias("at", "gram"))
+    rest = (F.col("all") - F.col("at")).cast("long")
+    postings = postings.select("gram", "node", "n", rest.alias("rest"), F.col("node").alias("label"))
+    postings = opened(postings, 0)
     near = nodes.join(postings.select("node").distinct(), "node", "left_semi")
     grams = contents_of(texts, near, how)
 
     labels = near.select("node", F.col("node").alias("label"))
-    for round_ in range(rounds):
-        links = linked(star_pairs(open_postings(postings, labels), round_), grams, how)
+    for round_ in range(1, rounds + 1):
+        links = linked(star_pairs(postings), grams, how)
         if links.isEmpty():
             break
         labels = relabelled(labels, links)
-    rest = tree_pairs(open_postings(postings, labels), nodes, how, block)
-    links = linked(rest, grams, how)
+        postings = opened(with_labels(postings, labels), round_)
+    links = linked(tree_pairs(postings, prefixes, how, block), grams, how)
     if not links.isEmpty():
         labels = relabelled(labels, links)
 
-    named = nodes.select("node", "least_id").join(labels, "node", "left")
+    named = nodes.select("key", "node", "least_id").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy(F.col("label").alias("of")).agg(F.min("least_id").alias("component_id"))
-    of_node = named.join(smallest, F.col("label") == F.col("of")).select(F.col("node").alias("__node"), "component_id")
-    joined = members.join(of_node, (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
+    of_node = named.join(smallest, F.col("label") == F.col("of")).select(F.col("key").alias("__key"), "component_id")
+    joined = members.join(of_node, F.col("key") == F.col("__key"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")

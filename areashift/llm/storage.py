@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
+from areashift.session import scratch_folder
+
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory however
 #: long texts are (one text longer than that is a batch of its own).
 ARROW = {
@@ -23,24 +23,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder in the session's warehouse,
-    which every machine sees too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(hadoop)
-    files.deleteOnExit(hadoop)
-    return path
-
-
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Write rows as Parquet to the shared folder and read them back.
 
@@ -48,6 +30,6 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     that made them.
     """
     spark = rows.sparkSession
-    path = scratch(spark, name)
+    path = scratch_folder(spark, name)
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -41,7 +41,7 @@ GRAM = 100
 #: Distinct runs of one anchor that one task takes; anchors with more are split.
 GROUP = 4000
 #: Bytes of runs that share one suffix array.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 #: Bytes a first sorting key holds: 9 bits each, as the end of a run sorts below byte 0.
 FIRST = 7
 

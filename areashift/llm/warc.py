@@ -27,7 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areashift.llm.storage import prepared, scratch, stored
+from areashift.llm.storage import prepared, stored
+from areashift.session import scratch_folder
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -346,7 +347,7 @@ def archive_round_trip(
     at, and an empty table gives an empty result.
     """
     spark = prepared(pages.sparkSession)
-    folder = scratch(spark, "warc")
+    folder = scratch_folder(spark, "warc")
     captures = write_archives(pages, folder, id_column, url_column, html_column)
     parts = write_index(captures, folder)
     wanted = pages.select(
