@@ -34,6 +34,8 @@ from areashift.llm.windows import BASES, Hashes, keyed_texts, texts_of, word_uni
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
 BLOCK = 1500
+#: Bits of the map of a set by which pairs are ruled out before whole sets are compared.
+BITS = 4096
 #: N-grams on an edge of a prefix tree: few at the top, where most traversals end.
 STRIDES = (4, 16)
 UPPER = bytes(range(65, 91))
@@ -140,7 +142,7 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.column(0).flatten().to_numpy().view(np.uint64)
 
-    flags = merged_sketch(nodes.select("prefix"), keys_of, repeated_flags)
+    flags = merged_sketch(nodes.select("prefix"), keys_of, repeated_flags, depth=3)
     shared = nodes.sparkSession.sparkContext.broadcast(flags)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +162,44 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
 
 
 def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
-    """(node, grams): the whole sets of the given nodes, as sorted 64-bit hashes."""
+    """(node, grams, bits): the whole sets of the given nodes, as sorted 64-bit hashes and as
+    bitmaps of ``BITS`` bits. A node of a row repeated in the table comes as often."""
     wanted = nodes.select(F.col("own_id").alias("__id"), F.col("digest").alias("__digest"), "node")
     on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ngrams(t, how.n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "grams"])
+            found = [ngrams(t, how.n) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([x.tobytes() for x in found], pa.binary()),
+                    pa.array([bitmap(x).tobytes() for x in found], pa.binary()),
+                ],
+                ["node", "grams", "bits"],
+            )
 
     some, _ = texts_of(texts, wanted.select(F.col("__digest").alias("digest")))
-    found = some.join(wanted, on).select("node", "text").mapInArrow(sets, "node long, grams binary")
-    return stored(found.dropDuplicates(["node"]), "grams")
+    found = some.join(wanted, on).select("node", "text").mapInArrow(
+        sets, "node long, grams binary, bits binary"
+    )
+    return stored(found, "grams")
+
+
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """A bit for every n-gram, several of which may share one."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(grams >> np.uint64(40)) % np.uint64(BITS)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def may_overlap(bits: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, how: Similarity) -> np.ndarray:
+    """Whether sets may overlap enough: a bit that only one of them has is an n-gram of it at
+    least that the other lacks."""
+    need = how.least_overlap(size, sizes)
+    ours = np.bitwise_count(bits & ~others).sum(axis=1)
+    theirs = np.bitwise_count(others & ~bits).sum(axis=1)
+    return (size - ours.astype(np.int64) >= need) & (sizes - theirs.astype(np.int64) >= need)
 
 
 def linked(pairs: DataFrame, grams: DataFrame, how: Similarity) -> DataFrame:
@@ -223,13 +251,18 @@ def star_pairs(postings: DataFrame) -> DataFrame:
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after links were found: equal labels only for nodes that are connected."""
-    by_label = links.join(labels.withColumnsRenamed({"node": "u", "label": "lu"}), "u").join(
-        labels.withColumnsRenamed({"node": "v", "label": "lv"}), "v"
-    )
-    roots = components(by_label.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-    new = labels.join(roots, F.col("label") == F.col("u"), "left")
-    return stored(new.select("node", F.coalesce("root", "label").alias("label")), "labels")
+    """Labels after links were found: every label hangs on the smallest one it is linked
+    with, and takes over the label of that. Equal labels are connected; connected nodes may
+    keep several, which the components of all links settle in the end."""
+    to = labels.withColumnsRenamed({"node": "v", "label": "lv"})
+    edges = links.join(labels.withColumnsRenamed({"node": "u", "label": "lu"}), "u").join(to, "v")
+    both = edges.select("lu", "lv").unionByName(edges.select(F.col("lv").alias("lu"), F.col("lu").alias("lv")))
+    hung = both.groupBy("lu").agg(F.least(F.min("lv"), F.col("lu")).alias("up"))
+    hung = stored(hung, "hung")
+    once = labels.join(hung, F.col("label") == F.col("lu"), "left")
+    once = once.select("node", F.coalesce("up", "label").alias("label"))
+    twice = once.join(hung, F.col("label") == F.col("lu"), "left")
+    return stored(twice.select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
 def with_labels(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,29 +383,32 @@ def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
         if found:
             yield batch_of(found)
 
-    dealt = rows.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
-    return dealt.mapInArrow(apply, schema)
+    near = rows.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
+    return near.mapInArrow(apply, schema)
 
 
-def tree_pairs(postings: DataFrame, prefixes: DataFrame, how: Similarity, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of nodes with different labels whose prefixes overlap enough, each from
-    the group of the first n-gram that they share.
+ROW = ["gram", "low", "high", "node", "n", "label", "own", "most"]
 
-    From there on a prefix shares at most ``most`` n-grams: those that it has left, and
-    those that are under any open group.
-    """
+
+def dealt(postings: DataFrame, block: int) -> DataFrame:
+    """Postings with the pairs of blocks (low, high) that they belong to, and ``most``, the
+    n-grams that a pair can share from this one on: those that the prefix has left, and
+    those that are under any open group."""
     shared = postings.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("shared"))
-    rows = postings.join(shared, F.col("node") == F.col("__node"))
+    rows = postings.join(shared, F.col("node") == F.col("__node")).drop("__node")
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    columns = ["gram", "low", "high", "node", "n", "label", "own", "most"]
     rows = rows.withColumn("most", F.least("shared", "rest"))
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select(*columns)
+    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+
+def feasible_rows(postings: DataFrame, how: Similarity, block: int) -> DataFrame:
+    """The postings that have a partner under their n-gram with which their node may link."""
 
     def survivors(group: list[tuple]) -> list[tuple]:
         if len(group) == 2:  # most groups
-            (*_, a, la, _, sa), (*_, b, lb, _, sb) = group
+            (*_, a, la, _, sa, _), (*_, b, lb, _, sb, _) = group
             both = la != lb and how.sizes_fit(a, b) and how.prefix_overlap(a, b) <= min(sa, sb)
             return group if both else []
         names: dict = {}
@@ -382,22 +418,35 @@ def tree_pairs(postings: DataFrame, prefixes: DataFrame, how: Similarity, block:
         n, own, most = (np.array([r[i] for r in group]) for i in (4, 6, 7))
         return [group[i] for i in np.flatnonzero(feasible(n, label, most, own, how))]
 
-    schema = "gram long, low int, high int, node long, n int, label long, own int, most long"
-    kept = stored(by_group(rows, survivors, schema), "feasible")
-    prefixes = prefixes.select(F.col("node").alias("__node"), "grams")
-    kept = kept.join(prefixes, F.col("node") == F.col("__node")).select(*columns, "grams")
+    schema = "gram long, low int, high int, node long, n int, label long, own int, most long, rest long"
+    kept = by_group(dealt(postings, block).select(*ROW, "rest"), survivors, schema)
+    return stored(kept.select("gram", "node", "n", "rest", "label").distinct(), "feasible")
+
+
+def tree_pairs(
+    postings: DataFrame, prefixes: DataFrame, grams: DataFrame, how: Similarity, block: int = BLOCK
+) -> DataFrame:
+    """Pairs (u, v) of nodes with different labels whose prefixes, and bitmaps, overlap
+    enough, each from the group of the first n-gram that they share."""
+    lists = prefixes.select(F.col("node").alias("__node"), F.col("grams").alias("prefix"))
+    maps = grams.select(F.col("node").alias("__map"), "bits").dropDuplicates(["__map"])
+    kept = dealt(postings, block).join(lists, F.col("node") == F.col("__node"))
+    kept = kept.join(maps, F.col("node") == F.col("__map")).select(*ROW, "prefix", "bits")
 
     def pairs(group: list[tuple]) -> list[tuple]:
         gram, low, high = group[0][:3]
         known: dict[int, int] = {}
         local = [np.array([known.setdefault(g, len(known)) for g in r[8]], dtype=np.int64) for r in group]
         sizes = np.array([r[4] for r in group])
+        bits = np.frombuffer(b"".join(r[9] for r in group), dtype=np.uint64).reshape(len(group), -1)
         named = np.flatnonzero(np.array([r[6] == high for r in group]))
         probes = range(len(group)) if low == high else np.flatnonzero(np.array([r[6] == low for r in group]))
         tree = PrefixTree([local[i] for i in named], sizes[named])
         out = []
         for i in probes:
-            for j in named[tree.traverse(local[i], int(sizes[i]), known[gram], len(known), how)]:
+            near = named[tree.traverse(local[i], int(sizes[i]), known[gram], len(known), how)]
+            near = near[may_overlap(bits[i], int(sizes[i]), bits[near], sizes[near], how)]
+            for j in near:
                 if group[i][5] != group[j][5] and (low != high or i < j):
                     out.append((group[i][3], group[j][3]))
         return out
@@ -428,23 +477,27 @@ def near_duplicates(
     postings = prefixes.select("node", "n", F.size("grams").alias("all"), F.posexplode("grams").alias("at", "gram"))
     rest = (F.col("all") - F.col("at")).cast("long")
     postings = postings.select("gram", "node", "n", rest.alias("rest"), F.col("node").alias("label"))
+    postings = feasible_rows(opened(postings, 0), how, block)
     postings = opened(postings, 0)
     near = nodes.join(postings.select("node").distinct(), "node", "left_semi")
     grams = contents_of(texts, near, how)
 
     labels = near.select("node", F.col("node").alias("label"))
+    found = []
     for round_ in range(1, rounds + 1):
-        links = linked(star_pairs(postings), grams, how)
-        if links.isEmpty():
+        found.append(linked(star_pairs(postings), grams, how))
+        if found[-1].isEmpty():
             break
-        labels = relabelled(labels, links)
+        labels = relabelled(labels, found[-1])
         postings = opened(with_labels(postings, labels), round_)
-    links = linked(tree_pairs(postings, prefixes, how, block), grams, how)
-    if not links.isEmpty():
-        labels = relabelled(labels, links)
-
-    named = nodes.select("key", "node", "least_id").join(labels, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
+    found.append(linked(tree_pairs(postings, prefixes, grams, how, block), grams, how))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    roots = components(links).withColumnsRenamed({"u": "__node", "root": "__root"})
+    named = nodes.select("key", "node", "least_id")
+    named = named.join(roots, F.col("node") == F.col("__node"), "left")
+    named = named.withColumn("label", F.coalesce("__root", "node"))
     smallest = named.groupBy(F.col("label").alias("of")).agg(F.min("least_id").alias("component_id"))
     of_node = named.join(smallest, F.col("label") == F.col("of")).select(F.col("key").alias("__key"), "component_id")
     joined = members.join(of_node, F.col("key") == F.col("__key"), "left")
