@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into trees of elements and aligned by simple tree matching, the
-largest top-down matching that keeps the order of siblings. Repeated siblings first fold
-into one iterated node. The aligned trees of a host make its template: nodes whose text is
-the same on its pages are constant, the others are slots. A page's text is that of its
-article, or of its varying slots where no element says what the article is, without the
-parts that are by their kind not article (menus, notices, forms and the like).
-
-Templates are folded per task, then merged by host, so a host with a third of all pages is
-as many partial templates as tasks. A template has a bounded number of nodes; what finds
-no place in it counts as varying.
+Pages of a host are parsed into trees of elements, in which repeated siblings fold into one
+iterated node. Pages with one tree have one layout. The layouts of a host are aligned with
+that of the most pages by simple tree matching, the largest top-down matching that keeps
+the order of siblings; that gives each node a place in the host's template. Places whose
+text is the same on pages with different articles are constant, the others are slots.
+
+What decides about a page: its region is its article elements, else its main ones, else all
+of it; parts that by element, role or word of class or id are no article (menus, notices,
+forms and the like) are out; of what remains, constant nodes are out too.
+
+Layouts and places are rows, folded per task and combined by key. Neither has a bound, and
+nothing depends on the order of pages or on their partitions.
 """
 
 from __future__ import annotations
@@ -22,19 +24,18 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.storage import prepared, stored
 
-#: Nodes of a template, different texts that a node remembers, hosts held by a task at once.
-TEMPLATE_NODES = 400
+#: Different texts with which a node varies, and nodes held by a task before it hands them on.
 VALUES = 4
-HOSTS = 1000
+HELD_NODES = 50_000
 #: Elements nested deeper become siblings, as in browsers: their text is kept.
 DEPTH = 150
-#: Pages on which a node is the same before it counts as constant: beside and inside an article.
+#: Different articles beside which a node is the same before it counts as constant, on pages
+#: without and with an article element.
 CONSTANT = 3
 CONSTANT_INSIDE = 8
 
@@ -205,28 +206,44 @@ def preorder(tree: Folded) -> Iterator[Folded]:
         yield from preorder(child)
 
 
-def skeleton(tree: Folded) -> str:
-    return f"{tree.name}({','.join(map(skeleton, tree.children))})"
-
-
 class Slot:
-    """A node of a template: pages that have it, and the least digests of its texts there."""
+    """A node of a layout: its name, and whether its text is in the region of the article."""
 
-    __slots__ = ("name", "children", "pages", "values")
+    __slots__ = ("name", "children", "told")
 
-    def __init__(self, name: str) -> None:
-        self.name = name
+    def __init__(self, name: str, told: bool) -> None:
+        self.name, self.told = name, told
         self.children: list[Slot] = []
-        self.pages = 0
-        self.values: tuple = ()
 
-    def add(self, pages: int, values: Iterable[int]) -> None:
-        self.pages += pages
-        self.values = tuple(sorted({*self.values, *values})[:VALUES])
 
-    @property
-    def constant(self) -> bool:
-        return len(self.values) == 1
+def layout_of(tree: Folded, told: list[Node]) -> str:
+    """A folded tree as a line per node in preorder: depth, mark of the region, name."""
+    region = {id(n) for n in told}
+    lines: list[str] = []
+
+    def walk(node: Folded, depth: int, within: bool) -> None:
+        within = within or any(id(n) in region for n in node.nodes)
+        lines.append(f"{depth}{'*' if within else ' '}{node.name}")
+        for child in node.children:
+            walk(child, depth + 1, within)
+
+    walk(tree, 0, False)
+    return "\n".join(lines)
+
+
+def slots_of_layout(layout: str) -> list[Slot]:
+    """The nodes of a layout in preorder, the root first."""
+    out: list[Slot] = []
+    above: list[Slot] = []
+    for line in layout.split("\n"):
+        depth, mark, name = re.fullmatch(r"(\d+)([* ])(.*)", line, re.S).groups()
+        slot = Slot(name, mark == "*")
+        del above[int(depth) :]
+        if above:
+            above[-1].children.append(slot)
+        above.append(slot)
+        out.append(slot)
+    return out
 
 
 def matched(a, b, memo: dict) -> tuple[int, list]:
@@ -255,77 +272,47 @@ def matched(a, b, memo: dict) -> tuple[int, list]:
     return memo[key]
 
 
-class Template:
-    """The slots of a host's pages; trees of one skeleton are aligned once."""
-
-    def __init__(self) -> None:
-        self.root = Slot("#root")
-        self.size = 1
-        self.known: dict[str, list[Slot | None]] = {}
-
-    def places(self, tree: Folded) -> list[Slot | None]:
-        """The slot of every node of a tree in preorder, without adding any."""
-        key = skeleton(tree)
-        if key not in self.known:
-            found: dict[int, Slot] = {id(tree): self.root}
-            memo: dict = {}
-
-            def walk(slot: Slot, node: Folded) -> None:
-                for below, child in matched(slot, node, memo)[1]:
-                    found[id(child)] = below
-                    walk(below, child)
-
-            walk(self.root, tree)
-            self.known[key] = [found.get(id(n)) for n in preorder(tree)]
-        return self.known[key]
-
-    def learn(self, tree: Folded) -> None:
-        """Align a page and add what has no slot yet while there is room."""
-        key = skeleton(tree)
-        if key not in self.known:
-            self._insert(self.root, tree, {})
-        for slot, node in zip(self.places(tree), preorder(tree)):
-            if slot is not None:
-                slot.add(1, [digest(node.texts)] if node.texts else ())
-
-    def _insert(self, slot: Slot, node, memo: dict) -> None:
-        """Give the children of a tree, or of another template, slots beside their matches."""
-        pairs = {id(child): below for below, child in matched(slot, node, memo)[1]}
-        at = 0
+def aligned(layout: list[Slot], lead: list[Slot]) -> list[int]:
+    """The place in the host's template of every node of a layout.
+
+    Matched nodes share the place of the lead's node. What the lead lacks has the place that
+    its names give, so that it is one place in all layouts; what the lead has in another
+    order among siblings is a place apart.
+    """
+    out: list[int] = []
+    memo: dict = {}
+
+    def walk(node: Slot, like: Slot | None, path: str) -> None:
+        out.append(digest([path]))
+        pairs = {id(child): other for other, child in matched(like, node, memo)[1]} if like else {}
+        names = {c.name for c in like.children} if like else set()
         for child in node.children:
-            below = pairs.get(id(child))
-            if below is None:
-                if self.size >= TEMPLATE_NODES:
-                    continue
-                below = Slot(child.name)
-                slot.children.insert(at, below)
-                self.size += 1
-            at = slot.children.index(below) + 1
-            if isinstance(child, Slot):
-                below.add(child.pages, child.values)
-            self._insert(below, child, memo)
-
-    def merge(self, other: Template) -> None:
-        self.root.add(other.root.pages, other.root.values)
-        self._insert(self.root, other.root, {})
-        self.known.clear()
-
-    def dump(self) -> bytes:
-        pack = lambda s: (s.name, s.pages, s.values, [pack(c) for c in s.children])
-        return pickle.dumps((self.size, pack(self.root)))
-
-    @staticmethod
-    def load(data: bytes) -> Template:
-        def unpack(packed: tuple) -> Slot:
-            slot = Slot(packed[0])
-            slot.pages, slot.values = packed[1], packed[2]
-            slot.children = [unpack(c) for c in packed[3]]
-            return slot
-
-        out = Template()
-        out.size, root = pickle.loads(data)
-        out.root = unpack(root)
-        return out
+            other = pairs.get(id(child))
+            moved = "~" if other is None and child.name in names else ""
+            walk(child, other, f"{path}/{moved}{child.name}")
+
+    walk(layout[0], lead[0], "")
+    return out
+
+
+class Evidence:
+    """What shows whether text is template: the least digests of the different texts, and of
+    the different articles of pages that have one. As many as thresholds ask for are
+    enough to tell counts below them exactly, in whatever order they come."""
+
+    __slots__ = ("values", "articles")
+
+    def __init__(self, values: Iterable[int] = (), articles: Iterable[int] = ()) -> None:
+        self.values, self.articles = list(values), list(articles)
+
+    def add(self, values: Iterable[int], articles: Iterable[int]) -> None:
+        self.values = least(self.values, values, VALUES)
+        self.articles = least(self.articles, articles, CONSTANT_INSIDE)
+
+
+def least(held: list[int], more: Iterable[int], n: int) -> list[int]:
+    new = [v for v in more if v not in held]
+    return sorted({*held, *new})[:n] if new else held
 
 
 def digest(texts: list[str]) -> int:
@@ -359,70 +346,52 @@ def regions(root: Node) -> tuple[list[Node], bool]:
     return (articles or mains, True) if articles or mains else ([root], False)
 
 
-def constant_nodes(tree: Folded, template: Template, told: list[Node], inside: bool) -> set[int]:
-    """Elements of a page whose text is template."""
-    places = template.places(tree)
-    nodes = list(preorder(tree))
-    least = CONSTANT_INSIDE if inside else CONSTANT
-    region = {id(n) for n in told}
+class Page:
+    """A parsed page: its layout, its nodes, and the blocks of its article."""
 
-    # a constant counts where other text varies beside it: pages that are copies of each
-    # other have no template but themselves
-    below: set[int] = set()
-    end = -1
-    sizes = subtree_sizes(tree)
-    varied = False
-    for i, (node, slot) in enumerate(zip(nodes, places)):
-        if any(id(n) in region for n in node.nodes):
-            end = max(end, i + sizes[i])
-        if i < end and slot is not None and len(slot.values) >= VALUES:
-            varied = True
-    if not varied:
-        return below
-    for node, slot in zip(nodes, places):
-        if slot is not None and slot.constant and slot.pages >= least:
-            below.update(id(n) for n in node.nodes)
-    return below
-
-
-def subtree_sizes(tree: Folded) -> list[int]:
-    out: list[int] = []
+    def __init__(self, html: str | None) -> None:
+        root = parse(html or "")
+        told, inside = regions(root)
+        tree = fold(root)
+        self.layout = layout_of(tree, told)
+        self.nodes = list(preorder(tree))
+        self.blocks = blocks_of(told, inside, {id(n): i for i, f in enumerate(self.nodes) for n in f.nodes})
 
-    def walk(node: Folded) -> int:
-        at = len(out)
-        out.append(0)
-        out[at] = 1 + sum(map(walk, node.children))
-        return out[at]
 
-    walk(tree)
-    return out
+def article(blocks: list[tuple[str, tuple]], constant: Iterable[int] | None) -> str:
+    """The blocks that hold any text which is not template, joined by blank lines."""
+    gone = frozenset(constant or ())
+    return "\n\n".join(text for text, nodes in blocks if not gone.issuperset(nodes))
+
 
+def main_text(html: str | None, constant: Iterable[int] | None) -> str:
+    """Blocks of the page's article joined by blank lines; empty if there is none. Constant
+    are the numbers, in preorder, of the nodes of its folded tree whose text is template."""
+    return article(Page(html).blocks, constant)
 
-def main_text(html: str | None, template: Template | None) -> str:
-    """Blocks of the page's article joined by blank lines; empty if there is none."""
-    root = parse(html or "")
-    told, inside = regions(root)
-    constant = constant_nodes(fold(root), template, told, inside) if template else set()
-    blocks: list[list] = []  # texts, their length in links, whether all is template
-    current: list = [[], 0, True]
+
+def blocks_of(told: list[Node], inside: bool, places: dict[int, int]) -> list[tuple[str, tuple]]:
+    """Blocks of text of the region, each with the nodes that its text stands in."""
+    blocks: list[tuple[str, tuple]] = []
+    current: list = [[], 0, set()]  # texts, their length in links, nodes
 
     def flush() -> None:
         nonlocal current
         text = " ".join(unescape("".join(current[0])).split())
-        # without an article element, lists of links and template are left out by block
-        if text and not current[2] and (inside or 2 * current[1] <= len(text)):
-            blocks.append(text)
-        current = [[], 0, True]
+        # without an article element, lists of links are left out by block
+        if text and (inside or 2 * current[1] <= len(text)):
+            blocks.append((text, tuple(sorted(current[2]))))
+        current = [[], 0, set()]
 
     # a stack, as trees may be deeper than Python's
     todo: list = [(n, False, False) for n in reversed(told)]
     while todo:
         node, linked, leaving = todo.pop()
         if isinstance(node, tuple):
-            text, is_constant = node
+            text, place = node
             current[0].append(text)
             if not text.isspace():
-                current[2] = current[2] and is_constant
+                current[2].add(place)
                 current[1] += len(text) if linked else 0
             continue
         if leaving:
@@ -442,62 +411,176 @@ def main_text(html: str | None, template: Template | None) -> str:
             flush()
             todo.append((node, False, True))
         linked = linked or node.tag == "a"
-        is_constant = id(node) in constant
+        place = places.get(id(node), -1)
         for child in reversed(node.children):
-            todo.append(((child, is_constant), linked, False) if isinstance(child, str) else (child, linked, False))
+            todo.append(((child, place), linked, False) if isinstance(child, str) else (child, linked, False))
     flush()
-    return "\n\n".join(blocks)
+    return blocks
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from (url, html): partial templates per task, merged in two steps."""
+def layout_key(host: str, layout: str) -> bytes:
+    return hashlib.blake2b(f"{host}\n{layout}".encode("utf-8", "replace"), digest_size=16).digest()
 
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = TaskContext.get().partitionId() % 64
-        held: dict[str, Template] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held)), pa.array([salt] * len(held), pa.int32()), pa.array([t.dump() for t in held.values()], pa.binary())],
-                ["host", "salt", "template"],
-            )
-            held.clear()
-            return out
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
 
+LONGS = pa.list_(pa.int64())
+LAYOUTS = "host string, key binary, layout string, pages long, nodes binary"
+LAYOUT_FIELDS = pa.schema(
+    [("host", pa.string()), ("key", pa.binary()), ("layout", pa.string()), ("pages", pa.int64()), ("nodes", pa.binary())]
+)
+PLACES = "host string, place long, key binary, at int, told boolean, inside boolean, texts array<long>, articles array<long>"
+PLACE_FIELDS = pa.schema(
+    [("host", pa.string()), ("place", pa.int64()), ("key", pa.binary()), ("at", pa.int32()), ("told", pa.bool_()),
+     ("inside", pa.bool_()), ("texts", LONGS), ("articles", LONGS)]
+)
+EVIDENCE = "host string, place long, texts array<long>, articles array<long>"
+EVIDENCE_FIELDS = pa.schema([("host", pa.string()), ("place", pa.int64()), ("texts", LONGS), ("articles", LONGS)])
+
+
+def host_layouts(pages: DataFrame) -> DataFrame:
+    """A row per host and layout from (url, html): pages, and the evidence of every node.
+
+    Folded per task; a task that holds many nodes hands on what it has and starts anew.
+    """
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
         for batch in batches:
             for url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                host = host_of(url)
-                if host not in held and len(held) >= HOSTS:
-                    yield flush()
-                held.setdefault(host, Template()).learn(fold(parse(html or "")))
+                page, host = Page(html), host_of(url)
+                state = held.get((host, page.layout))
+                if state is None:
+                    if size >= HELD_NODES:
+                        yield packed(held)
+                        held, size = {}, 0
+                    state = held[host, page.layout] = [0, {}]
+                    size += len(page.nodes)
+                told = [digest([article(page.blocks, None)])]
+                nodes = ((i, [digest(n.texts)], told) for i, n in enumerate(page.nodes) if n.texts)
+                take(state, 1, nodes)
         if held:
-            yield flush()
+            yield packed(held)
+
+    def take(state: list, pages: int, nodes: Iterable[tuple]) -> None:
+        state[0] += pages
+        for at, values, articles in nodes:
+            state[1].setdefault(at, Evidence()).add(values, articles)
+
+    def packed(held: dict[tuple, list]) -> pa.RecordBatch:
+        rows = []
+        for (host, layout), (n, nodes) in held.items():
+            data = pickle.dumps([(at, e.values, e.articles) for at, e in sorted(nodes.items())])
+            rows.append((host, layout_key(host, layout), layout, n, data))
+        return batch_of(rows, LAYOUT_FIELDS)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, salt, whole = None, None, None
+        of, state = None, None
         for batch in batches:
-            for h, s, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (h, s) != (host, salt):
-                    if whole is not None:
-                        yield merged(host, salt, whole)
-                    host, salt, whole = h, s, Template.load(data)
-                else:
-                    whole.merge(Template.load(data))
-        if whole is not None:
-            yield merged(host, salt, whole)
+            out = []
+            for host, _, layout, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, layout) != of:
+                    if of is not None:
+                        out.append(packed({of: state}))
+                    of, state = (host, layout), [0, {}]
+                take(state, n, pickle.loads(data))
+            yield from out
+        if of is not None:
+            yield packed({of: state})
+
+    partial = stored(pages.mapInArrow(learn, LAYOUTS), "layouts")
+    return partial.repartition("key").sortWithinPartitions("key").mapInArrow(merge, LAYOUTS)
 
-    def merged(host: str, salt: int, whole: Template) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([host]), pa.array([salt], pa.int32()), pa.array([whole.dump()], pa.binary())],
-            ["host", "salt", "template"],
-        )
 
-    schema = "host string, salt int, template binary"
-    order = ["host", "salt", F.xxhash64("template")]
-    partial = stored(pages.mapInArrow(learn, schema), "templates")
-    salted = partial.repartition("host", "salt").sortWithinPartitions(*order).mapInArrow(merge, schema)
-    by_host = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions(*order)
-    return by_host.mapInArrow(merge, schema).select("host", "template")
+def template_places(layouts: DataFrame) -> DataFrame:
+    """The place in its host's template of every node with text of every layout.
+
+    Layouts are aligned by simple tree matching with the lead of the host, the layout of the
+    most of its pages. A layout is aligned on its own, in any task.
+    """
+    leads = layouts.groupBy(F.col("host").alias("of")).agg(F.max_by("layout", F.struct("pages", "key")).alias("lead"))
+    joined = layouts.join(leads, F.col("host").eqNullSafe(F.col("of")), "left")
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, key, layout, data, lead in zip(*(c.to_pylist() for c in batch.columns)):
+                slots = slots_of_layout(layout)
+                places = aligned(slots, slots if lead == layout else slots_of_layout(lead))
+                inside = not slots[0].told
+                rows = [
+                    (host, places[at], key, at, slots[at].told, inside, values, articles)
+                    for at, values, articles in pickle.loads(data)
+                ]
+                if rows:
+                    yield batch_of(rows, PLACE_FIELDS)
+
+    return joined.select("host", "key", "layout", "nodes", "lead").mapInArrow(align, PLACES)
+
+
+def place_evidence(places: DataFrame) -> DataFrame:
+    """The evidence of each place over all layouts of its host, combined per task first."""
+
+    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Evidence] = {}
+        for batch in batches:
+            for host, place, values, articles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, place) not in held and len(held) >= HELD_NODES:
+                    yield packed(held)
+                    held = {}
+                held.setdefault((host, place), Evidence()).add(values, articles)
+        if held:
+            yield packed(held)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = None, Evidence()
+        for batch in batches:
+            done: dict[tuple, Evidence] = {}
+            for host, place, values, articles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, place) != of:
+                    if of is not None:
+                        done[of] = state
+                    of, state = (host, place), Evidence()
+                state.add(values, articles)
+            if done:
+                yield packed(done)
+        if of is not None:
+            yield packed({of: state})
+
+    def packed(held: dict[tuple, Evidence]) -> pa.RecordBatch:
+        return batch_of([(*of, e.values, e.articles) for of, e in held.items()], EVIDENCE_FIELDS)
+
+    partial = places.select("host", "place", "texts", "articles").mapInArrow(combine, EVIDENCE)
+    by_place = partial.repartition("host", "place").sortWithinPartitions("host", "place")
+    return by_place.mapInArrow(merge, EVIDENCE)
+
+
+def constant_nodes(pages: DataFrame) -> DataFrame:
+    """(of, constant): the nodes of a layout's pages that hold template, by number, for each
+    layout that has any.
+
+    A node is constant where its place has one text on the host, beside articles that
+    differ: pages that are copies of each other are one. It counts only in a region where
+    other text varies.
+    """
+    layouts = stored(host_layouts(pages), "wrappers")
+    places = stored(template_places(layouts), "places")
+    evidence = place_evidence(places).select(
+        F.col("host").alias("of_host"),
+        F.col("place").alias("of_place"),
+        F.when(F.size("texts") == 1, F.size("articles")).otherwise(0).alias("same"),
+        (F.size("texts") >= VALUES).alias("varies"),
+    )
+    evidence = stored(evidence.where((F.col("same") >= CONSTANT) | F.col("varies")), "evidence")
+    told = places.where("told").select("host", "place", "key", "at", "inside")
+    match = F.col("host").eqNullSafe(F.col("of_host")) & F.col("place").eqNullSafe(F.col("of_place"))
+    enough = F.col("same") >= F.when(F.col("inside"), CONSTANT_INSIDE).otherwise(CONSTANT)
+    found = told.join(evidence, match).groupBy(F.col("key").alias("of"))
+    found = found.agg(F.max("varies").alias("varied"), F.collect_list(F.when(enough, F.col("at"))).alias("constant"))
+    return found.where(F.col("varied") & (F.size("constant") > 0)).select("of", "constant")
 
 
 def extract_main_text(
@@ -506,35 +589,37 @@ def extract_main_text(
     """One row per page row: page_id, url, text, n_chars.
 
     A missing or empty html has no text. A missing url is a host of its own; a host with
-    one page has no constant nodes. Repeated rows get a row each and do not make text
-    constant, as copies show nothing that varies. Further columns are not looked at.
+    one page has no constant nodes. Repeated rows, and pages with the same article, get a
+    row each and are one page where it is asked what is constant. Further columns are not
+    looked at.
     """
     prepared(pages.sparkSession)
     rows = pages.select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html")
     )
-    templates = stored(host_templates(rows.select("url", "html")), "wrappers").withColumnRenamed("host", "of")
+    constant = stored(constant_nodes(rows.select("url", "html")), "constant")
 
-    def hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], ["id", "url", "html", "host"])
+            keys, blocks = [], []
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                page = Page(html)
+                keys.append(layout_key(host_of(url), page.layout))
+                blocks.append(pickle.dumps(page.blocks))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())],
+                ["id", "url", "key", "blocks"],
+            )
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[bytes, Template] = {}
         for batch in batches:
-            out = []
-            for html, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if data is not None and data not in loaded:
-                    if len(loaded) >= 64:
-                        loaded.clear()
-                    loaded[data] = Template.load(data)
-                out.append(main_text(html, loaded.get(data)))
+            found = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            out = [article(pickle.loads(blocks), gone) for blocks, gone in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 [id_column, url_column, "text", "n_chars"],
             )
 
-    placed = rows.mapInArrow(hosts, "id long, url string, html string, host string")
-    joined = placed.join(templates, F.col("host") == F.col("of"), "left").select("id", "url", "html", "template")
+    by_layout = rows.mapInArrow(placed, "id long, url string, key binary, blocks binary")
+    joined = by_layout.join(constant, F.col("key") == F.col("of"), "left").select("id", "url", "blocks", "constant")
     return joined.mapInArrow(extract, f"`{id_column}` long, `{url_column}` string, text string, n_chars long")

@@ -540,6 +540,30 @@ def test_the_wrapper_of_a_host_takes_constant_nodes_out(spark):
     assert all(found[30 + k][0] == whole.format(30) for k in range(9))
 
 
+def layout_page(layout, k):
+    extra = "".join(f"<div class=x{chr(97 + layout)}{chr(97 + j)}>Part {layout} {j}</div>" for j in range(20))
+    return f"<div class=top>Our site</div>{extra}<div class=body><p>Story {layout} {k} begins</p></div>"
+
+
+def test_templates_have_no_bound_and_do_not_depend_on_partitions(spark):
+    pages_of = [(layout, k) for k in range(4) for layout in range(26)]  # 520 nodes beside the common ones
+    rows = [(layout * 100 + k, "http://wide.example/", layout_page(layout, k)) for layout, k in pages_of]
+    # two texts of one place, apart in tasks whose other layouts differ
+    rows += [(5000 + k, "/relative", f"<p>Story {k}</p><div class=note>Note {k // 3}</div>") for k in range(6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {layout * 100 + k: f"Story {layout} {k} begins" for layout, k in pages_of}
+    want |= {5000 + k: f"Story {k}\n\nNote {k // 3}" for k in range(6)}
+    for pages in (table.coalesce(1), table.repartition(7), table.orderBy(html_extract.F.desc("page_id")).repartitionByRange(3, "page_id")):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()} == want
+
+
+def test_small_buffers_lose_no_evidence(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "HELD_NODES", 2)
+    rows = [(k, f"http://{k % 2}.example/", plain_page(k)) for k in range(12)]
+    found = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {k: f"Story {k} begins\n\nand ends {k}." for k in range(12)}
+
+
 def test_main_text_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_main_text(none).count() == 0
