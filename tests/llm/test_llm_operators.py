@@ -564,6 +564,19 @@ def test_small_buffers_lose_no_evidence(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in found.collect()} == {k: f"Story {k} begins\n\nand ends {k}." for k in range(12)}
 
 
+def test_copies_of_an_article_are_one_piece_of_evidence(spark):
+    varied = [(k, f"<article><p>Story {k}</p><div>By the staff</div></article>") for k in range(12)]
+    copied = [(100 + k, f"<div>{k} visits</div><article><p>Copied story</p><h2>Its heading</h2><ul><li>Its list</ul></article>") for k in range(9)]
+    bare = [(200 + k, "http://bare.example/", "<p>Same</p><h2>Heading</h2>") for k in range(9)]
+    bare += [(300 + k, "http://bare.example/", f"<p>Story {k}</p>") for k in range(5)]
+    rows = [(i, "http://host.example/", html) for i, html in varied + copied] + bare
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(table).collect()}
+    assert all(found[k] == f"Story {k}" for k in range(12))
+    assert all(found[100 + k] == "Copied story\n\nIts heading\n\nIts list" for k in range(9))
+    assert all(found[200 + k] == "Same\n\nHeading" for k in range(9))
+
+
 def test_main_text_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_main_text(none).count() == 0
