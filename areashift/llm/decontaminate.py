@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.storage import prepared
@@ -245,9 +245,24 @@ def find_leaks(
     equal items count once. A benchmark beyond ``shard`` items is taken in several
     passes, each with the term statistics of its own part.
     """
+    leaks = leaking_rows(docs, benchmark, overlap, id_column, text_column, item_column, shard)
+    return leaks.select(F.col("__leak_id").alias(id_column), *(c.split()[0] for c in LEAKS.split(", ")))
+
+
+def digest_of(text_column: str) -> Column:
+    """Tells texts apart where ids are missing or repeat."""
+    return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+
+
+def leaking_rows(
+    docs: DataFrame, benchmark: DataFrame, overlap: float, id_column: str, text_column: str, item_column: str, shard: int
+) -> DataFrame:
+    """``find_leaks`` with the id as __leak_id and the digest of the text as __leak_digest."""
     spark = prepared(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    names = [id_column, *(c.split()[0] for c in LEAKS.split(", "))]
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("id"), digest_of(text_column).alias("digest"), F.col(text_column).cast("string").alias("text")
+    )
+    names = ["__leak_id", "__leak_digest", *(c.split()[0] for c in LEAKS.split(", "))]
     out = None
     for items in shards_of(benchmark, item_column, text_column, shard):
         shared = spark.sparkContext.broadcast(build_index(items, overlap))
@@ -256,23 +271,28 @@ def find_leaks(
             index = shared.value
             for batch in batches:
                 found = [
-                    (doc, *leak)
-                    for doc, text in zip(*(c.to_pylist() for c in batch.columns))
+                    (doc, digest, *leak)
+                    for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns))
                     for leak in leaks_of(index, text, overlap)
                 ]
                 if found:
-                    columns = [pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(zip(*found))]
+                    columns = [pa.array(c, pa.int64() if i < 3 else pa.float64()) for i, c in enumerate(zip(*found))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-        leaks = rows.mapInArrow(search, f"`{id_column}` long, {LEAKS}")
+        leaks = rows.mapInArrow(search, f"__leak_id long, __leak_digest long, {LEAKS}")
         out = leaks if out is None else out.unionByName(leaks)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents that hold no item, all columns."""
-    gone = find_leaks(docs, benchmark, id_column=id_column).select(F.col(id_column).alias("__leak_gone"))
-    return docs.join(gone.distinct(), F.col(id_column) == F.col("__leak_gone"), "left_anti")
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id"
+) -> DataFrame:
+    """The documents that hold no item, all columns. Rows go by id and text, so that one
+    without an id goes too and another text under the same id stays."""
+    leaks = leaking_rows(docs, benchmark, OVERLAP, id_column, text_column, item_column, SHARD)
+    gone = leaks.select("__leak_id", "__leak_digest").distinct()
+    match = F.col(id_column).cast("long").eqNullSafe(F.col("__leak_id")) & (digest_of(text_column) == F.col("__leak_digest"))
+    return docs.join(gone, match, "left_anti")
 
 
 #: The pairs by counting n-grams, without an index.

@@ -92,9 +92,9 @@ def node_of(grams: np.ndarray) -> bytes:
 
 
 def nodes_of(texts: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(members, nodes): (id, n, key) of every document, and of every distinct set that is
-    not empty its key, number (node), n, smallest id, the text that has it, and the n-grams
-    of its prefix that may occur elsewhere, in order."""
+    """(members, nodes): (id, digest, n, key) of every document, and of every distinct set
+    that is not empty its key, number (node), n, the row of the smallest id (least), the text
+    that has it, and the n-grams of its prefix that may occur elsewhere, in order."""
 
     def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -127,11 +127,11 @@ def nodes_of(texts: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
         texts.mapInArrow(described, "id long, digest long, n int, key binary, prefix array<long>"), "sets"
     )
     nodes = rows.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("least_id"), F.min(F.struct("id", "digest", "n", "prefix")).alias("own")
+        F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "digest")).alias("least"), F.min(F.struct("id", "digest", "n", "prefix")).alias("own")
     )
-    nodes = nodes.select("key", "least_id", "own.*").withColumnRenamed("id", "own_id")
+    nodes = nodes.select("key", "least", "own.*").withColumnRenamed("id", "own_id")
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
-    return rows.select("id", "n", "key"), stored(nodes, "nodes")
+    return rows.select("id", "digest", "n", "key"), stored(nodes, "nodes")
 
 
 def shared_grams(nodes: DataFrame) -> DataFrame:
@@ -470,6 +470,18 @@ def near_duplicates(
     repeated rows among them; a missing id is never the smallest unless all are missing.
     Further columns are not looked at.
     """
+    found = grouped_rows(docs, how, rounds, block, id_column, text_column)
+    component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
+    return found.select(
+        F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")
+    )
+
+
+def grouped_rows(
+    docs: DataFrame, how: Similarity, rounds: int, block: int, id_column: str, text_column: str
+) -> DataFrame:
+    """(id, digest, n, first) of every document; first is the row (id, digest) of its group
+    with the smallest id, missing without n-grams. Groups are told apart by their nodes."""
     prepared(docs.sparkSession)
     texts = keyed_texts(docs, id_column, text_column)
     members, nodes = nodes_of(texts, how)
@@ -495,20 +507,30 @@ def near_duplicates(
     for more in found[1:]:
         links = links.unionByName(more)
     roots = components(links).withColumnsRenamed({"u": "__node", "root": "__root"})
-    named = nodes.select("key", "node", "least_id")
+    named = nodes.select("key", "node", "least")
     named = named.join(roots, F.col("node") == F.col("__node"), "left")
     named = named.withColumn("label", F.coalesce("__root", "node"))
-    smallest = named.groupBy(F.col("label").alias("of")).agg(F.min("least_id").alias("component_id"))
-    of_node = named.join(smallest, F.col("label") == F.col("of")).select(F.col("key").alias("__key"), "component_id")
+    smallest = named.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("first"))
+    of_node = named.join(smallest, F.col("label") == F.col("of")).select(F.col("key").alias("__key"), "first")
     joined = members.join(of_node, F.col("key") == F.col("__key"), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return joined.select(
-        F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")
-    )
+    return joined.select("id", "digest", "n", "first")
 
 
 def drop_near_copies(docs: DataFrame, how: Similarity, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group, that with the smallest id, all columns."""
-    found = near_duplicates(docs, how, id_column=id_column, text_column=text_column)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__dedup_gone"))
-    return docs.join(gone, F.col(id_column) == F.col("__dedup_gone"), "left_anti")
+    """One row of each group, that with the smallest id, all columns.
+
+    Rows are told apart by id and text, as ids may be missing or repeat; of rows with both
+    equal one stays. Documents without n-grams all stay.
+    """
+    found = grouped_rows(docs, how, ROUNDS, BLOCK, id_column, text_column)
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    marked = found.where("n > 0").groupBy(F.col("id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest"))
+    marked = marked.agg(F.max(first).alias("__dedup_first"), F.count(F.lit(1)).alias("__dedup_rows"))
+    # what is neither left out nor repeated needs no mark
+    marked = stored(marked.where(~F.col("__dedup_first") | (F.col("__dedup_rows") > 1)), "marked")
+    key, digest = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    match = key.eqNullSafe(F.col("__dedup_id")) & (digest == F.col("__dedup_digest"))
+    repeated = docs.join(marked.where("__dedup_first"), match, "left_semi")
+    repeated = repeated.withColumns({"__dedup_id": key, "__dedup_digest": digest})
+    once = repeated.dropDuplicates(["__dedup_id", "__dedup_digest"]).drop("__dedup_id", "__dedup_digest")
+    return docs.join(marked, match, "left_anti").unionByName(once)

@@ -17,6 +17,7 @@ from llm_cases import (
     frame,
     rows_of,
     sha,
+    words,
 )
 
 from areashift.llm import decontaminate, exact_dedup, html_extract, pii, suffix_dedup, toxicity, warc
@@ -214,6 +215,30 @@ def test_drop_near_copies(docs, none):
     assert drop_near_copies(none, Similarity()).count() == 0
 
 
+def test_leaks_go_by_row_where_ids_are_missing_or_repeat(spark):
+    question, answer = words("question", 30), words("answer", 12)
+    benchmark = spark.createDataFrame([(1, f"{question}. {answer}.")], "item_id long, text string")
+    held, clean = f"{words('before', 20)} {question}. {answer}. after", words("clean", 60)
+    rows = [(None, held), (None, clean), (None, None), (1, held), (1, clean), (2, clean), (2, clean), (3, "")]
+    left = decontaminate.drop_leaks(frame(spark, rows).repartition(3), benchmark)
+    assert left.columns == frame(spark, rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(r for r in rows if r[1] != held)
+
+
+def test_near_copies_go_by_row_where_ids_are_missing_or_repeat(spark):
+    base, other, third = words("base", 80), words("other", 80), words("third", 80)
+    near = base + " end"
+    rows = [(None, base), (None, near), (7, near), (7, other), (8, other + " end"), (8, words("clean", 80))]
+    rows += [(None, third), (None, third + " end"), (None, words("alone", 80)), (3, ""), (3, ""), (None, None)]
+    rows += [(9, words("twice", 80)), (9, words("twice", 80)), (5, words("p", 80)), (5, words("p", 80) + " end")]
+    left = Counter((r["doc_id"], r["text"]) for r in drop_near_copies(frame(spark, rows).repartition(3), Similarity(5, 80, 100)).collect())
+    thirds = left.pop((None, third), 0) + left.pop((None, third + " end"), 0)
+    fives = left.pop((5, words("p", 80)), 0) + left.pop((5, words("p", 80) + " end"), 0)
+    assert (thirds, fives) == (1, 1)
+    kept = [(7, near), (7, other), (8, words("clean", 80)), (None, words("alone", 80)), (3, ""), (3, ""), (None, None), (9, words("twice", 80))]
+    assert left == Counter(kept)
+
+
 def test_prefix_tree_finds_what_all_pairs_find():
     draw = random.Random(2)
     how = Similarity()
