@@ -163,7 +163,7 @@ def shared_grams(nodes: DataFrame) -> DataFrame:
 
 def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
     """(node, grams, bits): the whole sets of the given nodes, as sorted 64-bit hashes and as
-    bitmaps of ``BITS`` bits. A node of a row repeated in the table comes as often."""
+    bitmaps of ``BITS`` bits, once also where the row of a node is repeated in the table."""
     wanted = nodes.select(F.col("own_id").alias("__id"), F.col("digest").alias("__digest"), "node")
     on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
 
@@ -183,7 +183,14 @@ def contents_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFram
     found = some.join(wanted, on).select("node", "text").mapInArrow(
         sets, "node long, grams binary, bits binary"
     )
-    return stored(found, "grams")
+    grams = stored(found, "grams")
+    again = grams.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("rows"))
+    again = stored(again.where("rows > 1").select("__node"), "again")
+    if again.isEmpty():
+        return grams
+    on = F.col("node") == F.col("__node")
+    one = grams.join(again, on, "left_semi").dropDuplicates(["node"])
+    return stored(grams.join(again, on, "left_anti").unionByName(one), "grams")
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
@@ -429,7 +436,7 @@ def tree_pairs(
     """Pairs (u, v) of nodes with different labels whose prefixes, and bitmaps, overlap
     enough, each from the group of the first n-gram that they share."""
     lists = prefixes.select(F.col("node").alias("__node"), F.col("grams").alias("prefix"))
-    maps = grams.select(F.col("node").alias("__map"), "bits").dropDuplicates(["__map"])
+    maps = grams.select(F.col("node").alias("__map"), "bits")
     kept = dealt(postings, block).join(lists, F.col("node") == F.col("__node"))
     kept = kept.join(maps, F.col("node") == F.col("__map")).select(*ROW, "prefix", "bits")
 

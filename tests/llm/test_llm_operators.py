@@ -20,7 +20,7 @@ from llm_cases import (
     words,
 )
 
-from areashift.llm import decontaminate, exact_dedup, html_extract, pii, suffix_dedup, toxicity, warc
+from areashift.llm import decontaminate, exact_dedup, html_extract, ngram_join, pii, suffix_dedup, toxicity, warc
 from areashift.llm.decontaminate import find_leaks
 from areashift.llm.exact_dedup import drop_copies, grace_dedup
 from areashift.llm.graph import components
@@ -225,6 +225,22 @@ def test_leaks_go_by_row_where_ids_are_missing_or_repeat(spark):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(r for r in rows if r[1] != held)
 
 
+def test_sets_of_repeated_rows_are_compared_once(spark, monkeypatch):
+    seen, whole = [], ngram_join.contents_of
+
+    def contents(*args):
+        grams = whole(*args)
+        seen.extend(r["node"] for r in grams.select("node").collect())
+        return grams
+
+    monkeypatch.setattr(ngram_join, "contents_of", contents)
+    base = words("base", 80)
+    rows = [(1, base)] * 7 + [(2, base + " end")] * 5 + [(3, base + " end more"), (4, words("other", 80))]
+    got = rows_of(near_duplicates(frame(spark, rows).repartition(3)), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 4, 85, 100)
+    assert len(seen) == len(set(seen)) == 3
+
+
 def test_near_copies_go_by_row_where_ids_are_missing_or_repeat(spark):
     base, other, third = words("base", 80), words("other", 80), words("third", 80)
     near = base + " end"
