@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from areashift.llm.decontaminate import LEAKS_SQL, find_leaks
 from areashift.llm.exact_dedup import grace_dedup
+from areashift.llm.fill_middle import MIDDLE_SQL, fill_in_middle, with_restored
 from areashift.llm.html_extract import extract_main_text
 from areashift.llm.mixing import MIX_SQL, mix_sources
 from areashift.llm.ngram_join import near_duplicates
@@ -67,6 +69,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = with_restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -86,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": LEAKS_SQL,
         "op6_mix_sources": MIX_SQL.replace("{docs}", "documents"),
         "op10_exact_dedup": DEDUP_SQL,
+        "op11_fill_middle": MIDDLE_SQL,
     }

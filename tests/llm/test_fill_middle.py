@@ -1,0 +1,97 @@
+"""Fill-in-the-middle examples against a plain version, and back to the exact texts."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_cases import documents, frame, sha
+
+from areashift.llm.fill_middle import Rates, fill_in_middle, joined, lines_of, restored, with_restored
+
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
+MORE = [
+    (30, "\n"),
+    (31, "\n\n\nend"),
+    (32, "one <P> marker\nof three"),
+    (33, "almost <S\n><M\nand <"),
+    (34, "<\n" * 40),
+    (35, "é\U0001f600\n" * 9 + "last\r\nline\r"),
+    (36, "a\x00b\nc"),
+    (37, "x" * 300_000 + "\n" + "y\n" * 50_000),
+]
+
+
+def plain_version(i, text, rates=Rates()):
+    text = text or ""
+    units = LINE.findall(text)
+    n = len(units)
+    digest = hashlib.sha256(f"{rates.seed}{'' if i is None else i}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not text or any(k in text for k in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rates.rearranged:
+        return (i, n, "plain", None, None, text, text)
+    if h[3] % 100 < rates.suffix_first:
+        return (i, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", text)
+    return (i, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", text)
+
+
+@pytest.mark.parametrize("rates", [Rates(), Rates(60, 0), Rates(100, 100, "other:"), Rates(0)])
+def test_examples_and_back(spark, rates):
+    rows = documents() + MORE
+    got = with_restored(fill_in_middle(frame(spark, rows), rates=rates))
+    assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "restored"]
+    assert Counter(map(tuple, got.collect())) == Counter(plain_version(i, t, rates) for i, t in rows)
+
+
+def test_empty_table_and_all_missing(spark):
+    assert with_restored(fill_in_middle(frame(spark, [(1, "a")]).limit(0))).collect() == []
+    gone = fill_in_middle(frame(spark, [(None, None), (None, None)])).collect()
+    assert [tuple(r) for r in gone] == [(None, 0, "plain", None, None, "")] * 2
+
+
+def test_batches_do_not_matter(spark):
+    rows = [(i, f"{i}\n" * (i % 17)) for i in range(400)]
+    docs = frame(spark, rows).repartition(7)
+    want = sorted(map(tuple, fill_in_middle(docs).collect()))
+    small = fill_in_middle(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    assert sorted(map(tuple, small.collect())) == want
+
+
+def test_other_names_of_columns(spark):
+    docs = spark.createDataFrame([("k1", "a\nb", "x", 1)], "`my id` string, body string, output string, n int")
+    got = fill_in_middle(docs, "my id", "body").first()
+    assert got["my id"] == "k1" and sha(got["output"]) == sha(plain_version("k1", "a\nb")[5])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab\n<PSM>\r é", max_size=30), min_size=1, max_size=6))
+def test_lines(texts):
+    units, owner, n = lines_of(pa.array(texts))
+    assert [units.filter(pa.array(owner == i)).to_pylist() for i in range(len(texts))] == [LINE.findall(t) for t in texts]
+    assert n.tolist() == [len(LINE.findall(t)) for t in texts]
+    assert joined(units, owner, owner >= 0, len(texts)).to_pylist() == texts
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="<PSM>\n", max_size=12), st.booleans()), min_size=1, max_size=5), st.data())
+def test_restored_whatever_stands_beside_a_marker(rows, data):
+    outputs, forms, want = [], [], []
+    for text, first in rows:
+        want.append(text)
+        if any(k in text for k in ("<P>", "<S>", "<M>")):
+            outputs.append(text)
+            forms.append("plain")
+            continue
+        units = LINE.findall(text)
+        a = data.draw(st.integers(0, len(units)))
+        b = data.draw(st.integers(a, len(units)))
+        p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        outputs.append(f"<S>{s}<P>{p}<M>{m}" if first else f"<P>{p}<S>{s}<M>{m}")
+        forms.append("spm" if first else "psm")
+    assert restored(pa.array(outputs), pa.array(forms)).to_pylist() == want
