@@ -18,6 +18,7 @@ from areashift.llm.storage import prepared
 from areashift.llm.suffix_dedup import suffix_dedup
 from areashift.llm.substring_dedup import substring_dedup
 from areashift.llm.toxicity import score_toxicity, train
+from areashift.llm.vector_join import VECTORS_SQL, near_vectors
 from areashift.llm.warc import WARC_SQL, archive_round_trip
 
 
@@ -75,6 +76,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -95,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": MIX_SQL.replace("{docs}", "documents"),
         "op10_exact_dedup": DEDUP_SQL,
         "op11_fill_middle": MIDDLE_SQL,
+        "op12_vector_join": VECTORS_SQL,
     }
