@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areashift.llm.conversation_repair import damaged_and_repaired
 from areashift.llm.decontaminate import LEAKS_SQL, find_leaks
 from areashift.llm.exact_dedup import grace_dedup
 from areashift.llm.fill_middle import MIDDLE_SQL, fill_in_middle, with_restored
@@ -80,6 +81,10 @@ def op12_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
