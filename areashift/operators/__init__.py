@@ -1,5 +1,6 @@
 """DataFrame-to-DataFrame operators."""
 
+from areashift.operators.cases import case_verdicts, connected, overlap_cases, units_of_case
 from areashift.operators.checks import (
     Conserved,
     closed_case_check,
@@ -22,6 +23,8 @@ from areashift.operators.interpolate import (
     interpolate_means,
 )
 from areashift.operators.joins import (
+    among,
+    chosen_keys,
     full_join,
     keyed_join,
     left_join,
@@ -50,6 +53,12 @@ from areashift.operators.reports import (
 )
 
 __all__ = [
+    "among",
+    "case_verdicts",
+    "chosen_keys",
+    "connected",
+    "overlap_cases",
+    "units_of_case",
     "Conserved",
     "Period",
     "SourceSet",

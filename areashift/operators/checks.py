@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from areashift.functions import clean, strict_sum, to_number, total, weighted_mean
 from areashift.operators.interpolate import SourceSet
-from areashift.operators.joins import full_join, left_join, named
+from areashift.operators.joins import Chosen, among, chosen_keys, full_join, left_join, named
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,6 @@ def _verdicts(
     ).withColumn("passed", F.abs(F.col("interpolated") - F.col("recomputed")) <= tolerance)
 
 
-def _only(rows: DataFrame, column: str, chosen: Sequence[str] | None) -> DataFrame:
-    return rows if chosen is None else rows.where(named(column).isin(list(chosen)))
-
-
 def target_check(
     interpolated: DataFrame,
     crosswalk: DataFrame,
@@ -100,7 +96,7 @@ def target_check(
     target: str,
     attributes: SourceSet,
     output_names: Sequence[str] | None = None,
-    targets: Sequence[str] | None = None,
+    targets: Chosen = None,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """Every target's measures against the plain sum of value x share / 100 of its sources.
@@ -112,13 +108,14 @@ def target_check(
     """
     measures = attributes.measures
     output_names = output_names or measures
+    targets = chosen_keys(crosswalk, target, targets)
     own = attributes.rows.select(
         named(attributes.key).alias(source),
         *[clean(named(m)).alias(f"__x{i}") for i, m in enumerate(measures)],
     )
     weights = [attributes.mean_weight] * len(attributes.means)
     weights += [attributes.count_weight] * len(attributes.counts)
-    shares = _only(crosswalk, target, targets).select(
+    shares = among(crosswalk, target, targets).select(
         named(source),
         named(target),
         *[clean(named(w)).alias(f"__w{i}") for i, w in enumerate(weights)],
@@ -133,7 +130,7 @@ def target_check(
             ]
         )
     )
-    got = _only(interpolated, target, targets).select(
+    got = among(interpolated, target, targets).select(
         named(target),
         *[clean(named(n)).alias(f"__got{i}") for i, n in enumerate(output_names)],
     )
@@ -147,7 +144,7 @@ def source_check(
     crosswalk: DataFrame,
     source: str,
     attributes: SourceSet,
-    sources: Sequence[str] | None = None,
+    sources: Chosen = None,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """What each source hands out over all its targets against what it has (case "split").
@@ -156,12 +153,13 @@ def source_check(
     of it or merge it with others.
     """
     counts = list(attributes.counts)
+    sources = chosen_keys(crosswalk, source, sources)
     handed_out = (
-        _only(crosswalk, source, sources)
+        among(crosswalk, source, sources)
         .groupBy(source)
         .agg(strict_sum(clean(named(attributes.count_weight))).alias("__share"))
     )
-    own = _only(attributes.rows, attributes.key, sources).select(
+    own = among(attributes.rows, attributes.key, sources).select(
         named(attributes.key).alias(source),
         *[clean(named(c)).alias(f"__want{i}") for i, c in enumerate(counts)],
     )
@@ -178,14 +176,15 @@ def inherited_check(
     target: str,
     attributes: SourceSet,
     output_names: Sequence[str] | None = None,
-    targets: Sequence[str] | None = None,
+    targets: Chosen = None,
     tolerance: float = 1e-9,
 ) -> DataFrame:
     """Means of targets cut out of a single source against the source's own ("inherited")."""
     means = list(attributes.means)
     output_names = output_names or means
+    targets = chosen_keys(crosswalk, target, targets)
     single = (
-        _only(crosswalk, target, targets)
+        among(crosswalk, target, targets)
         .groupBy(target)
         .agg(F.min(named(source)).alias("__first"), F.max(named(source)).alias("__last"))
         .where(F.col("__first") == F.col("__last"))
@@ -195,7 +194,7 @@ def inherited_check(
         named(attributes.key),
         *[clean(named(m)).alias(f"__want{i}") for i, m in enumerate(means)],
     )
-    got = _only(interpolated, target, targets).select(
+    got = among(interpolated, target, targets).select(
         named(target),
         *[clean(named(n)).alias(f"__got{i}") for i, n in enumerate(output_names)],
     )
@@ -208,23 +207,24 @@ def closed_case_check(
     case: str,
     interpolated: DataFrame,
     target: str,
-    targets: Sequence[str],
+    targets: Chosen,
     output_name: str,
     attributes: DataFrame,
     key: str,
-    sources: Sequence[str],
+    sources: Chosen,
     measure: str,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """One row: a total over chosen targets against that over the sources they come from.
 
+    Units are chosen by a list, by the first column of a table, or not at all (None).
     ``targets_found`` and ``sources_found`` count the units; where one is 0 there is no
     total of that side and no verdict.
     """
-    got = _only(interpolated, target, targets).select(
+    got = among(interpolated, target, targets).select(
         F.lit(True).alias("__got"), clean(named(output_name)).alias("__x")
     )
-    want = _only(attributes, key, sources).select(
+    want = among(attributes, key, sources).select(
         F.lit(False).alias("__got"), clean(named(measure)).alias("__x")
     )
     # A row of the other side adds 0, so that only missing values of its own side count.

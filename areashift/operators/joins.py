@@ -11,10 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areashift.session import scratch_folder
+
 Keys = Sequence[str | tuple[str, str]]
+#: Chosen keys: a list, or the first column of a table; None for all.
+Chosen = Sequence | DataFrame | None
+#: A list up to this length is compared as literals, which the scan checks by row group.
+LITERALS = 50
 
 
 def named(name: str) -> Column:
@@ -83,3 +91,39 @@ def left_join(left: DataFrame, right: DataFrame, keys: Keys, null_safe: bool = T
 def restrict_to(rows: DataFrame, column: str, members: DataFrame, member: str) -> DataFrame:
     """Rows whose value is among the members. A missing value is never a member."""
     return keyed_join(rows, members.select(member), [(column, member)], "left_semi", False)
+
+
+def chosen_keys(rows: DataFrame, column: str, chosen: Chosen) -> Chosen:
+    """A long list as a table of keys, written to the shared folder; others as they are.
+
+    The list goes to the JVM as Arrow data, and plans hold a path, so neither building nor
+    planning grows with it. Reading the table asks for its own range of keys: Spark hands
+    that range on to the large side and its scan, and as the range makes the table selective,
+    adds a Bloom filter of its keys there where neither side is small enough to broadcast.
+    """
+    if chosen is None or isinstance(chosen, DataFrame) or len(chosen) <= LITERALS:
+        return chosen
+    spark = rows.sparkSession
+    keys = pa.table({"member": pc.drop_null(pc.unique(pa.array(chosen, from_pandas=True)))})
+    kind = rows.select(named(column)).schema[0].dataType
+    listed = spark.createDataFrame(keys).select(F.col("member").cast(kind).alias("member"))
+    path = scratch_folder(spark, "members")
+    listed.coalesce(1).write.mode("overwrite").parquet(path)
+    bounds = pc.min_max(keys["member"]).as_py()
+    member = F.col("member")
+    in_range = (member >= F.lit(bounds["min"]).cast(kind)) & (member <= F.lit(bounds["max"]).cast(kind))
+    stored = spark.read.schema(listed.schema).parquet(path)
+    # of text cast to another type the bounds would be those of the text
+    same = listed.schema[0].dataType == spark.createDataFrame(keys.slice(0, 1)).schema[0].dataType
+    return stored.where(in_range) if same else stored
+
+
+def among(rows: DataFrame, column: str, chosen: Chosen) -> DataFrame:
+    """Rows whose key is chosen; all of them where ``chosen`` is None. A missing key never is."""
+    if chosen is None:
+        return rows
+    if not isinstance(chosen, DataFrame):
+        if len(chosen) <= LITERALS:
+            return rows.where(named(column).isin(list(chosen)))
+        chosen = chosen_keys(rows, column, chosen)
+    return restrict_to(rows, column, chosen, chosen.columns[0])

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areashift.operators.cases import case_verdicts as verdicts_by_case
 from areashift.operators.checks import (
     Conserved,
     closed_case_check,
@@ -177,6 +178,17 @@ def case_verdicts(
     return partition_union(checks)
 
 
+def all_case_verdicts(tables: RegionTables) -> DataFrame:
+    """Every merged, split or redrawn group of tracts, found from the overlaps, both vintages."""
+    parts = []
+    for suffix, (of_source, of_target) in VINTAGES.items():
+        both = SourceSet(tables.vintage(suffix), "GEOID", "", ["hhinc", "white"], of_target, ["popul"], of_source)
+        names = [f"{m}{suffix}" for m in both.measures]
+        verdicts = verdicts_by_case(tables.crosswalk, "GEOID10", "GEOID20", both, tables.interpolated, names)
+        parts.append(verdicts.withColumn("vintage", F.lit(suffix)))
+    return partition_union(parts)
+
+
 def same_as_national(
     region_units: DataFrame, national_units: DataFrame, tolerance: float = 1e-6
 ) -> DataFrame:
@@ -211,6 +223,7 @@ def run(
         "focus_places": region_places(spark, paths, region),
         "conservation": conservation(tables),
         "cases": case_verdicts(tables),
+        "all_cases": all_case_verdicts(tables),
         "missing_tracts": missing_responses(spark, paths, "tract", region),
         "missing_places": missing_responses(spark, paths, "place", region),
     }

@@ -51,6 +51,55 @@ attrs AS (
 ATTACHED = f"""{CROSSWALK}, {ATTRIBUTES},
 attached AS (SELECT * FROM cw FULL JOIN attrs ON cw.ord = attrs.okey)"""
 
+RETURNED_CASES = f"""{ATTRIBUTES},
+pairs AS (
+  SELECT l_orderkey AS o, l_partkey AS p, sum(l_quantity) AS q FROM lineitem
+  WHERE l_returnflag = 'R' AND l_quantity > 25 AND extract(year FROM l_shipdate) = {PRIOR}
+  GROUP BY 1, 2),
+cw AS (
+  SELECT o, p, 100 * q / sum(q) OVER (PARTITION BY o) AS q_s,
+         100 * q / sum(q) OVER (PARTITION BY p) AS q_t FROM pairs),
+reach(node, near) AS (
+  SELECT DISTINCT o, o FROM pairs
+  UNION SELECT r.node, b.o FROM reach r JOIN pairs a ON a.o = r.near JOIN pairs b ON b.p = a.p),
+own AS (SELECT node AS o, min(near) AS root FROM reach GROUP BY 1),
+got AS (SELECT DISTINCT p, root FROM pairs JOIN own USING (o)),
+cases AS (
+  SELECT root, count(DISTINCT o) AS sources, count(DISTINCT p) AS targets, min(p) AS first_part,
+         CASE WHEN count(DISTINCT o) = 1 THEN CASE WHEN count(DISTINCT p) = 1 THEN 'unchanged' ELSE 'split' END
+              ELSE CASE WHEN count(DISTINCT p) = 1 THEN 'merge' ELSE 'boundary' END END AS kind
+  FROM pairs JOIN own USING (o) GROUP BY 1)"""
+
+
+def _boundary_cases() -> str:
+    rows = []
+    for measure in ("urgent", "price"):
+        rows.append(f"""SELECT root, '{measure}' AS measure, 'range' AS test,
+       (SELECT min({measure}) FROM own JOIN attrs ON okey = o WHERE own.root = cases.root) AS before_low,
+       (SELECT max({measure}) FROM own JOIN attrs ON okey = o WHERE own.root = cases.root) AS before_high,
+       (SELECT min({measure}) FROM part_values v WHERE v.root = cases.root) AS after_low,
+       (SELECT max({measure}) FROM part_values v WHERE v.root = cases.root) AS after_high FROM cases""")
+    for measure in ("orders", "spend"):
+        rows.append(f"""SELECT root, '{measure}', 'total',
+       (SELECT sum({measure}) FROM own JOIN attrs ON okey = o WHERE own.root = cases.root) AS x,
+       (SELECT sum({measure}) FROM own JOIN attrs ON okey = o WHERE own.root = cases.root),
+       (SELECT sum({measure}) FROM part_values v WHERE v.root = cases.root),
+       (SELECT sum({measure}) FROM part_values v WHERE v.root = cases.root) FROM cases""")
+    union = " UNION ALL ".join(rows)
+    figures = ", ".join(
+        f"round({c}, 3) AS {c}" for c in ("before_low", "before_high", "after_low", "after_high")
+    )
+    return f"""WITH RECURSIVE {RETURNED_CASES},
+part_values AS (
+  SELECT p, root, {_wmean('urgent', 'q_t')} AS urgent, {_wmean('price', 'q_t')} AS price,
+         {_alloc('orders', 'q_s')} AS orders, {_alloc('spend', 'q_s')} AS spend
+  FROM cw JOIN got USING (p) JOIN attrs ON okey = o GROUP BY 1, 2),
+rows AS ({union})
+SELECT root AS first_order, first_part, kind, sources, targets, measure, test, {figures},
+       after_low >= before_low - 1e-4 AND after_high <= before_high + 1e-4 AS passed
+FROM rows JOIN cases USING (root)"""
+
+
 INTERPOLATED = f"""{ATTACHED},
 interp AS (
   SELECT sup,
@@ -272,15 +321,43 @@ sources AS (
 {' UNION ALL '.join(parts)}"""
 
 
+FOCUS_SUPPLIERS = """SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"""
+
+
+def _closed_cases() -> str:
+    every, here = "SELECT s_suppkey FROM supplier", FOCUS_SUPPLIERS
+    lines, theirs = "SELECT ord FROM cw", f"SELECT ord FROM cw WHERE sup IN ({FOCUS_SUPPLIERS})"
+    parts = []
+    for case, to, of, measure in (
+        ("closed", "SELECT sup FROM cw", lines, "orders"),
+        ("closed by list", every, lines, "orders"),
+        ("one region", here, theirs, "spend"),
+        ("unknown price", every, theirs, "price"),
+        ("mistyped", "SELECT -1", theirs, "orders"),
+    ):
+        parts.append(f"""SELECT '{case}' AS "case", '{measure}' AS measure,
+       (SELECT sum({measure}) FROM got WHERE sup IN ({to})) AS interpolated,
+       (SELECT CASE WHEN count(*) = count({measure}) THEN sum({measure}) END FROM attrs WHERE okey IN ({of})) AS recomputed,
+       (SELECT count(*) FROM got WHERE sup IN ({to})) AS targets_found,
+       (SELECT count(*) FROM attrs WHERE okey IN ({of})) AS sources_found""")
+    measures = ", ".join(f"{_alloc(m, 'all_s')} AS {m}" for m in ("orders", "spend", "price"))
+    return f"""WITH {ATTACHED},
+got AS (SELECT sup, {measures} FROM attached WHERE sup IS NOT NULL GROUP BY sup),
+rows AS ({' UNION ALL '.join(parts)})
+SELECT "case", measure, round(interpolated, 3) AS interpolated, round(recomputed, 3) AS recomputed,
+       targets_found, sources_found, abs(interpolated - recomputed) <= 1e-4 AS passed FROM rows"""
+
+
 def _chosen_targets() -> str:
     got, want = _alloc("orders", "all_s"), _strict("(orders * all_s / 100)")
-    kept = "sup IN (1, 2, 3, 5, 8)"
+    kept = f"sup IN ({FOCUS_SUPPLIERS})"
     split = _verdict_counts("split", "orders", "sources", "orders * share / 100", "orders", "1e-4")
     return f"""WITH {ATTACHED},
 targets AS (SELECT sup, {got} AS got, {want} AS want FROM attached WHERE {kept} GROUP BY sup),
 sources AS (
   SELECT share, orders FROM (SELECT ord, {_strict('all_s')} AS share FROM cw GROUP BY ord) s
-  LEFT JOIN attrs ON ord = okey WHERE ord IN (1, 2, 3, 4, 5, 6, 7))
+  LEFT JOIN attrs ON ord = okey WHERE ord IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
 {_verdict_counts('allocated', 'orders', 'targets', 'got', 'want', '1e-4')} UNION ALL {split}"""
 
 
@@ -521,30 +598,11 @@ SELECT sum(greatest(l, r))::BIGINT AS n_rows, count(*) FILTER (WHERE l = 1 AND r
        count(*) FILTER (WHERE l = 1 AND r = 1) AS min_matches,
        count(*) FILTER (WHERE l = 1 AND r = 1) = sum(greatest(l, r)) AS equal FROM b""",
         "compare_unknown": f"WITH {UNKNOWN} SELECT {SHOWN} FROM comparison",
-        "closed_cases": f"""WITH {ATTACHED},
-got AS (SELECT sup, {_alloc('orders', 'all_s')} AS orders, {_alloc('price', 'all_s')} AS price
-        FROM attached GROUP BY sup),
-rows AS (
-  SELECT 'two suppliers' AS "case", 'orders' AS measure,
-         (SELECT sum(orders) FROM got WHERE sup BETWEEN 1 AND 2) AS interpolated,
-         (SELECT sum(orders) FROM attrs WHERE okey BETWEEN 1 AND 4) AS recomputed,
-         (SELECT count(*) FROM got WHERE sup BETWEEN 1 AND 2) AS targets_found,
-         (SELECT count(*) FROM attrs WHERE okey BETWEEN 1 AND 4) AS sources_found
-  UNION ALL
-  SELECT 'unknown price', 'price', (SELECT sum(price) FROM got WHERE sup BETWEEN 1 AND 100000),
-         (SELECT CASE WHEN count(*) = count(price) THEN sum(price) END FROM attrs WHERE okey BETWEEN 1 AND 50),
-         (SELECT count(*) FROM got WHERE sup BETWEEN 1 AND 100000),
-         (SELECT count(*) FROM attrs WHERE okey BETWEEN 1 AND 50)
-  UNION ALL
-  SELECT 'mistyped', 'orders', NULL, (SELECT sum(orders) FROM attrs WHERE okey BETWEEN 1 AND 4), 0,
-         (SELECT count(*) FROM attrs WHERE okey BETWEEN 1 AND 4)
-  UNION ALL
-  SELECT 'closed', 'orders', (SELECT sum(orders) FROM got WHERE sup IS NOT NULL),
-         (SELECT count(*)::DOUBLE FROM attrs WHERE okey IN (SELECT ord FROM cw)),
-         (SELECT count(*) FROM got WHERE sup IS NOT NULL),
-         (SELECT count(*) FROM attrs WHERE okey IN (SELECT ord FROM cw)))
-SELECT "case", measure, round(interpolated, 3) AS interpolated, round(recomputed, 3) AS recomputed,
-       targets_found, sources_found, abs(interpolated - recomputed) <= 1e-4 AS passed FROM rows""",
+        "closed_cases": _closed_cases(),
+        "boundary_cases": _boundary_cases(),
+        "case_kinds": f"""WITH RECURSIVE {RETURNED_CASES}
+SELECT kind, count(*) AS cases, sum(sources)::BIGINT AS orders, sum(targets)::BIGINT AS parts
+FROM cases GROUP BY 1""",
         **LANDED,
         "landed_facts": """
 SELECT lpad(s_nationkey::VARCHAR, 2, '0') || lpad(s_suppkey::VARCHAR, 9, '0') AS GEOID,

@@ -23,6 +23,7 @@ from areashift.functions import (
     total,
     weighted_mean,
 )
+from areashift.operators.cases import case_verdicts, overlap_cases
 from areashift.operators.checks import (
     Conserved,
     closed_case_check,
@@ -477,31 +478,48 @@ def q_compare_unknown(spark, sf_dir):
 
 
 def q_closed_cases(spark, sf_dir):
-    """Orders of the first suppliers in whole, of some in part, with unknown prices, and of none."""
+    """Orders of all suppliers in whole, of those of a region in part, with unknown prices, and
+    of none; the units are chosen by tables of keys."""
     crosswalk = materialize(star.crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
-    orders = star.order_attributes(spark, sf_dir).withColumn("source", F.col("order").cast("string"))
-    pairs = crosswalk.withColumn("target", F.col("supplier").cast("string"))
+    orders = star.order_attributes(spark, sf_dir)
     whole = SourceSet(orders, "order", "", counts=["orders", "spend", "price"], count_weight="all_s")
-    got = areal_interpolate(pairs, "order", "target", [whole])
-    # every supplier against every order with lines is a closed case; some of either are not
-    targets = [str(k) for k in range(1, 100_001)]
+    got = areal_interpolate(crosswalk, "order", "supplier", [whole], unallocated=False)
+    got = materialize(got, scratch_folder(spark, "interpolated"))
+    every = table(spark, sf_dir, "supplier").select("s_suppkey")
+    here = star.focus_suppliers(spark, sf_dir).select("supplier")
+    theirs = restrict_to(crosswalk, "supplier", here, "supplier").select("order").distinct()
     cases = [
-        ("two suppliers", targets[:2], targets[:4], "orders"),
-        ("unknown price", targets, targets[:50], "price"),
-        ("mistyped", ["no such supplier"], targets[:4], "orders"),
+        ("closed", None, crosswalk.select("order").distinct(), "orders"),
+        ("closed by list", every, crosswalk.select("order").distinct(), "orders"),
+        ("one region", here, theirs, "spend"),
+        ("unknown price", every, theirs, "price"),
+        ("mistyped", [-1], theirs, "orders"),
     ]
     rows = [
-        closed_case_check(name, got, "target", to, measure, orders, "source", of, measure)
+        closed_case_check(name, got, "supplier", to, measure, orders, "order", of, measure)
         for name, to, of, measure in cases
     ]
-    with_lines = restrict_to(orders, "order", crosswalk, "order").withColumn("source", F.lit("all"))
-    both = got.where(F.col("target").isNotNull()).withColumn("target", F.lit("all"))
-    rows.append(
-        closed_case_check("closed", both, "target", ["all"], "orders", with_lines, "source", ["all"], "orders")
-    )
     return rounded(partition_union(rows), 3, money=3)
 
 
+def q_boundary_cases(spark, sf_dir):
+    """Every case of orders and parts that returned lines link: totals kept, means in range."""
+    crosswalk = materialize(star.returned_crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
+    orders = star.order_attributes(spark, sf_dir)
+    one = SourceSet(orders, "order", "", ["urgent", "price"], "q_t", ["orders", "spend"], "q_s")
+    got = areal_interpolate(crosswalk, "order", "part", [one], unallocated=False)
+    verdicts = case_verdicts(crosswalk, "order", "part", one, got)
+    return rounded(verdicts.withColumnsRenamed({"first_source": "first_order", "first_target": "first_part"}), 3)
+
+
+def q_case_kinds(spark, sf_dir):
+    """How many cases of each kind, with their units."""
+    _, _, cases = overlap_cases(star.returned_crosswalk(spark, sf_dir), "order", "part", ["q_s", "q_t"])
+    return cases.groupBy("kind").agg(
+        F.count("*").alias("cases"), F.sum("sources").alias("orders"), F.sum("targets").alias("parts")
+    )
+
+
 def q_landed_facts(spark, sf_dir):
     """Facts of all years landed by year and nation, one year of them read back and widened."""
     lines = table(spark, sf_dir, "lineitem").groupBy(

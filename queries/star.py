@@ -62,6 +62,16 @@ def crosswalk(
     return build_crosswalk(overlaps, "order", "supplier", shares)
 
 
+def returned_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order, part and shares of the large returned lines of the prior year: few enough that
+    orders and parts form many separate cases."""
+    lines = lines_of(spark, sf_dir, PRIOR_YEAR).where("l_returnflag = 'R' AND l_quantity > 25")
+    overlaps = lines.select(
+        F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q")
+    )
+    return build_crosswalk(overlaps, "order", "part", {"q": ("q_s", "q_t")})
+
+
 def order_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of the source units; the price is unknown where the priority is."""
     known = F.col("o_orderpriority") != "4-NOT SPECIFIED"
@@ -180,6 +190,14 @@ def central(spark: SparkSession, sf_dir: str, means: bool = True) -> DataFrame:
     return classified(units)
 
 
+def focus_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of the focus region."""
+    regions = table(spark, sf_dir, "region").where(F.col("r_name") == FOCUS_REGION)
+    nations = restrict_to(table(spark, sf_dir, "nation"), "n_regionkey", regions, "r_regionkey")
+    units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
+    return restrict_to(units, "s_nationkey", nations, "n_nationkey")
+
+
 def group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation code to group; a nation of the focus region leads to two groups."""
     nations = table(spark, sf_dir, "nation")
