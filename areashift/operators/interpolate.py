@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areashift.functions import allocate_sum, weighted_mean
 from areashift.operators.joins import keyed_join, left_join, named
+from areashift.sources.crosswalks import Bucketed, LandedCrosswalk
 
 
 @dataclass(frozen=True)
@@ -69,20 +70,29 @@ def attach_attributes(
     return attached.unionByName(missing, allowMissingColumns=True)
 
 
-def _one_row_per_source(sets: Sequence[SourceSet], source: str) -> DataFrame:
-    """All sets side by side, columns ``__v<set>_<measure>``, from one grouping.
+def _one_row_per_source(
+    sets: Sequence[SourceSet], source: str, landed: Bucketed | None = None
+) -> DataFrame:
+    """All sets side by side, columns ``__v<set>_<measure>``, from one grouping; dealt like
+    ``landed`` pairs where given, for which keys must have their type as well.
 
     Fails when a set repeats a unit: the sets would multiply each other's rows.
     """
+    def key(s: SourceSet) -> Column:
+        own = named(s.key)
+        return own.cast(landed.pairs.schema[source].dataType) if landed else own
+
     parts = [
         s.rows.select(
-            named(s.key).alias(source),
+            key(s).alias(source),
             F.lit(i).alias("__set"),
             *[named(m).alias(f"__v{i}_{j}") for j, m in enumerate(s.measures)],
         )
         for i, s in enumerate(sets)
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if landed:
+        stacked = stacked.repartition(landed.buckets, named(source))
     values = [f"__v{i}_{j}" for i, s in enumerate(sets) for j in range(len(s.measures))]
     repeated = reduce(
         lambda a, b: a | b, [F.count_if(F.col("__set") == i) > 1 for i in range(len(sets))]
@@ -94,14 +104,13 @@ def _one_row_per_source(sets: Sequence[SourceSet], source: str) -> DataFrame:
         F.lit("source unit occurs twice in one set: "),
         F.coalesce(named(source).cast("string"), F.lit("NULL")),
     )
-    checked = F.when(F.col("__repeated"), F.raise_error(message)).otherwise(named(source))
-    return grouped.select(
-        checked.cast(stacked.schema[source].dataType).alias(source), *values
-    )
+    # a condition, not a new source column, which would hide how rows are dealt
+    single = F.when(F.col("__repeated"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return grouped.where(single).select(named(source), *values)
 
 
 def areal_interpolate(
-    crosswalk: DataFrame,
+    crosswalk: DataFrame | LandedCrosswalk,
     source: str,
     target: str,
     sets: Sequence[SourceSet],
@@ -112,17 +121,14 @@ def areal_interpolate(
     All sets ride through one join with the crosswalk and one aggregate over it.
     Source units outside the crosswalk gather under a NULL target (counts 0, means
     NULL); ``unallocated=False`` saves that second look at the crosswalk where the
-    row is not wanted.
+    row is not wanted. The pairs of a landed crosswalk, which goes either way, are not
+    shuffled for the join.
     """
     weights = list(dict.fromkeys(w for s in sets for w in s.weights))
-    slim = crosswalk.select(
-        named(source),
-        named(target),
-        *[named(w).alias(f"__w{i}") for i, w in enumerate(weights)],
-    )
     weight = {w: F.col(f"__w{i}") for i, w in enumerate(weights)}
 
-    attributes = _one_row_per_source(sets, source)
+    landed = crosswalk.by(source) if isinstance(crosswalk, LandedCrosswalk) else None
+    attributes = _one_row_per_source(sets, source, landed)
 
     shared = Counter(m for s in sets for m in s.measures)
     columns = []
@@ -136,7 +142,16 @@ def areal_interpolate(
             name = measure + s.suffix if shared[measure] > 1 else measure
             columns.append(column.alias(name))
 
-    attached = attach_attributes(slim, attributes, source, source, unallocated)
+    if landed:
+        attached = landed.attach(attributes, unallocated)
+        attached = attached.withColumnsRenamed({w: f"__w{i}" for i, w in enumerate(weights)})
+    else:
+        slim = crosswalk.select(
+            named(source),
+            named(target),
+            *[named(w).alias(f"__w{i}") for i, w in enumerate(weights)],
+        )
+        attached = attach_attributes(slim, attributes, source, source, unallocated)
     return attached.groupBy(target).agg(*columns)
 
 

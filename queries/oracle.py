@@ -489,6 +489,13 @@ SELECT sup::VARCHAR AS supplier, round(orders10, 6) AS orders, round(spend10, 2)
         "areal_interpolate": f"""WITH {INTERPOLATED}
 SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
 FROM interp""",
+        "interpolate_landed": f"""WITH {INTERPOLATED}
+SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')},
+       NULL AS "order", NULL AS daily, NULL AS day FROM interp
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, ord::VARCHAR,
+       round({_wmean('(s_acctbal / 7)', 'all_s')}, 9), round(sum(1e0 / 7 * all_t / 100), 9)
+FROM cw JOIN supplier ON sup = s_suppkey GROUP BY ord""",
         "align_vintages": f"""WITH {PARTS}
 SELECT full_id, name, {_rounded('rate18 rate10 dif')}, substr(full_id, 10) AS code
 FROM vintages WHERE rate18 IS NOT NULL AND rate10 IS NOT NULL""",

@@ -51,6 +51,7 @@ from areashift.operators.regional import discrepancy, regional_rollup
 from areashift.operators.reports import chart_frame, pivoted_report, ranked_report
 from areashift.schemas import Demographics
 from areashift.session import configure, scratch_folder
+from areashift.sources.crosswalks import land_crosswalk
 from areashift.sources.readers import pull_demographics, read_delimited
 from areashift.sources.writers import land_facts, materialize, with_row_index, write_export
 from queries import landed, star
@@ -263,6 +264,19 @@ def q_areal_interpolate(spark, sf_dir):
     return keyed(star.interpolated(spark, sf_dir))
 
 
+def q_interpolate_landed(spark, sf_dir):
+    """Orders to suppliers and suppliers to orders over one landed crosswalk."""
+    landed = land_crosswalk(star.crosswalk(spark, sf_dir), scratch_folder(spark, "landed"), "order", "supplier")
+    to_suppliers = areal_interpolate(landed, "order", "supplier", star.order_sets(spark, sf_dir))
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("supplier"), (F.col("s_acctbal") / 7).alias("daily"), (F.lit(1.0) / 7).alias("day")
+    )
+    one = SourceSet(suppliers, "supplier", "", ["daily"], "all_s", ["day"], "all_t")
+    to_orders = areal_interpolate(landed, "supplier", "order", [one], unallocated=False)
+    to_orders = to_orders.withColumn("order", F.col("order").cast("string"))
+    return partition_union([keyed(to_suppliers), rounded(to_orders, 9)])
+
+
 def q_align_vintages(spark, sf_dir):
     current, prior = star.part_vintages(spark, sf_dir)
     aligned = align_vintages(current, prior, ["full_id", "name"], "rate18", "rate10")
@@ -414,25 +428,26 @@ def q_conservation_check(spark, sf_dir):
 
 
 def q_case_checks(spark, sf_dir):
-    # Read by two interpolations and three checks: written once.
-    crosswalk = materialize(star.crosswalk(spark, sf_dir), scratch_folder(spark, "crosswalk"))
+    # Read by two interpolations and three checks: landed once, by both of its units.
+    landed = land_crosswalk(star.crosswalk(spark, sf_dir), scratch_folder(spark, "landed"), "order", "supplier")
+    by_order_pairs, by_supplier_pairs = landed.by_source.all_pairs(), landed.by_target.all_pairs()
     orders = star.order_attributes(spark, sf_dir).withColumn("amount", F.col("spend"))
     means, counts = ["price", "urgent", "amount"], ["orders", "spend"]
     to_suppliers = SourceSet(orders, "order", "", means, "all_t", counts, "all_s")
-    by_supplier = areal_interpolate(crosswalk, "order", "supplier", [to_suppliers])
+    by_supplier = areal_interpolate(landed, "order", "supplier", [to_suppliers])
 
     # The same overlaps the other way round: suppliers cut into orders.
     suppliers = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("supplier"), "s_acctbal"
     )
     to_orders = SourceSet(suppliers, "supplier", "", ["s_acctbal"], "all_s")
-    by_order = areal_interpolate(crosswalk, "supplier", "order", [to_orders])
+    by_order = areal_interpolate(landed, "supplier", "order", [to_orders])
 
     verdicts = partition_union(
         [
-            target_check(by_supplier, crosswalk, "order", "supplier", to_suppliers),
-            source_check(crosswalk, "order", to_suppliers),
-            inherited_check(by_order, crosswalk, "supplier", "order", to_orders),
+            target_check(by_supplier, by_supplier_pairs, "order", "supplier", to_suppliers),
+            source_check(by_order_pairs, "order", to_suppliers),
+            inherited_check(by_order, by_order_pairs, "supplier", "order", to_orders),
         ]
     )
     return summarize_checks(verdicts)
