@@ -5,7 +5,6 @@ from areashift.operators.checks import (
     Conserved,
     closed_case_check,
     conservation_check,
-    frame_equality,
     inherited_check,
     missing_report,
     source_check,
@@ -15,6 +14,7 @@ from areashift.operators.checks import (
 from areashift.operators.compare import Period, class_view, compare_periods, totals_cube
 from areashift.operators.crosswalk import build_crosswalk
 from areashift.operators.demographics import clean_demographics, widen_variables
+from areashift.operators.frames import fingerprints, frame_differences, frame_equality
 from areashift.operators.interpolate import (
     SourceSet,
     areal_interpolate,
@@ -53,6 +53,8 @@ from areashift.operators.reports import (
 )
 
 __all__ = [
+    "fingerprints",
+    "frame_differences",
     "among",
     "case_verdicts",
     "chosen_keys",

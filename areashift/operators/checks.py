@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from areashift.functions import clean, strict_sum, to_number, total, weighted_mean
 from areashift.operators.interpolate import SourceSet
-from areashift.operators.joins import Chosen, among, chosen_keys, full_join, left_join, named
+from areashift.operators.joins import Chosen, among, chosen_keys, left_join, named
 
 
 @dataclass(frozen=True)
@@ -260,50 +260,6 @@ def summarize_checks(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def frame_equality(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    tolerance: float = 0.0,
-) -> DataFrame:
-    """One row: rows seen, matches of every column, their least, and whether all match.
-
-    Rows are matched by key, not position. Two missing cells match; a row present on
-    one side only matches nowhere, and neither do rows of a key that a side has twice:
-    they count as many rows as the side with more of them has. Doubles may differ by ``tolerance`` of their size (of 1
-    below that): sums over differently split data differ in their last bits.
-    """
-    doubles = {c for c, kind in left.dtypes if kind == "double"}
-
-    def same(i: int, column: str) -> Column:
-        a, b = F.col(f"__l{i}"), F.col(f"__r{i}")
-        if column in doubles and tolerance > 0:
-            allowed = tolerance * F.greatest(F.abs(a), F.lit(1.0))
-            return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= allowed, F.lit(False))
-        return a.eqNullSafe(b)
-
-    def side(rows: DataFrame, tag: str) -> DataFrame:
-        # one row per key, so that the join cannot multiply
-        firsts = [F.first(named(c)).alias(f"__{tag}{i}") for i, c in enumerate(columns)]
-        return rows.groupBy(*[named(k) for k in keys]).agg(
-            F.count(F.lit(1)).alias(f"__n_{tag}"), *firsts
-        )
-
-    both = full_join(side(left, "l"), side(right, "r"), list(keys))
-    present = (F.col("__n_l") == 1) & (F.col("__n_r") == 1)
-    matches = [
-        F.count_if(present & same(i, c)).alias(f"match_{c}") for i, c in enumerate(columns)
-    ]
-    n_rows = F.coalesce(F.sum(F.greatest("__n_l", "__n_r")), F.lit(0))
-    counts = both.agg(n_rows.alias("n_rows"), *matches)
-    named_matches = [named(f"match_{c}") for c in columns]
-    least = named_matches[0] if len(named_matches) == 1 else F.least(*named_matches)
-    return counts.withColumn("min_matches", least).withColumn(
-        "equal", F.col("min_matches") == F.col("n_rows")
-    )
-
-
 def missing_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many units, and how many lack each measure, any, or all of them."""
     gaps = [to_number(named(c)).isNull() for c in columns]

@@ -12,11 +12,11 @@ from areashift.operators.checks import (
     Conserved,
     closed_case_check,
     conservation_check,
-    frame_equality,
     inherited_check,
     missing_report,
     target_check,
 )
+from areashift.operators.frames import frame_equality
 from areashift.operators.interpolate import SourceSet
 from areashift.operators.joins import left_join, restrict_to
 from areashift.operators.peers import partition_union

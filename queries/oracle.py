@@ -601,9 +601,21 @@ FROM rows""",
 WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1),
 b AS (SELECT coalesce(s.n, 0) AS l, CASE WHEN n_nationkey IS NULL THEN 0 ELSE 1 END AS r
       FROM s FULL JOIN nation ON k = n_nationkey)
-SELECT sum(greatest(l, r))::BIGINT AS n_rows, count(*) FILTER (WHERE l = 1 AND r = 1) AS match_one,
-       count(*) FILTER (WHERE l = 1 AND r = 1) AS min_matches,
-       count(*) FILTER (WHERE l = 1 AND r = 1) = sum(greatest(l, r)) AS equal FROM b""",
+SELECT sum(greatest(l, r))::BIGINT AS n_rows, sum(least(l, r))::BIGINT AS match_one,
+       sum(least(l, r))::BIGINT AS min_matches, sum(least(l, r)) = sum(greatest(l, r)) AS equal FROM b""",
+        "frame_differences": """
+WITH l AS (SELECT s_nationkey AS k, count(*) AS units, max(s_acctbal) AS most FROM supplier GROUP BY 1),
+r AS (SELECT c_nationkey AS k, count(*) AS units, max(c_acctbal) AS most FROM customer GROUP BY 1),
+b AS (
+  SELECT coalesce(l.k, r.k) AS nation, l.k IS NOT NULL AS in_l, r.k IS NOT NULL AS in_r,
+         l.units IS DISTINCT FROM r.units AS units_differ,
+         NOT (abs(l.most - r.most) <= 0.01 * greatest(abs(l.most), 1)) AS most_differ
+  FROM l FULL JOIN r ON l.k = r.k)
+SELECT nation, in_l::BIGINT AS only_left, in_r::BIGINT AS only_right,
+       CASE WHEN in_l AND in_r THEN array_to_string(list_filter([
+         CASE WHEN units_differ THEN 'units' END, CASE WHEN most_differ THEN 'most' END,
+         CASE WHEN units_differ AND nation % 3 <> 0 THEN 'some' END], lambda x: x IS NOT NULL), ',') END AS columns
+FROM b WHERE NOT (in_l AND in_r) OR units_differ OR most_differ""",
         "compare_unknown": f"WITH {UNKNOWN} SELECT {SHOWN} FROM comparison",
         "closed_cases": _closed_cases(),
         "boundary_cases": _boundary_cases(),

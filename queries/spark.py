@@ -28,7 +28,6 @@ from areashift.operators.checks import (
     Conserved,
     closed_case_check,
     conservation_check,
-    frame_equality,
     inherited_check,
     missing_report,
     source_check,
@@ -37,6 +36,7 @@ from areashift.operators.checks import (
 )
 from areashift.operators.compare import class_view, compare_periods, totals_cube
 from areashift.operators.demographics import clean_demographics, widen_variables
+from areashift.operators.frames import frame_differences, frame_equality
 from areashift.operators.interpolate import (
     SourceSet,
     areal_interpolate,
@@ -479,6 +479,19 @@ def q_frame_multiplicity(spark, sf_dir):
     )
 
 
+def q_frame_differences(spark, sf_dir):
+    """Nations of suppliers and of customers, with how many, where they differ."""
+    def sides(name: str, key: str, balance: str) -> DataFrame:
+        counts = table(spark, sf_dir, name).groupBy(F.col(key).alias("nation"))
+        return counts.agg(
+            F.count(F.lit(1)).alias("units"), F.max(balance).alias("most"), F.lit("x").alias("same")
+        ).withColumn("some", F.when(F.col("nation") % 3 == 0, F.lit(0)).otherwise(F.col("units")))
+
+    left, right = sides("supplier", "s_nationkey", "s_acctbal"), sides("customer", "c_nationkey", "c_acctbal")
+    found = frame_differences(left, right, ["nation"], ["units", "most", "same", "some"], tolerance=0.01)
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
 def q_compare_unknown(spark, sf_dir):
     """A comparison in which some rates and weights are not numbers."""
     units = star.peer_units(star.central(spark, sf_dir, means=False), spark, sf_dir)

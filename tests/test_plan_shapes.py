@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from areashift.operators.checks import frame_equality
 from areashift.operators.compare import Period, compare_periods
 from areashift.operators.crosswalk import build_crosswalk
+from areashift.operators.frames import frame_equality
 from areashift.operators.interpolate import SourceSet, areal_interpolate
 from areashift.operators.peers import assign_groups
 from areashift.operators.rates import align_vintages
@@ -52,6 +52,10 @@ UNWANTED = {
 # Bounded by the number of classes, and by the number of partitions.
 ALLOWED = {"ranked_report": {"Window"}, "row_index": {"Window", "BroadcastExchange"}}
 ALLOWED["ascending_report"] = ALLOWED["row_index"]
+# The numbers of differing buckets, of which there are a fixed number.
+ALLOWED["frame_multiplicity"] = {"BroadcastExchange"}
+# And the greatest of texts, over rows that differ only.
+ALLOWED["frame_differences"] = {"BroadcastExchange", "SortAggregate"}
 
 
 @needs_tables
