@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areashift.llm.storage import prepared
+from areashift.llm.storage import prepared, sent
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -265,10 +265,10 @@ def leaking_rows(
     names = ["__leak_id", "__leak_digest", *(c.split()[0] for c in LEAKS.split(", "))]
     out = None
     for items in shards_of(benchmark, item_column, text_column, shard):
-        shared = spark.sparkContext.broadcast(build_index(items, overlap))
+        shared = sent(spark, build_index(items, overlap))
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = shared()
             for batch in batches:
                 found = [
                     (doc, digest, *leak)
@@ -287,12 +287,24 @@ def leaking_rows(
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id"
 ) -> DataFrame:
-    """The documents that hold no item, all columns. Rows go by id and text, so that one
-    without an id goes too and another text under the same id stays."""
-    leaks = leaking_rows(docs, benchmark, OVERLAP, id_column, text_column, item_column, SHARD)
-    gone = leaks.select("__leak_id", "__leak_digest").distinct()
-    match = F.col(id_column).cast("long").eqNullSafe(F.col("__leak_id")) & (digest_of(text_column) == F.col("__leak_digest"))
-    return docs.join(gone, match, "left_anti")
+    """The documents that hold no item, all columns, whatever those are called.
+
+    Rows are filtered where they are, once for each shard of items: each goes or stays by its
+    own text, with or without an id. ``id_column`` is not looked at.
+    """
+    spark = prepared(docs.sparkSession)
+    for items in shards_of(benchmark, item_column, text_column, SHARD):
+        shared = sent(spark, build_index(items, OVERLAP))
+
+        def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared()
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+                held = [next(iter(leaks_of(index, t, OVERLAP)), None) is not None for t in texts]
+                yield batch.filter(pa.array([not h for h in held], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 #: The pairs by counting n-grams, without an index.

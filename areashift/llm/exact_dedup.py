@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areashift.llm.storage import prepared, stored
+from areashift.llm.storage import free_name, prepared, stored
+from areashift.llm.windows import marked_rows
 
 #: Bytes of text a task holds in a table before it flushes (fold) or spills (partition).
 MEMORY = 48 << 20
@@ -254,14 +255,26 @@ def grace_dedup(
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of equal texts, all its columns."""
-    kept = grace_dedup(docs, id_column, text_column).where("kept")
-    key = F.coalesce(F.col(id_column), F.lit(-(2**63)))  # null ids are told apart by text
-    kept = kept.select(key.alias("__dedup_kept"), F.col("text_sha256").alias("__dedup_kept_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumns({"__dedup_id": key, "__dedup_sha": sha})
-    rows = rows.dropDuplicates(["__dedup_id", "__dedup_sha"])
-    match = (F.col("__dedup_id") == F.col("__dedup_kept")) & (
-        F.col("__dedup_sha") == F.col("__dedup_kept_sha")
+    """One row of each group of equal texts, all its columns, whatever those are called.
+
+    Only rows whose text a filter of fixed size takes for one that stands several times are
+    shuffled to find which of them stays; the others pass through.
+    """
+    found = grace_dedup(docs, id_column, text_column).where("group_size > 1 AND kept")
+    lowest = F.lit(-(2**63))  # null ids are told apart by text
+    marks = found.select(
+        F.coalesce(F.col(id_column), lowest).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")
     )
-    return rows.join(kept, match, "left_semi").drop("__dedup_id", "__dedup_sha")
+    marks = stored(marks, "copies")
+    sha = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
+    some, others = marked_rows(docs, F.xxhash64(sha), marks.select(F.xxhash64("__kept_sha").alias("digest")))
+    own_id, own_sha = free_name(docs, "own_id"), free_name(docs, "own_sha")
+    rows = some.withColumns({own_id: F.coalesce(F.col(id_column).cast("long"), lowest), own_sha: sha})
+    marks = marks.withColumnsRenamed({c: free_name(docs, c) for c in marks.columns})
+    mark_id, mark_sha = marks.columns
+    copies = rows.join(marks, (F.col(own_id) == F.col(mark_id)) & (F.col(own_sha) == F.col(mark_sha)), "left_semi")
+    # a filter lets some single texts through as well, which no mark names
+    shas = marks.select(mark_sha)
+    single = rows.join(shas, F.col(own_sha) == F.col(mark_sha), "left_anti")
+    once = copies.dropDuplicates([own_id, own_sha])
+    return others.unionByName(once.unionByName(single).drop(own_id, own_sha))

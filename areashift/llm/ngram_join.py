@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from areashift.llm.graph import components
 from areashift.llm.sketch import cells, flagged, merged_sketch, repeated_flags
-from areashift.llm.storage import prepared, stored
-from areashift.llm.windows import BASES, Hashes, keyed_texts, texts_of, word_units
+from areashift.llm.storage import free_name, prepared, stored
+from areashift.llm.windows import BASES, Hashes, keyed_texts, marked_rows, texts_of, word_units
 
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
@@ -531,13 +531,18 @@ def drop_near_copies(docs: DataFrame, how: Similarity, id_column: str = "doc_id"
     """
     found = grouped_rows(docs, how, ROUNDS, BLOCK, id_column, text_column)
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
-    marked = found.where("n > 0").groupBy(F.col("id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest"))
-    marked = marked.agg(F.max(first).alias("__dedup_first"), F.count(F.lit(1)).alias("__dedup_rows"))
-    # what is neither left out nor repeated needs no mark
-    marked = stored(marked.where(~F.col("__dedup_first") | (F.col("__dedup_rows") > 1)), "marked")
-    key, digest = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    match = key.eqNullSafe(F.col("__dedup_id")) & (digest == F.col("__dedup_digest"))
-    repeated = docs.join(marked.where("__dedup_first"), match, "left_semi")
-    repeated = repeated.withColumns({"__dedup_id": key, "__dedup_digest": digest})
-    once = repeated.dropDuplicates(["__dedup_id", "__dedup_digest"]).drop("__dedup_id", "__dedup_digest")
-    return docs.join(marked, match, "left_anti").unionByName(once)
+    marked = found.where("n > 0").groupBy("id", "digest")
+    marked = marked.agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows"))
+    # what is neither left out nor repeated needs no mark, and is not shuffled
+    marked = stored(marked.where("NOT first OR rows > 1"), "marked")
+    key = F.col(id_column).cast("long")
+    digest = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    some, others = marked_rows(docs, digest, marked)
+    own = {n: free_name(docs, f"own_{n}") for n in ("id", "digest")}
+    rows = some.withColumns({own["id"]: key, own["digest"]: digest})
+    marked = marked.withColumnsRenamed({c: free_name(docs, f"mark_{c}") for c in marked.columns})
+    mark_id, mark_digest, is_first, _ = marked.columns
+    match = F.col(own["id"]).eqNullSafe(F.col(mark_id)) & (F.col(own["digest"]) == F.col(mark_digest))
+    once = rows.join(marked.where(F.col(is_first)), match, "left_semi").dropDuplicates(list(own.values()))
+    unmarked = rows.join(marked, match, "left_anti")
+    return others.unionByName(once.unionByName(unmarked).drop(*own.values()))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from areashift.session import scratch_folder
@@ -33,3 +38,31 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(spark, name)
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+class Kept(dict):
+    """A cache of a worker: it starts empty wherever it is sent, and goes there by value."""
+
+    def __reduce__(self) -> tuple:
+        return type(self), ()
+
+
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a value of bounded size, with its classes: workers need not have them. The
+    function returned gives it on a worker, unpickled once for a task."""
+    shared, cache = spark.sparkContext.broadcast(cloudpickle.dumps(value)), Kept()
+
+    def received() -> Any:
+        if "value" not in cache:
+            cache["value"] = pickle.loads(shared.value)
+        return cache["value"]
+
+    return received
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that the rows do not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

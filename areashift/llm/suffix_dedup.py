@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areashift.llm.storage import stored
 from areashift.llm.windows import (
     CLASS,
     Spec,
@@ -304,7 +305,8 @@ def suffix_dedup(
     texts = start(docs, id_column, text_column)
     runs = repeated_runs(texts, spec)
     classes = run_classes(runs)
-    contents = class_contents(texts, classes.where("kinds > 1"), spec)
+    # read by two branches: texts are scanned and shuffled for it once
+    contents = stored(class_contents(texts, classes.where("kinds > 1"), spec), "contents")
     small = grouped_spans(contents.where(F.col("kinds") <= group), least)
     large = counted_windows(contents.where(F.col("kinds") > group), spec)
     single = classes.where("kinds > 1 AND members = 1").select(*CLASS)

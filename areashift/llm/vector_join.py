@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.graph import components
-from areashift.llm.storage import prepared, stored
+from areashift.llm.storage import prepared, sent, stored
 
 #: Vectors compared at once within a tile.
 CHUNK = 512
@@ -317,13 +317,13 @@ def near_vectors(
         F.xxhash64("vector").alias("k1"),
         F.xxhash64(F.lit(1), "vector").alias("k2"),
     )
-    axes = spark.sparkContext.broadcast(fitted(vectors, join))
-    nodes = stored(placed_nodes(vectors, lambda: axes.value), "nodes")
+    axes = sent(spark, fitted(vectors, join))
+    nodes = stored(placed_nodes(vectors, axes), "nodes")
     strips = nodes.groupBy("length", "strip").agg(
         F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high")
     )
     plan = pieces_of(strips.collect(), join)
-    found = stored(tiles(nodes, plan).applyInArrow(tile_join(lambda: axes.value, join), LINKS), "links")
+    found = stored(tiles(nodes, plan).applyInArrow(tile_join(axes, join), LINKS), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))

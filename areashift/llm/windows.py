@@ -16,15 +16,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.sketch import flagged, key_flags, merged_sketch, mixed, repeated_flags
-from areashift.llm.storage import prepared, stored
+from areashift.llm.storage import Kept, free_name, prepared, stored
 
 #: Units handled at once: a longer text goes in pieces that overlap by a window.
 PIECE = 1 << 18
@@ -43,15 +42,21 @@ class Spec:
     gram: int
 
 
-@lru_cache(maxsize=4)
+POWERS = Kept()
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and its inverse for i below n, modulo 2^64."""
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        out = np.full(n, b, dtype=np.uint64)
-        out[0] = 1
-        both.append(np.multiply.accumulate(out))
-    return both[0], both[1]
+    if (base, n) not in POWERS:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            out = np.full(n, b, dtype=np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        if len(POWERS) > 4:  # sizes of single long texts
+            POWERS.clear()
+        POWERS[base, n] = both[0], both[1]
+    return POWERS[base, n]
 
 
 class Hashes:
@@ -253,8 +258,11 @@ def run_classes(runs: DataFrame) -> DataFrame:
     return classes.join(kinds.where("kinds > 1"), on, "left").drop("__anchor")
 
 
-def texts_of(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(some, others): texts that ``keys`` (id, digest) may name, and texts that it does not.
+def texts_of(
+    texts: DataFrame, keys: DataFrame, column: str = "digest"
+) -> tuple[DataFrame, DataFrame]:
+    """(some, others): texts whose ``column`` the column ``digest`` of ``keys`` may name, and
+    texts that it does not.
 
     Only the former need be shuffled to meet what is known of them.
     """
@@ -263,7 +271,7 @@ def texts_of(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def part(named: bool) -> DataFrame:
         def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = names.index("digest")
+            at = names.index(column)
             for batch in batches:
                 found = flagged(shared.value, batch.column(at).to_numpy().view(np.uint64))
                 if (found if named else ~found).any():
@@ -274,6 +282,14 @@ def texts_of(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return part(True), part(False)
 
 
+def marked_rows(rows: DataFrame, digest: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that the column ``digest`` of ``keys`` may name, and the others, by a digest worked
+    out from each; all their columns, whatever those are called."""
+    name = free_name(rows, "digest")
+    some, others = texts_of(rows.withColumn(name, digest), keys, name)
+    return some.drop(name), others.drop(name)
+
+
 def class_contents(texts: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
     """The content of one member of each class: the CLASS columns, kinds, members and
     ``content``, the bytes of the run (for words, their 64-bit hashes in order)."""
@@ -364,7 +380,8 @@ def whole_spans(classes: DataFrame, spec: Spec) -> DataFrame:
 
 def text_spans(runs: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans of classes handed to all their members: (id, digest, spans) per text, in units
-    of the text, overlapping and in any order."""
+    of the text, overlapping and in any order. Rows that repeat with id and text have equal
+    spans, which are gathered once."""
     class_key = [F.col(c).alias(f"__{c}") for c in CLASS]
     spans = spans.select(*class_key, "spans")
     on = [F.col(c) == F.col(f"__{c}") for c in CLASS]
@@ -376,7 +393,7 @@ def text_spans(runs: DataFrame, spans: DataFrame) -> DataFrame:
             lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")),
         ).alias("spans"),
     )
-    return placed.groupBy("id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return placed.groupBy("id", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def mask_of(n: int, spans: list[dict]) -> np.ndarray:
