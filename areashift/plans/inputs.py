@@ -28,7 +28,7 @@ from areashift.schemas import (
     current_rates,
     prior_rates,
 )
-from areashift.sources.readers import pull_demographics, read_rates
+from areashift.sources.readers import States, pull_demographics, read_rates
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def demographics(
     vintage: Demographics,
     year: int,
     geography: str = "tract",
-    state: str | Sequence[str] | None = None,
+    state: States = None,
     counties: Sequence[str] | None = None,
 ) -> DataFrame:
     """Named measures of one five-year survey."""
@@ -70,10 +70,10 @@ def demographics(
 
 
 def tract_demographics(
-    spark: SparkSession, paths: Paths, region: Region | None = None
+    spark: SparkSession, paths: Paths, region: Region | None = None, states: States = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Both vintages for all tracts, or for those of a region."""
-    scope = (region.state, region.counties) if region else (None, None)
+    """Both vintages for all tracts, for those of a region, or of some states."""
+    scope = (region.state, region.counties) if region else (states, None)
     return (
         demographics(spark, paths, DEMOGRAPHICS_2010, 2010, "tract", *scope),
         demographics(spark, paths, DEMOGRAPHICS_2018, 2018, "tract", *scope),
@@ -81,7 +81,7 @@ def tract_demographics(
 
 
 def rates(
-    spark: SparkSession, paths: Paths, geography: str, state: str | None = None
+    spark: SparkSession, paths: Paths, geography: str, state: States = None
 ) -> tuple[DataFrame, DataFrame]:
     """Current and prior rates of one geography."""
 
@@ -99,7 +99,7 @@ def unit_keys(geography: str) -> list[str]:
 
 
 def response(
-    spark: SparkSession, paths: Paths, geography: str, state: str | None = None
+    spark: SparkSession, paths: Paths, geography: str, state: States = None
 ) -> DataFrame:
     """Units with both rates, and their difference."""
     current, prior = rates(spark, paths, geography, state)

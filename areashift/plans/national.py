@@ -66,15 +66,22 @@ def tract_units(
     """The central table: interpolated demographics, rates and classes per new tract.
 
     A new tract depends on its own crosswalk rows only, so with ``counties`` all others
-    are left out before anything is joined.
+    are left out before anything is joined, and rates and demographics of states that none
+    of these rows come from are not read. Old tracts outside the crosswalk gather under no
+    new tract, so where that row is wanted their states are read as well.
     """
     crosswalk = read_crosswalk(spark, paths.crosswalk)
-    rated = response(spark, paths, "tract")
+    old_states, new_states = None, None
     if counties is not None:
         crosswalk = in_counties(crosswalk, "GEOID20", counties)
+        new_states = counties.select(key_prefix("County_GEOID", 2).alias("state"))
+        if not unallocated:
+            old_states = crosswalk.select(key_prefix("GEOID10", 2).alias("state"))
+    rated = response(spark, paths, "tract", new_states)
+    if counties is not None:
         rated = in_counties(rated, "GEOID", counties)
     interpolated = interpolate_tracts(
-        crosswalk, *tract_demographics(spark, paths), unallocated=unallocated
+        crosswalk, *tract_demographics(spark, paths, states=old_states), unallocated=unallocated
     )
     return classify(join_response(interpolated, rated), threshold)
 

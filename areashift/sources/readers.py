@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from areashift.functions import normalize_code, strip_parenthetical, to_number
 from areashift.operators.demographics import widen_variables
-from areashift.operators.joins import named
+from areashift.operators.joins import named, restrict_to
 from areashift.schemas import (
     COUNTY_GROUP,
     CROSSWALK,
@@ -21,13 +21,28 @@ from areashift.schemas import (
 )
 
 
+#: States to read: one, a list, the first column of a table, or all.
+States = str | Sequence[str] | DataFrame | None
+
+
+def in_states(rows: DataFrame, states: States) -> DataFrame:
+    """Rows of the states. Where rows are partitioned by state, others are not read: a list
+    is known to the scan, and a table that Spark can broadcast prunes it when the query runs.
+    """
+    if states is None:
+        return rows
+    if isinstance(states, DataFrame):
+        return restrict_to(rows, "state", states.distinct(), states.columns[0])
+    return rows.where(F.col("state").isin([states] if isinstance(states, str) else list(states)))
+
+
 def read_facts(
     spark: SparkSession,
     path: str,
     year: int,
     survey: str,
     geography: str,
-    state: str | Sequence[str] | None = None,
+    state: States = None,
     counties: Sequence[str] | None = None,
     variables: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -36,9 +51,7 @@ def read_facts(
     facts = facts.where(
         (F.col("geography") == geography) & (F.col("year") == year) & (F.col("survey") == survey)
     )
-    if state is not None:
-        states = [state] if isinstance(state, str) else list(state)
-        facts = facts.where(F.col("state").isin(states))
+    facts = in_states(facts, state)
     if counties is not None:
         facts = facts.where(F.col("county").isin(list(counties)))
     if variables is not None:
@@ -53,7 +66,7 @@ def pull_demographics(
     survey: str,
     variables: Sequence[str],
     geography: str = "tract",
-    state: str | Sequence[str] | None = None,
+    state: States = None,
     counties: Sequence[str] | None = None,
 ) -> DataFrame:
     """One wide row per unit with the wanted variables."""
@@ -66,17 +79,14 @@ def read_rates(
     path: str,
     schema: StructType,
     format: str = "parquet",
-    state: str | Sequence[str] | None = None,
+    state: States = None,
 ) -> DataFrame:
     """One vintage of rates, from Parquet, JSON lines or CSV."""
     if format == "csv":
         rates = read_delimited(spark, path, schema)
     else:
         rates = spark.read.schema(schema).format(format).load(path)
-    if state is not None:
-        states = [state] if isinstance(state, str) else list(state)
-        rates = rates.where(F.col("state").isin(states))
-    return rates
+    return in_states(rates, state)
 
 
 def read_delimited(

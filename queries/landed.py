@@ -13,13 +13,14 @@ from areashift.operators.checks import source_check, summarize_checks, target_ch
 from areashift.operators.compare import ALL
 from areashift.operators.demographics import clean_demographics
 from areashift.operators.interpolate import SourceSet, areal_interpolate
-from areashift.operators.joins import left_join, named, restrict_to
+from areashift.operators.joins import keyed_join, left_join, named, restrict_to
 from areashift.operators.peers import partition_union
 from areashift.operators.rates import join_vintages
 from areashift.operators.reports import pivot_order, pivoted_report
 from areashift.plans.inputs import Region, region_crosswalk
 from areashift.schemas import COUNTY_PREFIX, TRACT_PREFIX, Demographics, current_rates
 from areashift.session import scratch_folder
+from areashift.sources.landing import land_changed, land_missing, land_rates
 from areashift.sources.readers import (
     pull_demographics,
     read_crosswalk,
@@ -173,6 +174,74 @@ def q_one_sided_presence(spark, sf_dir):
     return only.select("full_id", F.round("rate18", 6).alias("rate18"))
 
 
+def year_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long facts of suppliers by year and nation."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(
+        "l_suppkey", "l_returnflag", F.year("l_shipdate").alias("year")
+    )
+    sums = lines.agg(F.sum("l_quantity").alias("estimate"), F.sum("l_discount").alias("moe"))
+    units = star.supplier_units(spark, sf_dir)
+    return left_join(sums, units, [("l_suppkey", "supplier")]).select(
+        F.lit("supplier").alias("geography"), F.lit("lines").alias("survey"), "year",
+        F.substring("unit", 1, 2).alias("state"), F.substring("unit", 3, 3).alias("county"),
+        F.col("unit").alias("GEOID"), F.col("name").alias("NAME"), F.col("l_returnflag").alias("variable"),
+        "estimate", F.round("moe", 2).alias("moe"),
+    )
+
+
+def q_landed_again(spark, sf_dir):
+    """What four landings write: the years before 2000, all that is missing, the same again,
+    and one nation whose estimates of a year were corrected; and what is read in the end."""
+    folder = scratch_folder(spark, "facts")
+    facts = year_facts(spark, sf_dir)
+    stored = land(spark, facts, "pulled", "parquet")
+    facts = spark.read.schema(facts.schema).parquet(stored)
+    keys = ["geography", "year", "survey", "state"]
+
+    def load(missing: DataFrame) -> DataFrame:
+        return keyed_join(facts, missing, keys, "left_semi")
+
+    corrected = (F.col("state") == "03") & (F.col("year") == 1997)
+    landings = [
+        lambda: land_changed(facts.where("year < 2000"), folder).select("year", "state"),
+        lambda: land_missing(facts, load, folder).select("year", "state"),
+        lambda: land_changed(facts, folder).select("year", "state"),
+        lambda: land_changed(
+            facts.where("year >= 1997").withColumn("estimate", F.when(corrected, -1.0).otherwise(F.col("estimate"))), folder
+        ).select("year", "state"),
+    ]
+    rows = [landed().withColumn("step", F.lit(f"landing {i + 1}")) for i, landed in enumerate(landings)]
+    read = spark.read.schema(facts.schema).parquet(folder).groupBy("year", "state").agg(
+        F.count(F.lit(1)).cast("double").alias("units"), F.sum("estimate").alias("total")
+    )
+    return partition_union([*rows, read.withColumn("step", F.lit("read"))])
+
+
+def q_peer_facts(spark, sf_dir):
+    """Wide facts of one year for the nations with the most customers, whose partitions alone
+    are read."""
+    folder = scratch_folder(spark, "facts")
+    land_facts(year_facts(spark, sf_dir), folder)
+    peers = star.peer_groups(spark, sf_dir).select(normalize_code("c_nationkey", 2).alias("state"))
+    wide = pull_demographics(spark, folder, 2000, "lines", ["A", "N", "R"], "supplier", peers)
+    return wide.withColumns({c: F.round(named(c), 4) for c, kind in wide.dtypes if kind == "double"})
+
+
+def q_landed_rates(spark, sf_dir):
+    """Rates of all nations landed by nation, two of them landed again with other rates, and
+    three read back."""
+    rates = suppliers(spark, sf_dir).select(
+        F.concat(F.lit(COUNTY_PREFIX), "code").alias("GEO_ID"), F.col("s_name").alias("NAME"), "state",
+        F.substring("code", 3, 9).alias("county"), F.col("s_acctbal").cast("string").alias("CRRALL"),
+        F.lit(None).cast("string").alias("CRRINT"), F.lit("2020-08-19").alias("RESP_DATE"),
+    )
+    folder = scratch_folder(spark, "rates")
+    land_rates(rates, folder)
+    newer = F.when(F.col("state").isin("03", "04"), F.lit("99.5")).otherwise(F.col("CRRALL"))
+    land_rates(rates.where("state < '10'").withColumn("CRRALL", newer), folder)
+    return read_rates(spark, folder, current_rates("county"), state=["03", "05", "11"])
+
+
 def q_chosen_targets(spark, sf_dir):
     """Checks of the targets of one region and of the sources still pending only."""
     crosswalk = star.crosswalk(spark, sf_dir)

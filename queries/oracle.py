@@ -418,6 +418,27 @@ SELECT geography, code AS GEOID, name AS NAME, round(x, 6) AS white, round(x / 2
 FROM both_levels WHERE state IN ('01', '05', '09')""",
     "one_sided_presence": f"""WITH {PARTS}
 SELECT full_id, round(rate18, 6) AS rate18 FROM vintages WHERE rate10 IS NULL AND rate18 IS NOT NULL""",
+    "landed_again": """
+WITH f AS (
+  SELECT extract(year FROM l_shipdate)::INTEGER AS year, lpad(s_nationkey::VARCHAR, 2, '0') AS state,
+         l_suppkey, l_returnflag, sum(l_quantity) AS estimate
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4),
+p AS (SELECT DISTINCT year, state FROM f)
+SELECT year, state, 'landing 1' AS step, NULL::DOUBLE AS units, NULL::DOUBLE AS total FROM p WHERE year < 2000
+UNION ALL SELECT year, state, 'landing 2', NULL, NULL FROM p WHERE year >= 2000
+UNION ALL SELECT year, state, 'landing 4', NULL, NULL FROM p WHERE year = 1997 AND state = '03'
+UNION ALL SELECT year, state, 'read', count(*), sum(CASE WHEN year = 1997 AND state = '03' THEN -1 ELSE estimate END)
+FROM f GROUP BY 1, 2""",
+    "peer_facts": f"""WITH {GROUPS}
+SELECT lpad(s_nationkey::VARCHAR, 2, '0') || lpad(s_suppkey::VARCHAR, 9, '0') AS GEOID, s_name AS NAME,
+       {", ".join(f"round(sum({c}) FILTER (WHERE l_returnflag = '{f}'), {d}) AS {f}{t}" for f in "ANR" for c, t, d in (("l_quantity", "E", 4), ("l_discount", "M", 2)))}
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN peers ON c_nationkey = s_nationkey
+WHERE extract(year FROM l_shipdate) = 2000 GROUP BY 1, 2""",
+    "landed_rates": f"""WITH {SUPPLIER_CODES}
+SELECT '0500000US' || code AS GEO_ID, s_name AS NAME, state, substr(code, 3) AS county,
+       CASE WHEN state = '03' THEN '99.5' ELSE s_acctbal::VARCHAR END AS CRRALL,
+       NULL::VARCHAR AS CRRINT, '2020-08-19' AS RESP_DATE
+FROM codes WHERE state IN ('03', '05', '11')""",
     "chosen_targets": _chosen_targets(),
     "ascending_report": f"""WITH {COMPARISON},
 r AS (
