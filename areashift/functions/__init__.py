@@ -3,6 +3,7 @@
 from areashift.functions.aggregates import (
     allocate_sum,
     clean,
+    exact_sum,
     strict_sum,
     total,
     weighted_mean,
@@ -21,6 +22,7 @@ from areashift.functions.shares import complement_share, residual_share
 
 __all__ = [
     "allocate_sum",
+    "exact_sum",
     "clean",
     "complement_share",
     "has_level",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areashift.functions import clean, weighted_mean
+from areashift.functions import clean, exact_sum, weighted_mean
 from areashift.operators.joins import named
 
 ALL = "all"
@@ -70,13 +70,14 @@ def _by_period(
     )
 
 
-def _period_measures(copies: Column | None = None) -> dict[str, Column]:
+def _period_measures(copies: Column | None = None, exact: bool = False) -> dict[str, Column]:
     """Mean and count per period; a row stands for ``copies`` rows where that is given."""
     is_prior = F.col("__prior")
     weight = F.col("__weight") if copies is None else F.col("__weight") * copies
 
     def mean(which: Column) -> Column:
-        return weighted_mean("__rate", weight, na_rm=False, where=which)
+        add = exact_sum if exact else F.sum
+        return weighted_mean("__rate", weight, na_rm=False, where=which, add=add)
 
     def count(which: Column) -> Column:
         if copies is None:
@@ -91,7 +92,7 @@ def _period_measures(copies: Column | None = None) -> dict[str, Column]:
     }
 
 
-def _once_in_total(long: DataFrame, total_label: str) -> DataFrame:
+def _once_in_total(long: DataFrame, total_label: str, exact: bool = False) -> DataFrame:
     """Cells in which the total over groups holds a unit once, however many groups it has.
 
     Grouping by everything but the group first leaves one row per unit for the total,
@@ -103,7 +104,7 @@ def _once_in_total(long: DataFrame, total_label: str) -> DataFrame:
     ).agg(F.grouping("group").alias("__total"), F.count(F.lit(1)).alias("__rows"))
     is_total = F.col("__total") == 1
     rows = rows.withColumn("__copies", F.when(is_total, F.lit(1)).otherwise(F.col("__rows")))
-    measures = _period_measures(F.col("__copies"))
+    measures = _period_measures(F.col("__copies"), exact)
     cells = rows.groupingSets(
         [["class", "group", "__total"], ["group", "__total"]], "class", "group", "__total"
     ).agg(
@@ -127,6 +128,7 @@ def compare_periods(
     total_label: str = ALL,
     dedupe_total: bool = False,
     unit: Sequence[str] = (),
+    exact: bool = False,
 ) -> DataFrame:
     """Columns class, group, prior, current, difference, n_prior, n_current.
 
@@ -138,15 +140,16 @@ def compare_periods(
     ``dedupe_total=True`` it counts once; ``unit`` then names its key columns.
 
     Both periods go through one aggregate: each unit is laid out as one row per
-    period, so the plan above ``units`` runs once and nothing has to be cached.
+    period, so the plan above ``units`` runs once and nothing has to be cached. With
+    ``exact`` means do not depend on how units are dealt, to the last bit.
     """
     long = _by_period(units, group, prior, current, unit if dedupe_total else ())
     if dedupe_total:
         if not unit:
             raise ValueError("dedupe_total needs the unit's key columns")
-        cells = _once_in_total(long, total_label)
+        cells = _once_in_total(long, total_label, exact)
     else:
-        cells = totals_cube(long, ["class", "group"], _period_measures(), total_label)
+        cells = totals_cube(long, ["class", "group"], _period_measures(exact=exact), total_label)
     return cells.where(F.col("n_prior") > 0).select(
         "class",
         "group",

@@ -30,7 +30,7 @@ def named(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _pairs(keys: Keys) -> list[tuple[str, str]]:
+def key_pairs(keys: Keys) -> list[tuple[str, str]]:
     return [(k, k) if isinstance(k, str) else k for k in keys]
 
 
@@ -38,7 +38,7 @@ def suffix_collisions(
     left: DataFrame, right: DataFrame, keys: Keys, suffixes: tuple[str, str]
 ) -> tuple[DataFrame, DataFrame]:
     """Give non-key columns present on both sides the two suffixes; others keep bare names."""
-    pairs = _pairs(keys)
+    pairs = key_pairs(keys)
     left_rest = [c for c in left.columns if c not in {a for a, _ in pairs}]
     right_rest = [c for c in right.columns if c not in {b for _, b in pairs}]
     shared = [c for c in left_rest if c in set(right_rest)]
@@ -52,7 +52,7 @@ def keyed_join(
     left: DataFrame, right: DataFrame, keys: Keys, how: str, null_safe: bool = True
 ) -> DataFrame:
     """Join on keys that may be named differently, keeping one copy under the left name."""
-    pairs = _pairs(keys)
+    pairs = key_pairs(keys)
     aside = {right_key: f"__key_{i}" for i, (_, right_key) in enumerate(pairs)}
     right = right.withColumnsRenamed(aside)
     equals = "<=>" if null_safe else "="

@@ -80,10 +80,11 @@ def read_rates(
     schema: StructType,
     format: str = "parquet",
     state: States = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """One vintage of rates, from Parquet, JSON lines or CSV."""
     if format == "csv":
-        rates = read_delimited(spark, path, schema)
+        rates = read_delimited(spark, path, schema, multiline=multiline)
     else:
         rates = spark.read.schema(schema).format(format).load(path)
     return in_states(rates, state)
@@ -94,16 +95,16 @@ def read_delimited(
     path: str | list[str],
     schema: StructType,
     separator: str = ",",
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV columns picked by header name, typed by the schema; ``NA`` is missing.
 
     Columns may stand in any order and more may be present. Text that does not fit a
     numeric type becomes NULL. Nothing is inferred, so codes keep their leading zeros.
 
-    Quoted cells may hold line breaks, for which a file is read by one task. Large files
-    without them are split with ``multiline=False``, which refuses a line that has other
-    cells than the header, as half of a broken record has.
+    Files are split over tasks, and a line that has other cells than the header, as half of
+    a record with a line break in a quoted cell has, is refused. Files with such cells are
+    read with ``multiline=True``, each by one task.
     """
     raw = spark.read.csv(
         path,
@@ -130,17 +131,17 @@ def read_delimited(
     return raw.select(*[typed(f) for f in schema.fields])
 
 
-def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
+def read_crosswalk(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Overlap shares of old and new units, all codes padded to their width."""
     widths = {"GEOID10": 11, "GEOID20": 11, "STATEFP10": 2, "COUNTYFP10": 3}
-    return read_delimited(spark, path, CROSSWALK).withColumns(
+    return read_delimited(spark, path, CROSSWALK, multiline=multiline).withColumns(
         {c: normalize_code(c, width) for c, width in widths.items()}
     )
 
 
-def read_group_lookup(spark: SparkSession, path: str) -> DataFrame:
+def read_group_lookup(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """County to metro group; ``county_name`` keeps clear of the ``county`` code."""
-    lookup = read_delimited(spark, path, COUNTY_GROUP)
+    lookup = read_delimited(spark, path, COUNTY_GROUP, multiline=multiline)
     return lookup.select(
         "MSA_GEOID",
         strip_parenthetical("MSA").alias("MSA"),
@@ -149,14 +150,14 @@ def read_group_lookup(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_place_list(spark: SparkSession, path: str) -> DataFrame:
+def read_place_list(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Full identifiers of the places to keep."""
-    return read_delimited(spark, path, PLACE_LIST)
+    return read_delimited(spark, path, PLACE_LIST, multiline=multiline)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Rates of all summary levels on one day. A byte-order mark is not part of the header."""
-    return read_delimited(spark, path, SNAPSHOT)
+    return read_delimited(spark, path, SNAPSHOT, multiline=multiline)
 
 
 def state_codes(spark: SparkSession) -> DataFrame:

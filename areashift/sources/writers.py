@@ -44,8 +44,9 @@ def write_export(rows: DataFrame, path: str) -> None:
 def with_row_index(rows: DataFrame, order: Sequence[Column], index: str = "row_id") -> DataFrame:
     """Rows in order with an index 1..n, numbered in parallel. An action: it checkpoints.
 
-    The order should end in a column that is unique: rows that compare equal come into
-    one task and are numbered in any order.
+    Rows that compare equal are put in the order of a hash of all their columns, and wholly
+    equal rows in that in which they were read, so ties of any number are dealt over as many
+    tasks as other rows and are numbered alike whatever the partitions.
 
     The sorted rows are checkpointed, as a second sort could place its partition
     bounds elsewhere. Each row then knows its partition and place in it, and the
@@ -54,7 +55,10 @@ def with_row_index(rows: DataFrame, order: Sequence[Column], index: str = "row_i
     """
     use_checkpoints(rows.sparkSession)
     place = F.monotonically_increasing_id()
-    ranked = rows.orderBy(*order).withColumn("__place", place).checkpoint()
+    hashed = [named(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    ties = rows.withColumns({"__tie": F.xxhash64(*hashed), "__read": place})
+    ranked = ties.orderBy(*order, "__tie", "__read").drop("__tie", "__read")
+    ranked = ranked.withColumn("__place", place).checkpoint()
     # The id holds the partition above bit 33 and the place within it below.
     ranked = ranked.withColumn("__part", F.shiftright("__place", 33))
     sizes = ranked.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))

@@ -510,6 +510,13 @@ SELECT sup::VARCHAR AS supplier, round(orders10, 6) AS orders, round(spend10, 2)
         "areal_interpolate": f"""WITH {INTERPOLATED}
 SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
 FROM interp""",
+        "interpolate_exact": f"""WITH {INTERPOLATED}
+SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')}
+FROM interp""",
+        "tied_row_index": """
+WITH n AS (SELECT l_returnflag, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS lines FROM lineitem GROUP BY 1)
+SELECT l_returnflag, (sum(n) OVER (ORDER BY l_returnflag) - n + 1)::BIGINT AS first,
+       (sum(n) OVER (ORDER BY l_returnflag))::BIGINT AS last, n, n AS numbers, lines FROM n""",
         "interpolate_landed": f"""WITH {INTERPOLATED}
 SELECT sup::VARCHAR AS supplier, {_rounded('price10 urgent10 orders10 spend10 price18 urgent18 finished orders18 spend18')},
        NULL AS "order", NULL AS daily, NULL AS day FROM interp

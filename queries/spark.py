@@ -264,6 +264,12 @@ def q_areal_interpolate(spark, sf_dir):
     return keyed(star.interpolated(spark, sf_dir))
 
 
+def q_interpolate_exact(spark, sf_dir):
+    """Orders to suppliers with sums that do not depend on how lines are dealt."""
+    crosswalk = star.crosswalk(spark, sf_dir)
+    return keyed(areal_interpolate(crosswalk, "order", "supplier", star.order_sets(spark, sf_dir), exact=True))
+
+
 def q_interpolate_landed(spark, sf_dir):
     """Orders to suppliers and suppliers to orders over one landed crosswalk."""
     landed = land_crosswalk(star.crosswalk(spark, sf_dir), scratch_folder(spark, "landed"), "order", "supplier")
@@ -587,7 +593,7 @@ def q_csv_round_trip(spark, sf_dir):
             StructField("price", DoubleType()),
         ]
     )
-    return read_delimited(spark, folder, schema)
+    return read_delimited(spark, folder, schema, multiline=True)
 
 
 def q_row_index(spark, sf_dir):
@@ -596,6 +602,17 @@ def q_row_index(spark, sf_dir):
     return with_row_index(customers, [F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")])
 
 
+def q_tied_row_index(spark, sf_dir):
+    """All lines numbered by their flag alone, of which there are three: where each begins and
+    ends, and whether every number is given once."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    numbered = with_row_index(lines, [F.asc("l_returnflag")])
+    return numbered.groupBy("l_returnflag").agg(
+        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("row_id").alias("numbers"), F.countDistinct("l_orderkey", "l_linenumber").alias("lines"),
+    )
+
+
 def configured(query: Callable[[SparkSession, str], DataFrame]):
     """The query under the adaptive settings its plan relies on."""
 
