@@ -7,12 +7,16 @@ any order gives the same links). Two sets that link share an n-gram of their pre
 1. *Stars*: in the group of nodes under each prefix n-gram, nodes are checked against one
    pivot and joined with it where they link. A few rounds with other pivots settle dense
    groups with a number of checks that grows with their size only.
-2. *Prefix trees*: n-gram groups that still hold nodes not known to be connected are
+2. *Nearest*: in a few more rounds each node is checked against the one, of those that a
+   prefix tree finds for it under other labels, that it shares most with, as the edges of a
+   spanning forest are found. Dense groups that stars left in pieces become one.
+3. *Prefix trees*: n-gram groups that still hold nodes not known to be connected are
    joined in full. The ordered prefixes of a group are stored in a tree, every node
    traverses it sharing partial overlaps, and subtrees are pruned when the n-grams left
-   cannot reach the overlap needed. Large groups are dealt out in blocks, pair of blocks
-   by pair of blocks. What remains is checked on the whole sets.
-3. Links, all of them exact, give the components.
+   cannot reach the overlap needed. Large groups are dealt out in blocks: where most nodes
+   are connected already, the others meet each block of those; else any two blocks meet.
+   What remains is checked on the whole sets.
+4. Links, all of them exact, give the components.
 """
 
 from __future__ import annotations
@@ -345,26 +349,25 @@ class PrefixTree:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def feasible(n: np.ndarray, label: np.ndarray, most: np.ndarray, own: np.ndarray, how: Similarity) -> np.ndarray:
-    """Which rows of a group have any partner that they may link with, by label, sizes, and
-    the n-grams that their prefixes share at most; ``own`` are their blocks, of which a
-    pair takes one each where there are two."""
-    out = np.zeros(len(n), dtype=bool)
-    apart = bool((own != own[0]).any())
+def least_needed(n: np.ndarray, most: np.ndarray, several: np.ndarray, how: Similarity) -> np.ndarray:
+    """For sets of each size in a group the n-grams that they must be able to share there to
+    link with any other of it; beyond all that can be shared where no size fits. ``most`` is
+    what a set of each size can share at most, ``several`` whether there are sets of that
+    size under several labels."""
+    out = np.full(len(n), np.iinfo(np.int64).max)
     for at in range(0, len(n), 256):
-        x = slice(at, at + 256)
+        x = np.arange(at, min(at + 256, len(n)))
         a, b = n[x, None], n[None, :]
-        may = (label[x, None] != label[None, :]) & how.sizes_fit(a, b)
-        may &= how.prefix_overlap(a, b) <= np.minimum(most[x, None], most[None, :])
-        if apart:
-            may &= own[x, None] != own[None, :]
-        out[x] = may.any(axis=1)
+        need = how.prefix_overlap(a, b)
+        may = how.sizes_fit(a, b) & (need <= most[None, :])
+        may[np.arange(len(x)), x] &= several[x]
+        out[x] = np.where(may, need, out[x, None]).min(axis=1)
     return out
 
 
-def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
+def by_group(rows: DataFrame, solve, schema: str, least: int = 2) -> DataFrame:
     """``solve`` applied to the rows of each (gram, low, high), as tuples, in one task; it
-    returns tuples of the schema."""
+    returns tuples of the schema. Groups of fewer rows than ``least`` are left out."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
 
@@ -378,14 +381,14 @@ def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and row[:3] != group[0][:3]:
-                    if len(group) > 1:
+                    if len(group) >= least:
                         found += solve(group)
                     group = []
                     if len(found) > 10_000:
                         yield batch_of(found)
                         found = []
                 group.append(row)
-        if len(group) > 1:
+        if len(group) >= max(1, least):
             found += solve(group)
         if found:
             yield batch_of(found)
@@ -397,44 +400,82 @@ def by_group(rows: DataFrame, solve, schema: str) -> DataFrame:
 ROW = ["gram", "low", "high", "node", "n", "label", "own", "most"]
 
 
-def dealt(postings: DataFrame, block: int) -> DataFrame:
-    """Postings with the pairs of blocks (low, high) that they belong to, and ``most``, the
-    n-grams that a pair can share from this one on: those that the prefix has left, and
-    those that are under any open group."""
+def with_most(postings: DataFrame) -> DataFrame:
+    """Postings with ``most``, the n-grams that a pair can share from this one on: those that
+    the prefix has left, and those that are under any open group."""
     shared = postings.groupBy(F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("shared"))
     rows = postings.join(shared, F.col("node") == F.col("__node")).drop("__node")
+    return rows.withColumn("most", F.least("shared", "rest"))
+
+
+def dealt(postings: DataFrame, block: int) -> DataFrame:
+    """Postings with ``most`` and the groups (low, high) of their n-gram that they belong to.
+
+    Rows under the label of the pivot need no pairs with each other. Where the others are few
+    enough for a block, they go to every part of those (``own`` -1, the part as low and
+    high), so the rows dealt grow with the group and not with its square. Else any two
+    blocks meet.
+    """
+    odd = F.col("label") != F.col("pivot_label")
+    few = postings.groupBy(F.col("gram").alias("__gram")).agg(F.count_if(odd).alias("odd"))
+    rows = with_most(postings).join(few, F.col("gram").eqNullSafe(F.col("__gram"))).drop("__gram")
     parts = F.ceil(F.col("size") / block).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.withColumn("most", F.least("shared", "rest"))
-    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-
-
-def feasible_rows(postings: DataFrame, how: Similarity, block: int) -> DataFrame:
-    """The postings that have a partner under their n-gram with which their node may link."""
-
-    def survivors(group: list[tuple]) -> list[tuple]:
-        if len(group) == 2:  # most groups
-            (*_, a, la, _, sa, _), (*_, b, lb, _, sb, _) = group
-            both = la != lb and how.sizes_fit(a, b) and how.prefix_overlap(a, b) <= min(sa, sb)
-            return group if both else []
-        names: dict = {}
-        label = np.array([names.setdefault(r[5], len(names)) for r in group])
-        if len(names) < 2:
-            return []
-        n, own, most = (np.array([r[i] for r in group]) for i in (4, 6, 7))
-        return [group[i] for i in np.flatnonzero(feasible(n, label, most, own, how))]
+    star = F.col("odd") <= block
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = rows.withColumn("own", F.when(star & odd & (parts > 1), F.lit(-1)).otherwise(F.col("part")))
+    alone = star & (F.col("own") >= 0)
+    met = F.when(alone, F.array("part")).otherwise(F.sequence(F.lit(0), parts - 1))
+    rows = rows.withColumn("other", F.explode(met))
+    pair = ~star
+    return rows.withColumns(
+        {
+            "low": F.when(pair, F.least("own", "other")).otherwise(F.col("other")),
+            "high": F.when(pair, F.greatest("own", "other")).otherwise(F.col("other")),
+        }
+    )
+
+
+def feasible_rows(postings: DataFrame, how: Similarity) -> DataFrame:
+    """The postings that have a partner under their n-gram with which their node may link.
 
-    schema = "gram long, low int, high int, node long, n int, label long, own int, most long, rest long"
-    kept = by_group(dealt(postings, block).select(*ROW, "rest"), survivors, schema)
-    return stored(kept.select("gram", "node", "n", "rest", "label").distinct(), "feasible")
+    That depends on sizes, so the sizes under an n-gram are compared, not its nodes: they are
+    counted on the map side, and meet in bands, as sets that link lie in the same band or in
+    neighbouring ones.
+    """
+    rows = with_most(postings)
+    sizes = rows.groupBy("gram", "n").agg(
+        F.max("most").alias("most"), (F.min("label") != F.max("label")).alias("several")
+    )
+    # bands a little wider than the ratio of sizes that link, for what logarithms round
+    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(how.den / how.num)) + 1e-6)).cast("int")
+    dealt_sizes = sizes.withColumn("low", F.explode(F.array(band, band - 1))).withColumn("high", F.col("low"))
+
+    def solve(group: list[tuple]) -> list[tuple]:
+        n, most, several = (np.array([r[i] for r in group]) for i in (3, 4, 5))
+        need = least_needed(n, most, several, how)
+        return [(r[0], r[3], int(x)) for r, x in zip(group, need) if x <= r[4]]
+
+    needs = by_group(
+        dealt_sizes.select("gram", "low", "high", "n", "most", "several"), solve, "gram long, n int, need long", 1
+    )
+    needs = needs.groupBy(F.col("gram").alias("__gram"), F.col("n").alias("__n")).agg(F.min("need").alias("need"))
+    # null-safe, so that a hot n-gram has an exchange that can be split
+    on = F.col("gram").eqNullSafe(F.col("__gram")) & F.col("n").eqNullSafe(F.col("__n"))
+    kept = rows.join(needs, on).where("most >= need")
+    return stored(kept.select("gram", "node", "n", "rest", "label"), "feasible")
 
 
 def tree_pairs(
-    postings: DataFrame, prefixes: DataFrame, grams: DataFrame, how: Similarity, block: int = BLOCK
+    postings: DataFrame,
+    prefixes: DataFrame,
+    grams: DataFrame,
+    how: Similarity,
+    block: int = BLOCK,
+    nearest: bool = False,
 ) -> DataFrame:
     """Pairs (u, v) of nodes with different labels whose prefixes, and bitmaps, overlap
-    enough, each from the group of the first n-gram that they share."""
+    enough, each from the group of the first n-gram that they share. With ``nearest`` one
+    pair for each node u that has any, that whose bitmaps overlap most."""
     lists = prefixes.select(F.col("node").alias("__node"), F.col("grams").alias("prefix"))
     maps = grams.select(F.col("node").alias("__map"), "bits")
     kept = dealt(postings, block).join(lists, F.col("node") == F.col("__node"))
@@ -445,20 +486,42 @@ def tree_pairs(
         known: dict[int, int] = {}
         local = [np.array([known.setdefault(g, len(known)) for g in r[8]], dtype=np.int64) for r in group]
         sizes = np.array([r[4] for r in group])
+        labels = np.array([r[5] for r in group])
         bits = np.frombuffer(b"".join(r[9] for r in group), dtype=np.uint64).reshape(len(group), -1)
-        named = np.flatnonzero(np.array([r[6] == high for r in group]))
+        odd = np.array([r[6] < 0 for r in group])
+        # rows sent to every part probe; with each other in the first part only
+        star = bool(odd.any())
+        named = np.flatnonzero(odd | True if low == high else np.array([r[6] == high for r in group]))
+        if star and low > 0:
+            named = np.flatnonzero(~odd)
+        if not len(named):
+            return []
         probes = range(len(group)) if low == high else np.flatnonzero(np.array([r[6] == low for r in group]))
+        if star:
+            probes = np.flatnonzero(odd)
         tree = PrefixTree([local[i] for i in named], sizes[named])
         out = []
         for i in probes:
             near = named[tree.traverse(local[i], int(sizes[i]), known[gram], len(known), how)]
             near = near[may_overlap(bits[i], int(sizes[i]), bits[near], sizes[near], how)]
+            if nearest:
+                near = near[labels[near] != labels[i]]
+                if len(near):
+                    shared = np.bitwise_count(bits[i] & bits[near]).sum(axis=1)
+                    best = near[shared.argmax()]
+                    out.append((group[i][3], group[best][3], int(shared.max())))
+                continue
             for j in near:
-                if group[i][5] != group[j][5] and (low != high or i < j):
+                twice = low == high and not (star and not odd[j]) and i >= j
+                if group[i][5] != group[j][5] and not twice:
                     out.append((group[i][3], group[j][3]))
         return out
 
-    return by_group(kept, pairs, "u long, v long")
+    if not nearest:
+        return by_group(kept, pairs, "u long, v long")
+    found = by_group(kept, pairs, "u long, v long, shared int")
+    best = found.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best"))
+    return best.select("u", F.col("best.v").alias("v"))
 
 
 def near_duplicates(
@@ -496,7 +559,7 @@ def grouped_rows(
     postings = prefixes.select("node", "n", F.size("grams").alias("all"), F.posexplode("grams").alias("at", "gram"))
     rest = (F.col("all") - F.col("at")).cast("long")
     postings = postings.select("gram", "node", "n", rest.alias("rest"), F.col("node").alias("label"))
-    postings = feasible_rows(opened(postings, 0), how, block)
+    postings = feasible_rows(opened(postings, 0), how)
     postings = opened(postings, 0)
     near = nodes.join(postings.select("node").distinct(), "node", "left_semi")
     grams = contents_of(texts, near, how)
@@ -509,6 +572,13 @@ def grouped_rows(
             break
         labels = relabelled(labels, found[-1])
         postings = opened(with_labels(postings, labels), round_)
+    for round_ in range(rounds + 1, 2 * rounds + 1):
+        found.append(linked(tree_pairs(postings, prefixes, grams, how, block, nearest=True), grams, how))
+        if found[-1].isEmpty():
+            break
+        labels = relabelled(labels, found[-1])
+        postings = feasible_rows(opened(with_labels(postings, labels), round_), how)
+        postings = opened(postings, round_)
     found.append(linked(tree_pairs(postings, prefixes, grams, how, block), grams, how))
     links = found[0]
     for more in found[1:]:

@@ -25,7 +25,7 @@ from areashift.llm.decontaminate import find_leaks
 from areashift.llm.exact_dedup import drop_copies, grace_dedup
 from areashift.llm.graph import components
 from areashift.llm.mixing import MIX_SQL, mix_sources
-from areashift.llm.ngram_join import PrefixTree, Similarity, drop_near_copies, near_duplicates
+from areashift.llm.ngram_join import PrefixTree, Similarity, drop_near_copies, least_needed, near_duplicates
 from areashift.llm.substring_dedup import substring_dedup
 from areashift.llm.windows import PIECE, Spec, runs_of, word_units
 
@@ -634,3 +634,37 @@ def test_tree_matching_keeps_order_and_counts_pairs():
     fold = lambda html: html_extract.fold(html_extract.parse(html))
     one, two = fold("<h1>a</h1><ul><li>b</ul><p>c</p>"), fold("<ul><li>x<li>y</ul><h1>z</h1><p>w</p>")
     assert html_extract.matched(one, two, {})[0] == 3  # ul with li, and p
+
+
+def crowded(spark):
+    """One n-gram in the prefixes of many sets: a large group of near copies, some strays that
+    share a passage with it, sets of many sizes, and near copies of strays."""
+    core = words("core", 120).split()
+    rows = []
+    for i in range(90):
+        rows.append((i, " ".join([*core[:60], f"n{i}", *core[61:]])))
+    for i in range(25):
+        rows.append((200 + i, " ".join([*core[:50], *(f"s{i}x{j}" for j in range(10 + 3 * i))])))
+        rows.append((300 + i, " ".join([*core[:50], *(f"s{i}x{j}" for j in range(10 + 3 * i)), "more"])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4, 30, 1500])
+def test_crowded_groups_lose_no_link(spark, block):
+    rows = crowded(spark)
+    got = near_duplicates(frame(spark, rows).repartition(4), block=block)
+    assert Counter(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
+
+
+def test_sizes_rule_out_no_pair_that_may_link():
+    """A size needs what the least demanding pair of sets with it needs, and no more."""
+    how, rng = Similarity(), np.random.default_rng(4)
+    n = np.unique(rng.integers(1, 400, 60))
+    most, several = rng.integers(1, 60, len(n)), rng.random(len(n)) < 0.5
+    got = least_needed(n, most, several, how)
+    for i, a in enumerate(n):
+        needs = [
+            int(how.prefix_overlap(a, b)) for j, b in enumerate(n)
+            if how.sizes_fit(a, b) and how.prefix_overlap(a, b) <= most[j] and (i != j or several[i])
+        ]
+        assert got[i] == min(needs, default=np.iinfo(np.int64).max)
