@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -38,12 +39,30 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+#: Scratch folders made by this process and not freed yet, in order.
+_SCRATCH: list[str] = []
+
+
+def scratch_made() -> list[str]:
+    """The scratch folders that there are, oldest first."""
+    return list(_SCRATCH)
+
+
+def free_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch folders that no plan reads any more."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _SCRATCH.remove(path)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, where every machine can read and write, removed
-    when the session's JVM ends."""
+    when the session's JVM ends, or before by ``free_scratch``."""
     path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(hadoop)
     files.deleteOnExit(hadoop)
+    _SCRATCH.append(path)
     return path

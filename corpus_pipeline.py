@@ -15,6 +15,7 @@ from areashift.llm.mixing import mix_sources
 from areashift.llm.ngram_join import Similarity, drop_near_copies
 from areashift.llm.storage import prepared, stored
 from areashift.llm.toxicity import drop_toxic, train
+from areashift.session import free_scratch, scratch_made
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder of tables."""
+    """All stages over the documents of a folder of tables.
+
+    What a stage wrote on its way goes when its result is stored, and that result when the
+    next one is.
+    """
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
+        before = set(scratch_made())
         docs = stored(stage(spark, docs, sf_dir), name)
+        *made, result = [p for p in scratch_made() if p not in before]
+        free_scratch(spark, [*made, *([last] if last else [])])
+        last = result
     return STAGES[-1][1](spark, docs, sf_dir)
