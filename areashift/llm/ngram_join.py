@@ -450,7 +450,22 @@ def feasible_rows(postings: DataFrame, how: Similarity) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(how.den / how.num)) + 1e-6)).cast("int")
     dealt_sizes = sizes.withColumn("low", F.explode(F.array(band, band - 1))).withColumn("high", F.col("low"))
 
+    def fits(a: tuple, b: tuple) -> int | None:
+        """What a set of the size of ``a`` needs to link with one of the size of ``b``."""
+        least = -(-how.num * (a[3] + b[3]) // (how.num + how.den))
+        kept = -(-how.num * max(a[3], b[3]) // how.den)
+        need = max(1, least - kept + 1)
+        return need if kept <= min(a[3], b[3]) and need <= b[4] else None
+
     def solve(group: list[tuple]) -> list[tuple]:
+        if len(group) < 4:  # most groups: no arrays for so little
+            out = []
+            for i, a in enumerate(group):
+                needs = [fits(a, b) for j, b in enumerate(group) if i != j or a[5]]
+                need = min((x for x in needs if x is not None), default=None)
+                if need is not None and need <= a[4]:
+                    out.append((a[0], a[3], need))
+            return out
         n, most, several = (np.array([r[i] for r in group]) for i in (3, 4, 5))
         need = least_needed(n, most, several, how)
         return [(r[0], r[3], int(x)) for r, x in zip(group, need) if x <= r[4]]
