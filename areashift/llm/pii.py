@@ -2,7 +2,7 @@
 
 DataFrame operations only, in the JVM throughout. *Generators* are patterns: the strict
 ones, whose valid matches (the base) are always reported, and loose ones of high recall that
-propose further, overlapping spans. *Trees* learn from the strict matches, valid ones
+propose further, overlapping spans. *Trees* learn from all strict matches, valid ones
 against those that fail their check, by features of format and context, with no feature
 that names the pattern. *Thresholds* are calibrated for each kind on matches held out, at
 the precision asked for. A loose span at or above the threshold of its kind that overlaps
@@ -24,9 +24,7 @@ from areashift.llm.storage import prepared, stored
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of context kept on either side of a span.
 CONTEXT = 24
-#: Strict matches the trees learn from at most, by hash of the match, and the share of them
-#: that calibrates.
-TRAIN_ROWS = 20_000
+#: Every so many of the strict matches, by hash of the match, calibrate instead.
 HELD_OUT = 4
 PRECISION = 0.98
 ROUNDS = 8
@@ -187,7 +185,7 @@ def with_features(spans: DataFrame) -> DataFrame:
     )
 
 
-def scored(spans: DataFrame, precision: float, train_rows: int, rounds: int) -> DataFrame | None:
+def scored(spans: DataFrame, precision: float, rounds: int) -> DataFrame | None:
     """Loose spans with score and threshold; None where there is nothing to learn from."""
     featured = VectorAssembler(
         inputCols=[*FEATURES, *[f"is_{k}" for k in KINDS]], outputCol="features"
@@ -195,11 +193,8 @@ def scored(spans: DataFrame, precision: float, train_rows: int, rounds: int) ->
         with_features(spans).withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS})
     )
     place = F.xxhash64("kind", "span", "left", "right")
-    labelled = (
-        featured.where("strict")
-        .select(F.col("valid").cast("double").alias("label"), "features", "kind", place.alias("place"))
-        .orderBy("place")
-        .limit(train_rows)
+    labelled = featured.where("strict").select(
+        F.col("valid").cast("double").alias("label"), "features", "kind", place.alias("place")
     )
     labelled = stored(labelled, "labelled").withColumn("held", F.pmod("place", F.lit(HELD_OUT)) == 0)
     classes = labelled.where("NOT held").select("label").distinct().count()
@@ -241,7 +236,6 @@ def find_personal_data(
     id_column: str = "doc_id",
     text_column: str = "text",
     precision: float = PRECISION,
-    train_rows: int = TRAIN_ROWS,
     rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
@@ -257,7 +251,7 @@ def find_personal_data(
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     columns = ["row", "kind", "start", "end"]
     base = spans.where("valid").select(*columns, F.lit(True).alias("base"))
-    added = scored(spans, precision, train_rows, rounds)
+    added = scored(spans, precision, rounds)
     every = base
     if added is not None:
         inside = (

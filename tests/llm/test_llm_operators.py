@@ -26,6 +26,7 @@ from areashift.llm.exact_dedup import drop_copies, grace_dedup
 from areashift.llm.graph import components
 from areashift.llm.mixing import MIX_SQL, mix_sources
 from areashift.llm.ngram_join import PrefixTree, Similarity, drop_near_copies, least_needed, near_duplicates
+from areashift.llm.storage import stored
 from areashift.llm.substring_dedup import substring_dedup
 from areashift.llm.windows import PIECE, Spec, runs_of, word_units
 
@@ -367,6 +368,31 @@ def test_trees_add_loose_spans_like_the_base(spark):
     assert all(found[k] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in brute_pii(t)) for k, t in rows[:-1])
 
 
+def test_trees_learn_from_every_strict_match(spark, monkeypatch):
+    """More matches than the 20,000 that were once all that was learned from."""
+    taken = []
+
+    class Noted(pii.GBTClassifier):
+        def fit(self, rows):
+            taken.append(rows.count())
+            return super().fit(rows)
+
+    tried = []
+
+    def noted(rows, name):
+        out = stored(rows, name)
+        if name == "labelled":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "GBTClassifier", Noted)
+    monkeypatch.setattr(pii, "stored", noted)
+    rows = [(k, " ".join(f"ip {k}.{j}.{j % 250}.{j * 2}" for j in range(250))) for k in range(100)]
+    pii.find_personal_data(frame(spark, rows), rounds=1)
+    assert tried == [25_000]  # valid and failing ones
+    assert 18_000 < taken[0] < 19_500  # three in four, the others calibrate
+
+
 # toxicity
 
 
