@@ -20,6 +20,8 @@ from llm_cases import (
     words,
 )
 
+from pyspark.sql import functions as F
+
 from areashift.llm import decontaminate, exact_dedup, html_extract, ngram_join, pii, suffix_dedup, toxicity, warc
 from areashift.llm.decontaminate import find_leaks
 from areashift.llm.exact_dedup import drop_copies, grace_dedup
@@ -418,6 +420,49 @@ def test_toxicity_learns_a_word_and_scores_every_row(spark):
     assert (by_id[1000], by_id[1001], by_id[1002]) == (0, 0, 1)
 
 
+def test_toxicity_learns_from_every_row_and_long_texts(spark, monkeypatch):
+    """Rows beyond the 5,000 of a class and the 20,000 words that once were all that was learned
+    from: only those hold the words that tell."""
+    taken = []
+
+    def noted(rows, name):
+        out = stored(rows, name)
+        if name == "hashed":
+            taken.append(out.groupBy("label").agg({"n": "max", "*": "count"}).orderBy("label").collect())
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", noted)
+    n = F.col("id")
+    docs = spark.range(14_000).select(
+        n.alias("doc_id"), F.when(n % 2 == 0, F.lit("fine")).otherwise("horrid").alias("text"), F.lit("en").alias("lang")
+    )
+    long = [(k, "w " * 21_000 + ("awful" if k % 2 else "nice"), "en") for k in range(20_000, 20_060)]
+    docs = docs.unionAll(spark.createDataFrame(long, docs.schema))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    model = toxicity.train(docs, labels)
+    usable = docs.where(toxicity.fold_of(F.col("doc_id")) != 0)
+    assert [(r["label"], r["max(n)"], r["count(1)"]) for r in taken[0]] == [(k, 21_001, usable.where(F.col("doc_id") % 2 == k).count()) for k in (0, 1)]
+    found = toxicity.score_toxicity(docs.where("doc_id >= 20000"), model).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in found)
+
+
+def test_toxicity_of_many_shards(spark, monkeypatch):
+    """Shards are averaged alike however rows are dealt, and learn what one of all rows does."""
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 1500)
+    draw = random.Random(8)
+    rows = []
+    for k in range(600):
+        words = [f"v{draw.randrange(300)}" for _ in range(20)]
+        rows.append((k, " ".join([*words, "horrid"] if k % 3 == 0 else words)))
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    models = [toxicity.train(docs.repartition(n, "text"), marks) for n in (1, 5)]
+    one, other = ([*m.filters, *m.biases, m.embeddings, m.output, m.thresholds, np.array(m.offset)] for m in models)
+    assert all((a == b).all() for a, b in zip(one, other))
+    found = toxicity.score_toxicity(docs, models[0]).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in found) >= 0.95 * len(found)
+
+
 def test_toxicity_without_labels_or_rows(spark, none):
     marks = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame(spark, [(1, "a b"), (2, None)])
