@@ -165,3 +165,12 @@ def test_empty_vintages(frame):
     current, prior = frame("k string, r18 string", ("a", "1")), frame("k string, r10 double", ("a", 2.0))
     assert join_vintages(current.limit(0), prior.limit(0), ["k"], "r18", "r10").count() == 0
     assert rows_of(join_vintages(current, prior.limit(0), ["k"], "r18", "r10")) == [("a", 1.0, None, None)]
+
+
+def test_exact_sums_add_whole_numbers(frame):
+    """No decimals before the last step, which cost several times as much to add."""
+    text = frame("k string, x double", ("a", 1.0)).groupBy("k").agg(exact_sum("x"))._jdf.queryExecution().executedPlan().toString()
+    partial = [line for line in text.splitlines() if "partial_sum" in line]
+    assert partial and not any("decimal" in line for line in partial)
+    for big in (2.0**99, -(2.0**99), 2.0**80 + 2.0**40, -1.5, -(2.0**-70)):
+        assert frame("x double", *[(big,)] * 64).agg(exact_sum("x")).first()[0] == 64 * big
