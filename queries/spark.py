@@ -64,6 +64,10 @@ LEGENDS = {"all": "Overall Difference", "R": "Difference in Majority-Returned Su
 SCOPE_CODES = ["02", "06", "11", "17", "21"]
 
 
+#: Rows of which a task finds the distinct ones, about.
+TASK_ROWS = 1 << 19
+
+
 def rounded(rows: DataFrame, digits: int = 6, money: int = 2) -> DataFrame:
     """Doubles rounded at the very end, where the order of summing would show.
 
@@ -607,10 +611,17 @@ def q_tied_row_index(spark, sf_dir):
     ends, and whether every number is given once."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     numbered = with_row_index(lines, [F.asc("l_returnflag")])
-    return numbered.groupBy("l_returnflag").agg(
-        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("n"),
-        F.countDistinct("row_id").alias("numbers"), F.countDistinct("l_orderkey", "l_linenumber").alias("lines"),
+    # numbers and lines are each dealt by themselves, over more tasks for more lines: a task
+    # that finds the distinct ones holds them all
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // TASK_ROWS))
+    numbers = numbered.repartition(tasks, "row_id").groupBy("l_returnflag", "row_id").agg(F.count(F.lit(1)).alias("times"))
+    found = numbers.groupBy("l_returnflag").agg(
+        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.sum("times").alias("n"), F.count("row_id").alias("numbers")
     )
+    key = ["l_orderkey", "l_linenumber"]
+    once = numbered.repartition(tasks, *key).dropna(subset=key).groupBy("l_returnflag", *key).agg(F.lit(1).alias("one"))
+    lines_of = once.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"))
+    return left_join(found, lines_of, ["l_returnflag"]).withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
 
 
 def configured(query: Callable[[SparkSession, str], DataFrame]):

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,29 @@ def test_empty_vintages(frame):
     assert rows_of(join_vintages(current, prior.limit(0), ["k"], "r18", "r10")) == [("a", 1.0, None, None)]
 
 
+def test_distinct_numbers_are_found_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """More lines, more tasks, whatever the shuffle partitions; missing and repeated keys count alike."""
+    from queries import oracle
+    from queries import spark as named_queries
+
+    rows = [(i % 400 if i % 50 else None, i % 3, "ANR"[i % 3] if i % 7 else None) for i in range(3000)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(named_queries, "TASK_ROWS", 100)
+    found = named_queries.queries()["tied_row_index"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 2
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE l_returnflag IS NOT NULL")
+    known = named_queries.queries()["tied_row_index"](spark, str(tmp_path)).where("l_returnflag IS NOT NULL")
+    n = 3000 - sum(r[2] is None for r in rows)  # missing flags come first in Spark
+    want = duck.execute("SELECT l_returnflag, count(*), count(*), count(DISTINCT CASE WHEN l_orderkey IS NOT NULL THEN (l_orderkey, l_linenumber) END) FROM lineitem GROUP BY 1 ORDER BY 1").fetchall()
+    got = rows_of(known)
+    assert [(r[0], r[3], r[4], r[5]) for r in got] == want
+    assert got[0][1] == 3000 - n + 1 and got[-1][2] == 3000
+    assert all(a[2] + 1 == b[1] for a, b in zip(got, got[1:]))
+
+
 def test_exact_sums_add_whole_numbers(frame):
     """No decimals before the last step, which cost several times as much to add."""
     text = frame("k string, x double", ("a", 1.0)).groupBy("k").agg(exact_sum("x"))._jdf.queryExecution().executedPlan().toString()
