@@ -18,6 +18,9 @@ from pyspark.sql.types import StructType
 
 from areashift.operators.joins import keyed_join, named
 
+#: Pairs in a bucket, about, where the number of buckets is not given.
+BUCKET_PAIRS = 1 << 18
+
 META = "source string, target string, buckets int, columns string, hot_sources long, hot_targets long"
 
 
@@ -73,10 +76,10 @@ def land_crosswalk(
     for each side, and never again. Pairs without a source or target are refused.
 
     Buckets are as many as shuffle partitions unless given: with fewer, Spark would rather
-    shuffle the pairs again than run so few tasks.
+    shuffle the pairs again than run so few tasks. Where each would get more than
+    ``BUCKET_PAIRS`` there are more, so that a task's memory does not grow with the pairs.
     """
     spark = crosswalk.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = named(source).isNotNull() & named(target).isNotNull()
     refused = F.raise_error(F.lit("a landed crosswalk needs a source and a target in every pair"))
     checked = crosswalk.where(F.coalesce(known, F.lit(False)) | refused.cast("boolean"))
@@ -84,6 +87,7 @@ def land_crosswalk(
     checked.write.mode("overwrite").parquet(f"{path}/pairs")
     pairs = spark.read.schema(crosswalk.schema).parquet(f"{path}/pairs")
     total = pairs.count()
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PAIRS))
     hot = [_land_side(pairs, path, side, unit, buckets, total) for side, unit in (("source", source), ("target", target))]
     meta = spark.createDataFrame([(source, target, buckets, crosswalk.schema.json(), *hot)], META)
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -94,7 +98,8 @@ def _land_side(pairs: DataFrame, path: str, side: str, unit: str, buckets: int,
     """Write one side and return the number of its hot units."""
     sizes = pairs.groupBy(named(unit)).agg(F.count(F.lit(1)).alias("__n"))
     hot = sizes.where(F.col("__n") * buckets > total).select(named(unit))
-    hot.coalesce(1).write.mode("overwrite").parquet(f"{path}/hot-{side}-units")
+    # the few found go into one file; a coalesce would count all units in one task
+    hot.repartition(1).write.mode("overwrite").parquet(f"{path}/hot-{side}-units")
     units = pairs.sparkSession.read.schema(hot.schema).parquet(f"{path}/hot-{side}-units")
     found = units.count()
     if found:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from areashift.operators import SourceSet, areal_interpolate
 from areashift.operators.checks import source_check
+from areashift.sources import crosswalks
 from areashift.sources.crosswalks import land_crosswalk, open_crosswalk
 from conftest import rows_of
 
@@ -125,3 +126,12 @@ def test_odd_names_and_an_empty_crosswalk(frame, tmp_path):
         got = areal_interpolate(landed, "old unit", "`new.unit`", [one])
         want = [("y", 5.0), ("z", 5.0), (None, 0.0)] if not i else [(None, 0.0)]
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_buckets_grow_with_the_pairs(pairs, sets, tmp_path, monkeypatch):
+    """A bucket, and so a task's memory, does not: there were as many as shuffle partitions."""
+    monkeypatch.setattr(crosswalks, "BUCKET_PAIRS", 100)
+    landed = land_crosswalk(pairs, str(tmp_path), "s", "t")
+    wanted = -(-pairs.count() // 100)
+    assert wanted > BUCKETS and landed.by_source.buckets == landed.by_target.buckets == wanted
+    same(areal_interpolate(landed, "s", "t", sets), areal_interpolate(pairs, "s", "t", sets))
