@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from areashift.functions import clean, strict_sum, to_number, total, weighted_mean
 from areashift.operators.interpolate import SourceSet
 from areashift.operators.joins import Chosen, among, chosen_keys, left_join, named
+from areashift.sources.crosswalks import LandedCrosswalk
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def _verdicts(
 
 def target_check(
     interpolated: DataFrame,
-    crosswalk: DataFrame,
+    crosswalk: DataFrame | LandedCrosswalk,
     source: str,
     target: str,
     attributes: SourceSet,
@@ -105,30 +106,32 @@ def target_check(
     target (case "averaged"). The plain sum is strict: it is NULL, and so is the
     verdict, when a value is missing. For a mean it is only equal when the shares of
     the target add up to 100.
+    The pairs of a landed crosswalk are not shuffled for the join.
     """
     measures = attributes.measures
     output_names = output_names or measures
-    targets = chosen_keys(crosswalk, target, targets)
+    landed = crosswalk.by(source) if isinstance(crosswalk, LandedCrosswalk) else None
+    targets = chosen_keys(landed.pairs if landed else crosswalk, target, targets)
+    key = named(attributes.key)
     own = attributes.rows.select(
-        named(attributes.key).alias(source),
+        (key.cast(landed.pairs.schema[source].dataType) if landed else key).alias(source),
         *[clean(named(m)).alias(f"__x{i}") for i, m in enumerate(measures)],
     )
     weights = [attributes.mean_weight] * len(attributes.means)
     weights += [attributes.count_weight] * len(attributes.counts)
-    shares = among(crosswalk, target, targets).select(
-        named(source),
-        named(target),
-        *[clean(named(w)).alias(f"__w{i}") for i, w in enumerate(weights)],
-    )
-    again = (
-        left_join(shares, own, [source])
-        .groupBy(target)
-        .agg(
-            *[
-                strict_sum(F.col(f"__x{i}") * F.col(f"__w{i}") / 100).alias(f"__want{i}")
-                for i in range(len(measures))
-            ]
+    if landed:
+        attached = landed.attach(own.repartition(landed.buckets, named(source)), unallocated=False)
+        attached = among(attached, target, targets)
+    else:
+        shares = among(crosswalk, target, targets).select(
+            named(source), named(target), *[named(w) for w in dict.fromkeys(weights)]
         )
+        attached = left_join(shares, own, [source])
+    again = attached.groupBy(target).agg(
+        *[
+            strict_sum(F.col(f"__x{i}") * clean(named(w)) / 100).alias(f"__want{i}")
+            for i, w in enumerate(weights)
+        ]
     )
     got = among(interpolated, target, targets).select(
         named(target),

@@ -440,7 +440,7 @@ def q_conservation_check(spark, sf_dir):
 def q_case_checks(spark, sf_dir):
     # Read by two interpolations and three checks: landed once, by both of its units.
     landed = land_crosswalk(star.crosswalk(spark, sf_dir), scratch_folder(spark, "landed"), "order", "supplier")
-    by_order_pairs, by_supplier_pairs = landed.by_source.all_pairs(), landed.by_target.all_pairs()
+    by_order_pairs = landed.by_source.all_pairs()
     orders = star.order_attributes(spark, sf_dir).withColumn("amount", F.col("spend"))
     means, counts = ["price", "urgent", "amount"], ["orders", "spend"]
     to_suppliers = SourceSet(orders, "order", "", means, "all_t", counts, "all_s")
@@ -455,7 +455,7 @@ def q_case_checks(spark, sf_dir):
 
     verdicts = partition_union(
         [
-            target_check(by_supplier, by_supplier_pairs, "order", "supplier", to_suppliers),
+            target_check(by_supplier, landed, "order", "supplier", to_suppliers),
             source_check(by_order_pairs, "order", to_suppliers),
             inherited_check(by_order, by_order_pairs, "supplier", "order", to_orders),
         ]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areashift.operators import SourceSet, areal_interpolate
-from areashift.operators.checks import source_check
+from areashift.operators.checks import source_check, target_check
 from areashift.sources import crosswalks
 from areashift.sources.crosswalks import land_crosswalk, open_crosswalk
 from conftest import rows_of
@@ -135,3 +135,15 @@ def test_buckets_grow_with_the_pairs(pairs, sets, tmp_path, monkeypatch):
     wanted = -(-pairs.count() // 100)
     assert wanted > BUCKETS and landed.by_source.buckets == landed.by_target.buckets == wanted
     same(areal_interpolate(landed, "s", "t", sets), areal_interpolate(pairs, "s", "t", sets))
+
+
+def test_target_check_of_landed_pairs(pairs, sets, tmp_path):
+    """The same verdicts, and pairs that go from their buckets into the join."""
+    landed = land_crosswalk(pairs.where("s <> 0 AND t <> 0"), str(tmp_path), "s", "t")
+    got = areal_interpolate(landed, "s", "t", sets[:1])
+    for targets in (None, list(range(60))):
+        checked = target_check(got, landed, "s", "t", sets[0], targets=targets)
+        plain = target_check(got, landed.by_target.all_pairs(), "s", "t", sets[0], targets=targets)
+        rows = [sorted(((r.unit, r.case, r.passed, *[None if v is None else round(v, 6) for v in (r.interpolated, r.recomputed)])
+                       for r in df.collect()), key=str) for df in (checked, plain)]
+        assert rows[0] == rows[1] and rows[0]
