@@ -95,16 +95,16 @@ def read_delimited(
     path: str | list[str],
     schema: StructType,
     separator: str = ",",
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """CSV columns picked by header name, typed by the schema; ``NA`` is missing.
 
     Columns may stand in any order and more may be present. Text that does not fit a
     numeric type becomes NULL. Nothing is inferred, so codes keep their leading zeros.
 
-    Files are split over tasks, and a line that has other cells than the header, as half of
-    a record with a line break in a quoted cell has, is refused. Files with such cells are
-    read with ``multiline=True``, each by one task.
+    Cells may hold line breaks, and each file is read by one task. With ``multiline=False``
+    files are split over tasks, and a line that has other cells than the header, as half of
+    a record with a line break in a quoted cell has, is refused.
     """
     raw = spark.read.csv(
         path,
