@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areashift.llm.storage import free_name, prepared, stored
+from areashift.llm.storage import free_name, free_unread, prepared, stored
 from areashift.llm.windows import marked_rows
+from areashift.session import scratch_made
 
 #: Bytes of text a task holds in a table before it flushes (fold) or spills (partition).
 MEMORY = 48 << 20
@@ -260,12 +261,14 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Only rows whose text a filter of fixed size takes for one that stands several times are
     shuffled to find which of them stays; the others pass through.
     """
+    before = scratch_made()
     found = grace_dedup(docs, id_column, text_column).where("group_size > 1 AND kept")
     lowest = F.lit(-(2**63))  # null ids are told apart by text
     marks = found.select(
         F.coalesce(F.col(id_column), lowest).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")
     )
     marks = stored(marks, "copies")
+    free_unread(before, marks)
     sha = F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256)
     some, others = marked_rows(docs, F.xxhash64(sha), marks.select(F.xxhash64("__kept_sha").alias("digest")))
     own_id, own_sha = free_name(docs, "own_id"), free_name(docs, "own_sha")

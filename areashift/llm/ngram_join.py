@@ -7,9 +7,10 @@ any order gives the same links). Two sets that link share an n-gram of their pre
 1. *Stars*: in the group of nodes under each prefix n-gram, nodes are checked against one
    pivot and joined with it where they link. A few rounds with other pivots settle dense
    groups with a number of checks that grows with their size only.
-2. *Nearest*: in a few more rounds each node is checked against the one, of those that a
-   prefix tree finds for it under other labels, that it shares most with, as the edges of a
-   spanning forest are found. Dense groups that stars left in pieces become one.
+2. *Nearest*: in a few more rounds each node is checked against those that a prefix tree
+   finds for it under other labels, or where these are many the one that it shares most with,
+   as the edges of a spanning forest are found. Dense groups that stars left in pieces become
+   one. Groups in which no candidate was left out are joined in full, and done.
 3. *Prefix trees*: n-gram groups that still hold nodes not known to be connected are
    joined in full. The ordered prefixes of a group are stored in a tree, every node
    traverses it sharing partial overlaps, and subtrees are pruned when the n-grams left
@@ -31,13 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areashift.llm.graph import components
-from areashift.llm.sketch import cells, flagged, merged_sketch, repeated_flags
-from areashift.llm.storage import free_name, prepared, stored
+from areashift.llm.sketch import cells, fingerprints, flagged, merged_sketch, several_flags
+from areashift.llm.storage import free_name, free_unread, prepared, stored
 from areashift.llm.windows import BASES, Hashes, keyed_texts, marked_rows, texts_of, word_units
+from areashift.session import scratch_made
 
 #: Rounds of stars before the full join; nodes of a group in one block of it.
 ROUNDS = 3
 BLOCK = 1500
+#: Of the pairs checked in a round of stars one in so many must link for another round; up to
+#: so many candidates of a node in a group are all checked in a round of nearest ones.
+YIELD = 20
+FEW = 16
 #: Bits of the map of a set by which pairs are ruled out before whole sets are compared.
 BITS = 4096
 #: N-grams on an edge of a prefix tree: few at the top, where most traversals end.
@@ -130,30 +136,55 @@ def nodes_of(texts: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
     rows = stored(
         texts.mapInArrow(described, "id long, digest long, n int, key binary, prefix array<long>"), "sets"
     )
-    nodes = rows.where("n > 0").groupBy("key").agg(
-        F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "digest")).alias("least"), F.min(F.struct("id", "digest", "n", "prefix")).alias("own")
-    )
-    nodes = nodes.select("key", "least", "own.*").withColumnRenamed("id", "own_id")
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
-    return rows.select("id", "digest", "n", "key"), stored(nodes, "nodes")
+    one, several = sets_of_several(rows.where("n > 0"))
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "digest")
+    met = several.groupBy("key").agg(F.min(place).alias("least"), F.min(F.struct("id", "digest", "n", "prefix")).alias("own"))
+    nodes = met.select("key", "least", "own.*").unionByName(one.select("key", place.alias("least"), "id", "digest", "n", "prefix"))
+    nodes = nodes.withColumnRenamed("id", "own_id").withColumn("node", F.monotonically_increasing_id())
+    return stored(rows.select("id", "digest", "n", "key"), "members"), stored(nodes, "nodes")
+
+
+def sets_of_several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key no other row has, and the others with a few that a filter takes for
+    such: only those need be shuffled to find the rows of a set."""
+
+    def numbers(keys: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(keys.to_pylist()), dtype=np.uint64)[::2]
+
+    def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield numbers(batch.column(0))
+
+    shared = rows.sparkSession.sparkContext.broadcast(several_flags(rows.select("key"), keys_of))
+    at = rows.columns.index("key")
+
+    def part(several: bool) -> DataFrame:
+        def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = flagged(shared.value, fingerprints(numbers(batch.column(at))))
+                yield batch.filter(pa.array(found if several else ~found))
+
+        return rows.mapInArrow(select, rows.schema)
+
+    return part(False), part(True)
 
 
 def shared_grams(nodes: DataFrame) -> DataFrame:
-    """(node, n, grams): of every node the n-grams of its prefix that a sketch over prefixes
-    alone estimates to be in several, in order; nodes without any are left out."""
+    """(node, n, grams): of every node the n-grams of its prefix that are in several by their
+    fingerprints, in order; nodes without any are left out."""
 
     def keys_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             yield batch.column(0).flatten().to_numpy().view(np.uint64)
 
-    flags = merged_sketch(nodes.select("prefix"), keys_of, repeated_flags, depth=3)
+    flags = several_flags(nodes.select("prefix"), keys_of)
     shared = nodes.sparkSession.sparkContext.broadcast(flags)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             grams = lists.flatten().to_numpy()
-            found = flagged(shared.value, grams.view(np.uint64))
+            found = flagged(shared.value, fingerprints(grams.view(np.uint64)))
             row = lists.value_parent_indices().to_numpy()[found]
             size = np.bincount(row, minlength=batch.num_rows)
             offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
@@ -214,7 +245,12 @@ def may_overlap(bits: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarr
 
 
 def linked(pairs: DataFrame, grams: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
+    """The pairs (u, v) whose whole sets are similar enough. Only sets that a filter of fixed
+    size takes for one of a pair are shuffled."""
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest")))
+    grams, _ = texts_of(grams.select("node", "grams"), ends, "node")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,8 +525,9 @@ def tree_pairs(
     nearest: bool = False,
 ) -> DataFrame:
     """Pairs (u, v) of nodes with different labels whose prefixes, and bitmaps, overlap
-    enough, each from the group of the first n-gram that they share. With ``nearest`` one
-    pair for each node u that has any, that whose bitmaps overlap most."""
+    enough, each from the group of the first n-gram that they share. With ``nearest`` (u, v,
+    shared, gram): the pairs of a node u that has few in a group, shared being -1; else that
+    whose bitmaps overlap most, and by how much."""
     lists = prefixes.select(F.col("node").alias("__node"), F.col("grams").alias("prefix"))
     maps = grams.select(F.col("node").alias("__map"), "bits")
     kept = dealt(postings, block).join(lists, F.col("node") == F.col("__node"))
@@ -521,10 +558,12 @@ def tree_pairs(
             near = near[may_overlap(bits[i], int(sizes[i]), bits[near], sizes[near], how)]
             if nearest:
                 near = near[labels[near] != labels[i]]
-                if len(near):
+                if len(near) <= FEW:
+                    out += [(group[i][3], group[j][3], -1, gram) for j in near]
+                else:
                     shared = np.bitwise_count(bits[i] & bits[near]).sum(axis=1)
                     best = near[shared.argmax()]
-                    out.append((group[i][3], group[best][3], int(shared.max())))
+                    out.append((group[i][3], group[best][3], int(shared.max()), gram))
                 continue
             for j in near:
                 twice = low == high and not (star and not odd[j]) and i >= j
@@ -532,11 +571,15 @@ def tree_pairs(
                     out.append((group[i][3], group[j][3]))
         return out
 
-    if not nearest:
-        return by_group(kept, pairs, "u long, v long")
-    found = by_group(kept, pairs, "u long, v long, shared int")
-    best = found.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best"))
-    return best.select("u", F.col("best.v").alias("v"))
+    return by_group(kept, pairs, "u long, v long, shared int, gram long" if nearest else "u long, v long")
+
+
+def nearest_pairs(found: DataFrame) -> DataFrame:
+    """Of what ``tree_pairs`` found nearest to each node all pairs once, and of the nodes with
+    more candidates than that the best one."""
+    few = found.where("shared < 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    best = found.where("shared >= 0").groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best"))
+    return few.distinct().unionByName(best.select("u", F.col("best.v").alias("v")))
 
 
 def near_duplicates(
@@ -568,37 +611,60 @@ def grouped_rows(
     """(id, digest, n, first) of every document; first is the row (id, digest) of its group
     with the smallest id, missing without n-grams. Groups are told apart by their nodes."""
     prepared(docs.sparkSession)
+    before = scratch_made()
     texts = keyed_texts(docs, id_column, text_column)
     members, nodes = nodes_of(texts, how)
+    free_unread(before, members, nodes)
     prefixes = shared_grams(nodes)
+    nodes = stored(nodes.drop("prefix"), "nodes")
+    free_unread(before, members, nodes, prefixes)
     postings = prefixes.select("node", "n", F.size("grams").alias("all"), F.posexplode("grams").alias("at", "gram"))
     rest = (F.col("all") - F.col("at")).cast("long")
     postings = postings.select("gram", "node", "n", rest.alias("rest"), F.col("node").alias("label"))
-    postings = feasible_rows(opened(postings, 0), how)
-    postings = opened(postings, 0)
+    postings = opened(feasible_rows(opened(postings, 0), how), 0)
+    free_unread(before, members, nodes, prefixes, postings)
     near = nodes.join(postings.select("node").distinct(), "node", "left_semi")
     grams = contents_of(texts, near, how)
 
     labels = near.select("node", F.col("node").alias("label"))
     found = []
     for round_ in range(1, rounds + 1):
-        found.append(linked(star_pairs(postings), grams, how))
-        if found[-1].isEmpty():
+        if postings.isEmpty():
+            break
+        pairs = stored(star_pairs(postings), "pairs")
+        found.append(linked(pairs, grams, how))
+        links = found[-1].count()
+        if not links:
             break
         labels = relabelled(labels, found[-1])
         postings = opened(with_labels(postings, labels), round_)
+        if links * YIELD < pairs.count():
+            break
+    whole = False
     for round_ in range(rounds + 1, 2 * rounds + 1):
-        found.append(linked(tree_pairs(postings, prefixes, grams, how, block, nearest=True), grams, how))
+        whole = whole or postings.isEmpty()
+        if whole:
+            break
+        near = stored(tree_pairs(postings, prefixes, grams, how, block, nearest=True), "near")
+        cut = near.where("shared >= 0").select(F.col("gram").alias("__gram")).distinct()
+        whole = cut.isEmpty()
+        found.append(linked(stored(nearest_pairs(near), "pairs"), grams, how))
+        if whole:
+            break
+        # pairs that were left out are under n-grams where a node had too many
+        postings = postings.join(cut, F.col("gram").eqNullSafe(F.col("__gram")), "left_semi")
         if found[-1].isEmpty():
             break
         labels = relabelled(labels, found[-1])
-        postings = feasible_rows(opened(with_labels(postings, labels), round_), how)
-        postings = opened(postings, round_)
-    found.append(linked(tree_pairs(postings, prefixes, grams, how, block), grams, how))
-    links = found[0]
-    for more in found[1:]:
+        postings = opened(with_labels(postings, labels), round_)
+    if not whole:
+        found.append(linked(stored(tree_pairs(postings, prefixes, grams, how, block), "pairs"), grams, how))
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    for more in found:
         links = links.unionByName(more)
-    roots = components(links).withColumnsRenamed({"u": "__node", "root": "__root"})
+    links = components(links)
+    free_unread(before, members, nodes, links)
+    roots = links.withColumnsRenamed({"u": "__node", "root": "__root"})
     named = nodes.select("key", "node", "least")
     named = named.join(roots, F.col("node") == F.col("__node"), "left")
     named = named.withColumn("label", F.coalesce("__root", "node"))
@@ -614,12 +680,14 @@ def drop_near_copies(docs: DataFrame, how: Similarity, id_column: str = "doc_id"
     Rows are told apart by id and text, as ids may be missing or repeat; of rows with both
     equal one stays. Documents without n-grams all stay.
     """
+    before = scratch_made()
     found = grouped_rows(docs, how, ROUNDS, BLOCK, id_column, text_column)
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
     marked = found.where("n > 0").groupBy("id", "digest")
     marked = marked.agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("rows"))
     # what is neither left out nor repeated needs no mark, and is not shuffled
     marked = stored(marked.where("NOT first OR rows > 1"), "marked")
+    free_unread(before, marked)
     key = F.col(id_column).cast("long")
     digest = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     some, others = marked_rows(docs, digest, marked)
