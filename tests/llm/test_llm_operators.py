@@ -22,15 +22,16 @@ from llm_cases import (
 
 from pyspark.sql import functions as F
 
-from areashift.llm import decontaminate, exact_dedup, html_extract, ngram_join, pii, suffix_dedup, toxicity, warc
+from areashift.llm import decontaminate, exact_dedup, html_extract, ngram_join, pii, sketch, suffix_dedup, toxicity, warc
 from areashift.llm.decontaminate import find_leaks
 from areashift.llm.exact_dedup import drop_copies, grace_dedup
 from areashift.llm.graph import components
 from areashift.llm.mixing import MIX_SQL, mix_sources
 from areashift.llm.ngram_join import PrefixTree, Similarity, drop_near_copies, least_needed, near_duplicates
-from areashift.llm.storage import stored
+from areashift.llm.storage import CLEANUP, stored
 from areashift.llm.substring_dedup import substring_dedup
 from areashift.llm.windows import PIECE, Spec, runs_of, word_units
+from areashift.session import scratch_made
 
 ROWS = documents()
 
@@ -739,3 +740,33 @@ def test_sizes_rule_out_no_pair_that_may_link():
             if how.sizes_fit(a, b) and how.prefix_overlap(a, b) <= most[j] and (i != j or several[i])
         ]
         assert got[i] == min(needs, default=np.iinfo(np.int64).max)
+
+
+@pytest.mark.parametrize("few", [0, 2])
+def test_groups_with_many_candidates_are_joined_again(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rows = crowded(spark)
+    got = near_duplicates(frame(spark, rows).repartition(4), rounds=1)
+    assert Counter(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
+
+
+def test_flags_name_the_keys_that_repeat(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(3000), *range(0, 3000, 10), *[7] * 50]], "key long").repartition(5)
+
+    def keys_of(batches):
+        for batch in batches:
+            yield batch.column(0).to_numpy().view(np.uint64)
+
+    flags = sketch.several_flags(rows, keys_of)
+    found = sketch.flagged(flags, sketch.fingerprints(np.arange(3000, dtype=np.uint64)))
+    assert {*np.flatnonzero(found).tolist()} == {*range(0, 3000, 10), 7}
+    prints = np.sort(sketch.fingerprints(np.arange(500, dtype=np.uint64)) & np.uint64(2**30 - 1))
+    assert (sketch.unpacked(sketch.packed(prints)) == prints).all()
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, lambda docs: drop_near_copies(docs, Similarity(5, 80, 100))])
+def test_only_what_the_result_reads_is_left(docs, spark, drop):
+    before, setting = scratch_made(), spark.conf.get(CLEANUP, None)
+    left = drop(docs)
+    assert len([p for p in scratch_made() if p not in before]) == 1
+    assert left.count() and spark.conf.get(CLEANUP, None) == setting
